@@ -31,5 +31,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lorebase.llm import line_dedup
+
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op9_secrets": op9_secrets, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}

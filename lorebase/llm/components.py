@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     near = sides.join(least, "u")
     if large:
         return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

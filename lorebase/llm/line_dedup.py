@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import WORD_CLASS, text_column
+from lorebase.llm.common import WORD_CLASS, materialize, text_column
 
 #: Levels from the deciding one on that are built: runs of 2, 4, 8, 16 lines.
 LEVELS = 4
@@ -74,11 +74,13 @@ def copied_suffixes(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -
         .where("n.w")
         .select("doc_id", "key", "n.level", "n.a", "n.b", "n.start")
     )
-    intervals = (
+    # Written first: a join of two plain exchanges can split a run that very many documents share.
+    intervals = materialize(
         suffixes.groupBy("level", "a", "b")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last")
-        .drop("last")
+        .drop("last"),
+        "intervals",
     )
     return (
         suffixes.join(intervals, ["level", "a", "b"])

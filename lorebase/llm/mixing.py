@@ -113,3 +113,14 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int =
         (F.col("size") * (F.col("base") + F.when((F.col("hash") < F.col("threshold")) & (F.col("base") < cap), 1).otherwise(0))).alias("taken"),
         "source",
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Pipeline stage: rows of which the mix takes words, with size, source_size, target and taken.
+
+    Figures are joined by doc_id; rows that repeat a doc_id share one text's decision (the one that takes most).
+    """
+    own = ["size", "source_size", "target", "taken"]
+    plan = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("_m"))
+    rows = docs.drop(*own)
+    return rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"])).where("_m.taken > 0").select(rows["*"], *[F.col(f"_m.{c}").alias(c) for c in own])

@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     profile = materialize(slim.mapInPandas(_profiles, PROFILE), "profile")
-    classes = profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
+    # Sides that are aggregated are written first: a join of two plain exchanges can split a hot key.
+    classes = materialize(profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "copies")
     classed = materialize(
         profile.join(classes, ["k1", "k2", "n"], "left").select(
             "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"),
@@ -149,7 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = classed.where("bands is not null")
     signatures = reps.select(F.col("rep").alias("node"), "n", "sig")
     banded = reps.select(F.col("rep").alias("node"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last").drop("_last")
+    buckets = materialize(
+        banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last").drop("_last"), "pivots"
+    )
     members = materialize(banded.join(buckets, "band"), "buckets")
     # One partner for each: the pivot that its signature likes best.
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -159,7 +162,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = materialize(components(edges), "components")
     # What shares a bucket but not a component.
     placed = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band")
+    mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band"), "mixed")
     open_ = materialize(placed.join(mixed, "band"), "open")
     left = open_.select("band", F.col("node").alias("a"), F.col("component").alias("_ca"))
     right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("_cb"))

@@ -59,11 +59,34 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import line_crf
+
+    return line_crf.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import language_id
+
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lorebase.llm import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,

@@ -42,3 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_column(docs: DataFrame) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def where_settled(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays above the columns it reads.
+
+    The optimiser writes the definitions of computed columns into a filter and pushes it down; for columns
+    built on one another by higher-order functions that multiplies the work with every level.  It leaves a
+    filter above a column that is not deterministic, such as a row number.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import WORD_CLASS, materialize, text_column
+from lorebase.llm.common import WORD_CLASS, materialize, text_column, where_settled
 
 #: Levels from the deciding one on that are built: runs of 2, 4, 8, 16 lines.
 LEVELS = 4
@@ -170,7 +170,7 @@ def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFram
 
 def clean(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents without later copies of runs; those that only held copies go."""
-    rows = dedup(docs).where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD_CLASS)).withColumn(
+    rows = where_settled(dedup(docs), (F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD_CLASS)).withColumn(
         "text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     )
     if "n_chars" in docs.columns:

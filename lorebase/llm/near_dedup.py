@@ -142,8 +142,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classed = materialize(
         profile.join(classes, ["k1", "k2", "n"], "left").select(
             "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"),
-            F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"),
-            F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"),
+            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("bands")).alias("bands"),
+            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("sig")).alias("sig"),
         ),
         "classes",
     )

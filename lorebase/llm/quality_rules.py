@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, text_column, words
+from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, text_column, where_settled, words
 
 WINDOW = 5
 
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_
 
 def clean(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents that pass, with their passing lines; the columns of ``docs``."""
-    cleaned = judge(docs).where("kept").withColumn("text", F.col("clean_text"))
+    cleaned = where_settled(judge(docs), F.col("kept")).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
     return cleaned.select(*docs.columns)

@@ -4,10 +4,12 @@ Texts with equal shingle sets form one class, found by a 128-bit digest of the s
 representative per class goes on.  160 minima give 32 bands of five; at a similarity of 0.85 a pair shares no
 band with a chance of 7e-9.  Representatives that share a band are candidates:
 
-1. Each is first compared with one partner only, the least member of one of its buckets that its signature
-   likes best.  Confirmed links are contracted to components.
-2. Then every pair that shares a bucket but not a component is compared, until nothing is left over.  No
-   candidate is dropped: links inside a component add nothing, and all others are looked at.
+1. Each is first compared with one partner only, the least member of most of its buckets (its pivot there).
+   Confirmed links are contracted to components.
+2. Then with the pivots of its other buckets, where those are in another component.
+3. Then every pair that still shares a bucket but not a component is compared.  No candidate is dropped: links
+   inside a component add nothing, and all others are looked at.  A large group of near copies is one
+   component by then, so its pairs are never spelt out.
 
 A pair is compared by signature (four bits of each minimum; a pair at the threshold fails with a chance of
 1e-11) and what passes is confirmed on the full sets.
@@ -109,19 +111,25 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def _liked(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that size and signature allow, with ``differ``."""
+    """Pairs (a, b) that size and signature allow."""
     left = signatures.select(F.col("node").alias("a"), F.col("n").alias("_na"), F.col("sig").alias("_sa"))
     right = signatures.select(F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("sig").alias("_sb"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
         .where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-        .withColumn("differ", _differ(F.col("_sa"), F.col("_sb")))
-        .where(F.col("differ") <= MAY_DIFFER)
-        .select("a", "b", "differ")
+        .where(_differ(F.col("_sa"), F.col("_sb")) <= MAY_DIFFER)
+        .select("a", "b")
     )
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) that no component (node, component) holds both of."""
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"_c{side}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return placed.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v): pairs whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -154,27 +162,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last").drop("_last"), "pivots"
     )
     members = materialize(banded.join(buckets, "band"), "buckets")
-    # One partner for each: the pivot that its signature likes best.
-    stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    best = _liked(stars, signatures, percent).groupBy("b").agg(F.min(F.struct("differ", "a"))["a"].alias("a")).select("a", "b")
-    best = materialize(best, "pairs")
-    edges = materialize(_confirmed(best, slim, percent), "links")
+    stars = materialize(
+        members.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared")), "stars"
+    )
+    # One partner for each: the pivot of most of its buckets.
+    best = stars.groupBy("b").agg(F.min(F.struct(-F.col("shared"), "a"))["a"].alias("a")).select("a", "b")
+    pairs = materialize(_liked(best, signatures, percent), "pairs")
+    edges = materialize(_confirmed(pairs, slim, percent), "links")
     found = materialize(components(edges), "components")
-    # What shares a bucket but not a component.
+    # Its other pivots, where they are not yet in its component.
+    pairs = materialize(_liked(_apart(stars.select("a", "b"), found), signatures, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        edges = materialize(edges.unionByName(_confirmed(pairs, slim, percent)), "links")
+        found = materialize(components(edges), "components")
+    # What still shares a bucket but not a component.
     placed = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band"), "mixed")
     open_ = materialize(placed.join(mixed, "band"), "open")
     left = open_.select("band", F.col("node").alias("a"), F.col("component").alias("_ca"))
     right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("_cb"))
-    rest = materialize(
-        _liked(left.join(right, "band").where("a < b and _ca <> _cb").select("a", "b").distinct(), signatures, percent).join(
-            best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"
-        ),
-        "pairs",
-    )
-    if not rest.isEmpty():
-        more = materialize(_confirmed(rest, slim, percent), "links")
-        found = components(edges.unionByName(more))
+    rest = left.join(right, "band").where("a < b and _ca <> _cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = materialize(_liked(rest, signatures, percent), "pairs")
+    if not pairs.isEmpty():
+        found = components(edges.unionByName(_confirmed(pairs, slim, percent)))
     named = found.select(F.col("node").alias("rep"), "component").distinct()
     return classed.join(named, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import partial
+
+from lorebase.plans import memory_queries
+from lorebase.plans.sqlbook import BOOK
+from lorebase.sources.views import run_sql, with_views
+
+
+def _booked(spark, sf_dir, sql):
+    return run_sql(spark, sf_dir, sql)
+
+
+QUERIES: dict = {name: partial(_booked, sql=sql.replace("octet_length(encode(content))", "octet_length(content)")) for name, sql in BOOK.items()} | memory_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {name: with_views(sql) for name, sql in BOOK.items()} | {k: with_views(v) for k, v in memory_queries.ORACLE_SQL.items()}

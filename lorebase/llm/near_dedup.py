@@ -7,11 +7,12 @@ band with a chance of 7e-9.  Representatives that share a band are candidates:
 1. Each is first compared with one partner only, the least member of most of its buckets (its pivot there).
    Confirmed links are contracted to components.
 2. Then with the pivots of its other buckets, where those are in another component.
-3. Then every pair that still shares a bucket but not a component is compared.  No candidate is dropped: links
-   inside a component add nothing, and all others are looked at.  A large group of near copies is one
-   component by then, so its pairs are never spelt out.
+3. Then every pair that still shares a bucket but not a component is compared, in blocks of members: block
+   against block in one task, which hands on only pairs that a sketch of the sets allows.  No candidate is
+   dropped: links inside a component add nothing, and all others are looked at.
 
-A pair is compared by signature (four bits of each minimum; a pair at the threshold fails with a chance of
+A sketch counts the shingles in 256 parts of the hash range; sets that differ by more than a link allows there
+differ by more in full, so it never loses a link.  Other pairs are compared by signature (four bits of each minimum; a pair at the threshold fails with a chance of
 1e-11) and what passes is confirmed on the full sets.
 
 Sets travel only for pairs that pass the signature, so an exact copy or a chance hit costs a few bytes.
@@ -44,7 +45,9 @@ _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 #: Signature bytes that may differ: a pair at the threshold keeps 137 of 160 nibbles on average, at least 106 in practice.
 MAY_DIFFER = 54
-PROFILE = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>"
+PROFILE = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>, sketch binary"
+#: Members of one block of a bucket, about.
+BLOCK = 256
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -64,6 +67,11 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 parts of the hash range (255 at most): two sets differ by at least the sum of differences."""
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     for first, last in slices(texts):
         hashes, bounds, *_ = words(texts[first:last], lower=True)
@@ -78,7 +86,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for found in _sets(pdf["text"].tolist()):
             if not len(found):
-                out.append((0, 0, 0, None, None))
+                out.append((0, 0, 0, None, None, None))
                 continue
             least = minima(found)
             top = mix(least >> np.uint64(20)).reshape(BANDS, ROWS)
@@ -87,8 +95,8 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 band = mix(band * np.uint64(0xD6E8FEB86659FD93) + top[:, k])
             sig = ((top.reshape(-1, 16) & np.uint64(15)) << nibbles).sum(axis=1, dtype=np.uint64)
             once = mix(found)
-            out.append((len(found), once.sum(dtype=np.uint64).astype(np.int64), mix(once + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64), band.view(np.int64), sig.view(np.int64)))
-        yield pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sig"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "k1", "k2", "bands", "sig"]]
+            out.append((len(found), once.sum(dtype=np.uint64).astype(np.int64), mix(once + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64), band.view(np.int64), sig.view(np.int64), _sketch(found)))
+        yield pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sig", "sketch"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "k1", "k2", "bands", "sig", "sketch"]]
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +138,58 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
 
+def _pairs_of_blocks(percent: int):
+    """Compare two blocks of one bucket: pairs in different components that size, signature and sketch allow.
+
+    A pair that shares several buckets comes from the first of them only.
+    """
+
+    def laid(block):
+        column = lambda k: [m[k] for m in block]
+        return (
+            np.array(column("node"), np.int64), np.array(column("component"), np.int64), np.array(column("n"), np.int64),
+            np.stack([np.asarray(x, np.int64) for x in column("sig")]).view(np.uint64), np.stack([np.asarray(x, np.int64) for x in column("bands")]),
+            np.stack([np.frombuffer(x, np.uint8) for x in column("sketch")]).astype(np.int16),
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for band, i, j, x, y in zip(pdf["band"], pdf["i"], pdf["j"], pdf["x"], pdf["y"], strict=True):
+                (na, ca, sa, ga, ba, ka), (nb, cb, sb, gb, bb, kb) = laid(x), laid(y)
+                good = (ca[:, None] != cb) & (np.minimum(sa[:, None], sb) * 100 >= np.maximum(sa[:, None], sb) * percent)
+                if i == j:
+                    good &= na[:, None] < nb
+                differ = np.zeros(good.shape, np.uint8)
+                for k in range(ga.shape[1]):
+                    z = ga[:, k][:, None] ^ gb[:, k]
+                    z |= z >> np.uint64(1)
+                    z |= z >> np.uint64(2)
+                    differ += np.bitwise_count(z & np.uint64(0x1111111111111111))
+                p, q = np.nonzero(good & (differ <= MAY_DIFFER))
+                for first in range(0, len(p), 20_000):
+                    u, v = p[first : first + 20_000], q[first : first + 20_000]
+                    near = np.abs(ka[u] - kb[v]).sum(1) * (100 + percent) <= (sa[u] + sb[v]) * (100 - percent)
+                    u, v = u[near], v[near]
+                    shared = ba[u] == bb[v]
+                    once = ba[u, shared.argmax(1)] == band
+                    u, v = na[u[once]], nb[v[once]]
+                    yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return run
+
+
+def _across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket: members (band, node, component) in blocks, block against block."""
+    sizes = materialize(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    held = members.join(sizes, "band").join(reps, "node").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = materialize(held.groupBy("band", "i").agg(F.collect_list(F.struct("node", "component", "n", "sig", "bands", "sketch")).alias("x")), "blocks")
+    other = blocks.select("band", F.col("i").alias("j"), F.col("x").alias("y"))
+    return blocks.join(other, "band").where("i <= j").select("band", "i", "j", "x", "y").mapInPandas(_pairs_of_blocks(percent), "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v): pairs whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInPandas(_full_sets, "node long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b"
@@ -152,6 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"),
             F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("bands")).alias("bands"),
             F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("sig")).alias("sig"),
+            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("sketch")).alias("sketch"),
         ),
         "classes",
     )
@@ -178,11 +236,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # What still shares a bucket but not a component.
     placed = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band"), "mixed")
-    open_ = materialize(placed.join(mixed, "band"), "open")
-    left = open_.select("band", F.col("node").alias("a"), F.col("component").alias("_ca"))
-    right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("_cb"))
-    rest = left.join(right, "band").where("a < b and _ca <> _cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = materialize(_liked(rest, signatures, percent), "pairs")
+    open_ = placed.join(mixed, "band")
+    rest = _across(open_, reps.select(F.col("rep").alias("node"), "n", "sig", "bands", "sketch"), percent)
+    pairs = materialize(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         found = components(edges.unionByName(_confirmed(pairs, slim, percent)))
     named = found.select(F.col("node").alias("rep"), "component").distinct()

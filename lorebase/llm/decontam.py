@@ -71,7 +71,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 16, min_percent:
     marked = hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("item_id", "diagonal")).alias("marks"))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key")).where("doc_id is not null")
     laid = (
-        keyed.join(marked, ["doc_id", "key"])
+        # By shuffle at every size: which documents have hits is not bounded, so it is never broadcast.
+        keyed.join(marked.hint("merge"), ["doc_id", "key"])
         .dropDuplicates(["doc_id", "key"])
         .select("doc_id", tokens(F.col("text")).alias("words"), "marks")
         .select("doc_id", "words", F.explode("marks").alias("m"))

@@ -18,6 +18,13 @@ NOW = EPOCH + 35 * 86400
 CATEGORIES = ("project", "person", "preference", "decision", "task", "strategy", "session")
 TTL = {"cold": 86400, "active": 2592000}
 
+#: Sentences that open the notes, and the entities they speak of: (entity, name, type, 1 for an alias).
+NOTES = (
+    "Nora decided that Harbor stays small.", "Today Tomas works on Lantern search. Harbor waits.", "Lantern uses Kiln for events.", "ok",
+    "Harbor switched to Kiln storage last week!", "We fixed nothing; the weather is nice.", "Eleonora was confirmed as reviewer of Quarry.", "The Kiln service needs Harbor and is linked to Lantern.",
+)
+REGISTRY = (("nora", "nora", "person", 0), ("nora", "eleonora", "person", 1), ("tomas", "tomas", "person", 0), ("harbor", "harbor", "project", 0), ("lantern", "lantern", "project", 0), ("kiln", "kiln", "tool", 0))
+
 _category = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
 VIEWS = {
     "memories": f"""
@@ -35,6 +42,9 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     "entities": "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS id, s_name AS name, 'supplier' AS kind FROM supplier UNION ALL SELECT concat('p', CAST(p_partkey AS VARCHAR(20))), p_name, 'part' FROM part",
     "jobs": f"SELECT event_id AS job_id, event_id % 12 AS attempts, CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'retry' WHEN 2 THEN 'processing' WHEN 3 THEN 'completed' ELSE 'dead' END AS status, {NOW} + (event_id % 200) - 100 AS available_at, {NOW} + (event_id % 90) - 60 AS lease_until, {EPOCH} + event_id AS created_at FROM events",
     "usage_log": f"SELECT event_id AS usage_id, event_id % 400 AS memory_id, user_id AS session_id, user_id % 7 AS agent_id, CASE event_type WHEN 'click' THEN 'used' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'expanded' WHEN 'view' THEN 'selected' ELSE 'ignored' END AS usage_type, {EPOCH} + event_id * 60 AS used_at FROM events",
+    "notes": "SELECT conv_id * 1000 + turn AS id, concat(CASE (conv_id + turn) % "
+    + f"{len(NOTES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOTES)) + " END, ' ', coalesce(text, '')) AS note FROM conversations",
+    "registry": " UNION ALL ".join(f"SELECT '{e}' AS entity_id, '{n}' AS name, '{k}' AS kind, {a} AS is_alias" for e, n, k, a in REGISTRY),
     "outcomes": "SELECT doc_id AS memory_id, quality AS successful, toxic AS corrections FROM labels",
 }
 
@@ -53,7 +63,7 @@ def with_views(sql: str) -> str:
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run a query over the driver's tables and the views; Parquet scans keep pushdown and pruning."""
-    text = with_views(sql)
+    text = with_views(sql).replace("{", "{{").replace("}", "}}")
     needed = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"\b{t}\b", text)}
     for name in needed:
         text = re.sub(rf"(?i)\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)

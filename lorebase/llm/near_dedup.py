@@ -1,8 +1,8 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, connected components.
 
 Texts with equal shingle sets form one class, found by a 128-bit digest of the set, and only one
-representative per class goes on.  160 minima give 32 bands of five; at a similarity of 0.85 a pair shares no
-band with a chance of 7e-9.  Representatives that share a band are candidates:
+representative per class goes on.  160 minima give 32 bands of five; a pair shares no band with a chance of 7e-9
+at a similarity of 0.85 (op8) and of 3e-6 at 0.80 (``clean``).  Representatives that share a band are candidates:
 
 1. Each is first compared with one partner only, the least member of most of its buckets (its pivot there).
    Confirmed links are contracted to components.
@@ -13,7 +13,7 @@ band with a chance of 7e-9.  Representatives that share a band are candidates:
 
 A sketch counts the shingles in 256 parts of the hash range; sets that differ by more than a link allows there
 differ by more in full, so it never loses a link.  Other pairs are compared by signature (four bits of each minimum; a pair at the threshold fails with a chance of
-1e-11) and what passes is confirmed on the full sets.
+less than 1e-10) and what passes is confirmed on the full sets.
 
 Sets travel only for pairs that pass the signature, so an exact copy or a chance hit costs a few bytes.
 
@@ -26,6 +26,7 @@ extra columns pass through ``clean``; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -43,13 +44,19 @@ _RNG = np.random.default_rng(8)
 #: Multiply-shift hashing: odd multipliers and offsets modulo 2**64, of which the upper bits are used.
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-#: Signature bytes that may differ: a pair at the threshold keeps 137 of 160 nibbles on average, at least 106 in practice.
-MAY_DIFFER = 54
+#: Similarity, in hundredths, from which the pipeline stage drops copies (op8 has its own, 85).
+STAGE_PERCENT = 80
 PROFILE = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>, sketch binary"
 #: Members of one block of a bucket, about.
 BLOCK = 256
 
 
+def may_differ(percent: int) -> int:
+    """Signature nibbles that may differ: a pair at the threshold has more with a chance of less than 1e-10 (54 at 85, 65 at 80)."""
+    p = (100 - percent) / 100 * 15 / 16
+    return next(d for d in range(HASHES + 1) if sum(comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k) for k in range(d + 1, HASHES + 1)) < 1e-10)
+
+
 def shingles(hashes: np.ndarray) -> np.ndarray:
     """Sorted distinct shingle hashes of a text's word hashes."""
     if not len(hashes):
@@ -126,7 +133,7 @@ def _liked(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
         pairs.join(left, "a")
         .join(right, "b")
         .where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)
-        .where(_differ(F.col("_sa"), F.col("_sb")) <= MAY_DIFFER)
+        .where(_differ(F.col("_sa"), F.col("_sb")) <= may_differ(percent))
         .select("a", "b")
     )
 
@@ -143,6 +150,7 @@ def _pairs_of_blocks(percent: int):
 
     A pair that shares several buckets comes from the first of them only.
     """
+    most = may_differ(percent)
 
     def laid(block):
         column = lambda k: [m[k] for m in block]
@@ -165,7 +173,7 @@ def _pairs_of_blocks(percent: int):
                     z |= z >> np.uint64(1)
                     z |= z >> np.uint64(2)
                     differ += np.bitwise_count(z & np.uint64(0x1111111111111111))
-                p, q = np.nonzero(good & (differ <= MAY_DIFFER))
+                p, q = np.nonzero(good & (differ <= most))
                 for first in range(0, len(p), 20_000):
                     u, v = p[first : first + 20_000], q[first : first + 20_000]
                     near = np.abs(ka[u] - kb[v]).sum(1) * (100 + percent) <= (sa[u] + sb[v]) * (100 - percent)
@@ -250,6 +258,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group (similarity 0.85 or more); the columns of ``docs``."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """Pipeline stage: one document of each group (similarity 0.80 or more); the columns of ``docs``."""
+    dropped = near_duplicates(docs, STAGE_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

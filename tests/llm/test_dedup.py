@@ -79,6 +79,25 @@ def test_near(docs, texts):
     assert near_dedup.clean(docs).columns == docs.columns
 
 
+def test_stage_threshold(spark):
+    """The pipeline stage drops pairs from 0.80 on, of which op8's threshold leaves those below 0.85."""
+    rng = random.Random(6)
+    texts, near = [], {}
+    for k in range(40):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+        copy = list(base)
+        for i in range(k % 8):
+            copy[10 + 20 * i] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+        a, b = map(shingles, texts[-2:])
+        near[2 * k + 1] = 100 * len(a & b) / len(a | b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert any(80 <= s < 85 for s in near.values()) and any(s < 80 for s in near.values())
+    for percent, got in ((85, near_dedup.near_duplicates(df).where("not kept")), (80, df.join(near_dedup.clean(df), "doc_id", "left_anti"))):
+        assert {r.doc_id for r in got.collect()} == {d for d, s in near.items() if s >= percent}
+    assert [near_dedup.may_differ(p) for p in (85, 80)] == [54, 65]
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert all(r.kept for r in near_dedup.near_duplicates(df).collect())

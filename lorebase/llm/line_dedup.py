@@ -9,7 +9,9 @@ or more suffixes and the document in which each begins first; a join with it mar
 in an interval which began in an earlier document.  Repeats inside one document are settled in its row.
 
 A run is deleted if it has ``2**min_level`` lines or more and a copy of it starts earlier (smaller doc_id, or
-the same document, earlier line).  ``longest`` is the largest 2**h with a copied prefix of that many lines.
+the same document, earlier line).  A single line of ``LINE_WORDS`` words or more is a run of its own: level 0
+has intervals of such lines only, so short lines that many documents share stay.  ``longest`` is the largest
+2**h with a copied prefix of that many lines.
 
 Defined results: null text has no lines; blank lines count as lines, but a run without words is never
 deleted; rows that repeat both doc_id and text are one document and get the same result; several texts under
@@ -22,16 +24,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import WORD_CLASS, materialize, text_column, where_settled
+from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, materialize, text_column, where_settled
 
 #: Levels from the deciding one on that are built: runs of 2, 4, 8, 16 lines.
 LEVELS = 4
+#: Words from which a single line counts as a run, as many as the passages of op1 have.
+LINE_WORDS = 20
 NAMES = "array<struct<a:bigint,b:bigint,w:boolean>>"
 
 
+def _is_long(line: Column) -> Column:
+    """Whether a line has LINE_WORDS words; such a line has a character and a space for each but the last."""
+    pattern = rf"^{SPACE_CLASS}*+(?:{WORD_CLASS}++{SPACE_CLASS}++){{{LINE_WORDS - 1}}}{WORD_CLASS}"
+    return (F.length(line) >= 2 * LINE_WORDS - 1) & line.rlike(pattern)
+
+
 def _line_ids(lines: Column) -> Column:
     return F.transform(
-        lines, lambda s: F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(7), s).alias("b"), s.rlike(WORD_CLASS).alias("w"))
+        lines,
+        lambda s: F.struct(
+            F.xxhash64(s).alias("a"), F.xxhash64(F.lit(7), s).alias("b"), s.rlike(WORD_CLASS).alias("w"), _is_long(s).alias("l")
+        ),
     )
 
 
@@ -57,6 +70,14 @@ def _names(rows: DataFrame, upto: int) -> DataFrame:
     return rows
 
 
+def _long_lines() -> Column:
+    """Names and places of the long lines."""
+    return F.filter(
+        F.transform("level0", lambda s, i: F.struct(F.lit(0).cast("byte").alias("level"), s["a"].alias("a"), s["b"].alias("b"), s["l"].alias("w"), i.alias("start"))),
+        lambda n: n["w"],
+    )
+
+
 def _tagged(level: int) -> Column:
     return F.transform(
         f"level{level}",
@@ -65,10 +86,12 @@ def _tagged(level: int) -> Column:
 
 
 def copied_suffixes(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFrame:
-    """doc_id, key, starts, longest: suffixes whose first 2**min_level lines begin in an earlier document."""
+    """doc_id, key, starts, singles, longest: suffixes whose first 2**min_level lines, or first long line, begin in an earlier document."""
     text = text_column(docs)
     rows = _names(docs.select("doc_id", F.xxhash64(text).alias("key"), F.split(text, "\n").alias("lines")), min_level + levels - 1)
     tagged = [_tagged(n) for n in range(min_level, min_level + levels)]
+    if min_level > 0:
+        tagged.append(_long_lines())
     suffixes = (
         rows.select("doc_id", "key", F.explode(F.concat(*tagged)).alias("n"))
         .where("n.w")
@@ -88,6 +111,7 @@ def copied_suffixes(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -
         .groupBy("doc_id", "key")
         .agg(
             F.collect_set(F.when(F.col("level") == min_level, F.col("start"))).alias("starts"),
+            F.collect_set(F.when(F.col("level") < min_level, F.col("start"))).alias("singles"),
             F.pow(F.lit(2), F.max("level")).cast("int").alias("longest"),
         )
     )
@@ -97,11 +121,13 @@ def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFram
     """Add n_lines, n_removed, longest and kept_text to each document."""
     width = 1 << min_level
     docs = docs.drop("n_lines", "n_removed", "longest", "kept_text", "_key")
-    marks = copied_suffixes(docs, min_level, levels).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_mark"), "starts", "longest")
+    none = F.array().cast("array<int>")
+    marks = copied_suffixes(docs, min_level, levels).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_mark"), "starts", F.col("singles").alias("_singles"), "longest")
     keyed = docs.withColumn("_key", F.xxhash64(text_column(docs)))
     rows = keyed.join(marks, (keyed["doc_id"] == marks["_doc"]) & (keyed["_key"] == marks["_mark"]), "left").drop("_doc", "_mark", "_key")
     rows = rows.withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    rows = _names(rows, min_level).withColumnRenamed(f"level{min_level}", "_top")
+    rows = _names(rows, min_level).withColumn("_long", F.sort_array(F.transform(_long_lines(), lambda n: F.struct(n["a"].alias("a"), n["b"].alias("b"), n["start"].alias("i")))))
+    rows = rows.withColumnRenamed(f"level{min_level}", "_top")
     rows = (
         rows.drop(*[f"level{n}" for n in range(min_level)])
         # Copies within the document: of equal names, sorted by position, all but the first.
@@ -129,7 +155,18 @@ def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFram
                 lambda p: p["i"],
             ),
         )
-        .withColumn("_starts", F.sort_array(F.array_union(F.coalesce("starts", F.array().cast("array<int>")), "_own")))
+        .withColumn("_starts", F.sort_array(F.array_union(F.coalesce("starts", none), "_own")))
+        # Long lines: all but the first of equal ones, and copies from earlier documents.
+        .withColumn(
+            "_singles",
+            F.array_union(
+                F.coalesce("_singles", none),
+                F.transform(
+                    F.filter("_long", lambda p, k: (k > 0) & F.coalesce((F.get("_long", k - 1)["a"] == p["a"]) & (F.get("_long", k - 1)["b"] == p["b"]), F.lit(False))),
+                    lambda p: p["i"],
+                ),
+            ),
+        )
         # Lines covered: each start deletes its run, less what the start before it has deleted already.
         .withColumn(
             "_gone",
@@ -142,6 +179,7 @@ def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFram
                 )
             ),
         )
+        .withColumn("_gone", F.when(F.size("_singles") > 0, F.sort_array(F.array_union("_gone", "_singles"))).otherwise(F.col("_gone")))
         .withColumn("n_lines", F.size("lines").cast("long"))
         .withColumn("n_removed", F.size("_gone").cast("long"))
         # Kept lines are the stretches between deleted ones.
@@ -165,7 +203,7 @@ def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFram
         )
         .withColumn("longest", F.coalesce("longest", F.lit(0)))
     )
-    return rows.drop("lines", "_top", "_twice", "_pairs", "_own", "starts", "_starts", "_gone", "_edges")
+    return rows.drop("lines", "_top", "_twice", "_pairs", "_own", "_long", "_singles", "starts", "_starts", "_gone", "_edges")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -41,6 +41,33 @@ def test_line_dedup(spark):
     assert 65 not in {r.doc_id for r in line_dedup.clean(df).collect()}
 
 
+def test_long_single_lines(spark):
+    """A copied line of 20 words or more goes wherever it stands; a shorter one stays."""
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices("abcdefgh", k=n)) for n in (3, 18, 19, 20, 21, 60, 60, 680)] + ["  " + "w\t" * 19 + "w ", "w " * 19, "x" * 90]
+    docs = {0: "head\n" + pool[5] + "\ntail", 1: pool[5] + "\nother", 2: pool[7], 3: pool[7], 4: None, 5: "a\n" + pool[4] + "\nb\n" + pool[4] + "\nc"}
+    docs |= {i: "\n".join(x for k in range(rng.randint(1, 9)) for x in (rng.choice(pool), f"own {i} {k}")) for i in range(6, 80)}
+    want, seen = {}, set()
+    runs = dedup_by_hand(docs)
+    for d in sorted(docs):
+        assert runs[d][1] == 0 or d < 6
+        lines = (docs[d] or "").split("\n") if docs[d] is not None else []
+        gone = set()
+        for i, x in enumerate(lines):
+            if len(x.split()) >= 20:
+                if x in seen:
+                    gone.add(i)
+                seen.add(x)
+        want[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    df = spark.createDataFrame([*docs.items(), (3, docs[3])], "doc_id long, text string").repartition(5)
+    got = line_dedup.dedup(df).collect()
+    assert len(got) == len(docs) + 1
+    for r in got:
+        assert (r.n_lines, r.n_removed, r.kept_text) == want[r.doc_id], r.doc_id
+    assert want[1] == (2, 1, "other") and want[3][1] == 1 and want[5][1] == 1
+    assert 3 not in {r.doc_id for r in line_dedup.clean(df).collect()}
+
+
 def test_leaks(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(400)]

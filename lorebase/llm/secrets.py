@@ -25,8 +25,8 @@ from lorebase.llm.common import text_column
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-#: The weak parts.
-BARE_KEY = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}"
+#: The weak parts.  A key begins where its own characters do, so KEY=value, name_value and a.value count.
+BARE_KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9_./-]*"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 

@@ -1,12 +1,11 @@
-"""Line dedup over a suffix array of line IDs, by prefix doubling.
+"""Line dedup by hashes of line runs, named by prefix doubling; no suffix array is built.
 
 A line's ID is a 128-bit hash.  The name of a suffix at level h is the hash of its first 2**h lines: the
 names of level h + 1 come from pairs of names of level h, 2**h lines apart (prefix doubling).  Both lie in
-the same document, so doubling needs no shuffle; ordering all suffixes by their names of levels 0, 1, 2, ...
-puts those that share 2**h lines side by side, and each run of equal names is one interval of the
-longest-common-prefix array at that depth.  One aggregation over (level, name) finds the intervals with two
-or more suffixes and the document in which each begins first; a join with it marks every suffix that lies
-in an interval which began in an earlier document.  Repeats inside one document are settled in its row.
+the same document, so doubling needs no shuffle.  Suffixes are neither ranked nor ordered: those with equal
+names at a level are one group, called an interval here.  One aggregation over (level, name) finds the
+intervals with two or more suffixes and the document in which each begins first; a join with it marks every
+suffix that lies in an interval which began in an earlier document.  Repeats inside one document are settled in its row.
 
 A run is deleted if it has ``2**min_level`` lines or more and a copy of it starts earlier (smaller doc_id, or
 the same document, earlier line).  A single line of ``LINE_WORDS`` words or more is a run of its own: level 0

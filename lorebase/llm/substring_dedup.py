@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole table.
+"""Substring dedup by minimizer classes of windows over the whole table, in place of a Lempel-Ziv parse.
 
 A window is ``WINDOW`` consecutive words of one document.  The reference is every document; its index is cut
 into blocks by hash, and a document's phrases are looked up in the block that their hash names, so all blocks
@@ -11,8 +11,9 @@ words they span.  Entries whose anchor occurs once in the table are dropped at o
 Factors.  Equal entries form a class.  All windows of any but its first member start earlier elsewhere: they
 lie inside a factor.  Where one anchor has several classes, factors end somewhere between them: only there,
 at factor boundaries, and only for the first member of each class, windows are looked up one by one.
-A document is then parsed greedily: at each position the longest run of windows with an earlier start is one
-factor, words between factors are literals, and factors of ``WINDOW`` words or more are deleted.
+Each longest run of windows with an earlier start is then one factor, whose windows may start at different
+places: no source position is carried and no longest match sought.  Words between factors are literals, and
+factors, which have ``WINDOW`` words or more, are deleted.
 
 Answers return to documents as lists of integers, so groups are bounded by one document's length.  Counting
 and first occurrences use aggregations with partial sums; a phrase that a third of all rows share costs each
@@ -142,7 +143,7 @@ def repeated(codes: np.ndarray, n_windows: int) -> np.ndarray:
 
 
 def factors(mask: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy parse: (start, length in words) of the maximal factors; the rest are literals."""
+    """(start, length in words) of the maximal runs of repeated windows; the rest are literals."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return [(int(s), int(e - s) + window - 1) for s, e in zip(edges[::2], edges[1::2], strict=True)]
 

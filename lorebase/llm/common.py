@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +20,84 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a new one where that is unset, in local mode only.
+
+    Executors of a cluster do not share local folders: without a shared one their rows would be lost.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-lorebase-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+#: Tables written so far inside each open ``scratch`` block, innermost last.
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what ``materialize`` writes inside the block when it ends.
+
+    Results are lazy, so write what must stay to a place of its own before the block ends.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def own_columns(docs: DataFrame, *also: Column) -> DataFrame:
+    """``_own``, a struct of all columns of ``docs``, and ``also``: whatever users call theirs, no name clashes."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_own"), *also)
+
+
+def with_own(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``_own`` in their order, those in ``new`` replaced or added."""
+    given = [new.pop(c).alias(c) if c in new else F.col(f"_own.`{c}`").alias(c) for c in columns]
+    return rows.select(*given, *[v.alias(k) for k, v in new.items()])
+
+
+#: Size of a bit set, as a power of two: 2**24 bits are 2 MB, whatever the input.
+SET_BITS = 24
+
+
+def bit_set(values: DataFrame) -> Column:
+    """A set of the longs in the only column of ``values``: an array of 2**(SET_BITS - 6) longs, as a scalar subquery.
+
+    Of fixed size; like a Bloom filter it may take a value for a member, never the other way round.
+    """
+    (name,) = values.columns
+    probes = F.explode(F.array(F.shiftrightunsigned(name, 64 - SET_BITS), F.shiftrightunsigned(name, 32 - SET_BITS).bitwiseAND((1 << SET_BITS) - 1)))
+    bits = values.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")
+    )
+    every = values.sparkSession.range(1 << (SET_BITS - 6)).select(F.col("id").cast("int").alias("slot"))
+    filled = every.join(bits, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("all"))
+    return filled.select(F.col("all.word")).scalar()
+
+
+def may_hold(members: Column, value: Column) -> Column:
+    """Whether a bit set may hold a value."""
+    hit = lambda bit: F.getbit(F.get(members, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+    return hit(F.shiftrightunsigned(value, 64 - SET_BITS)) & hit(F.shiftrightunsigned(value, 32 - SET_BITS).bitwiseAND((1 << SET_BITS) - 1))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

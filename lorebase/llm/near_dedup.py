@@ -18,9 +18,11 @@ less than 1e-10) and what passes is confirmed on the full sets.
 Sets travel only for pairs that pass the signature, so an exact copy or a chance hit costs a few bytes.
 
 Defined results: null or empty text has no shingles and is linked with nothing (its own component, kept); with
-fewer words than a shingle the whole sequence is the only one; repeated doc_ids are one vertex, and each of its
-rows gets the same component; a null doc_id is linked with nothing, its component is null and it is kept;
-extra columns pass through ``clean``; an empty table gives an empty table.
+fewer words than a shingle the whole sequence is the only one; vertices are sets of shingles, not doc_ids, so
+rows that share a doc_id but not their text are judged by their own texts, and rows that repeat both are one;
+a component is named by its smallest doc_id; a null doc_id is linked with nothing, its component is null and
+it is kept; extra columns pass through ``clean``, which drops rows, not ids, and keeps one of the rows that
+repeat doc_id and text (any, if their other columns differ); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import materialize, text_column
+from lorebase.llm.common import materialize, own_columns, text_column, with_own
 from lorebase.llm.components import components
 from lorebase.llm.wordhash import grams, mix, slices, words
 
@@ -46,7 +48,7 @@ _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 #: Similarity, in hundredths, from which the pipeline stage drops copies (op8 has its own, 85).
 STAGE_PERCENT = 80
-PROFILE = "doc_id long, n long, k1 long, k2 long, bands array<long>, sig array<long>, sketch binary"
+PROFILE = "doc_id long, key long, n long, k1 long, k2 long, bands array<long>, sig array<long>, sketch binary"
 #: Members of one block of a bucket, about.
 BLOCK = 256
 
@@ -103,7 +105,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sig = ((top.reshape(-1, 16) & np.uint64(15)) << nibbles).sum(axis=1, dtype=np.uint64)
             once = mix(found)
             out.append((len(found), once.sum(dtype=np.uint64).astype(np.int64), mix(once + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64), band.view(np.int64), sig.view(np.int64), _sketch(found)))
-        yield pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sig", "sketch"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n", "k1", "k2", "bands", "sig", "sketch"]]
+        yield pd.DataFrame(out, columns=["n", "k1", "k2", "bands", "sig", "sketch"]).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy(), key=pdf["key"].to_numpy())[["doc_id", "key", "n", "k1", "k2", "bands", "sig", "sketch"]]
 
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +113,7 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A thousand sets at a time: they are larger than their texts.
         for i in range(0, len(pdf), 1000):
             part = pdf.iloc[i : i + 1000]
-            yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "shingles": [s.view(np.int64) for s in _sets(part["text"].tolist())]})
+            yield pd.DataFrame({"node": part["node"].to_numpy(), "shingles": [s.view(np.int64) for s in _sets(part["text"].tolist())]})
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -195,10 +197,12 @@ def _across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return blocks.join(other, "band").where("i <= j").select("band", "i", "j", "x", "y").mapInPandas(_pairs_of_blocks(percent), "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v): pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInPandas(_full_sets, "node long, shingles array<long>"), "sets")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select("node", "doc_id", "key")
+    texts = docs.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text")
+    sets = materialize(texts.mapInPandas(_full_sets, "node long, shingles array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b"
     )
@@ -206,24 +210,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("_x") + F.size("_y") - common) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
-    profile = materialize(slim.mapInPandas(_profiles, PROFILE), "profile")
+def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, key, n, row, least, component_id, first: rows of ``docs``, the id of each row, and of its component
+    the smallest doc_id and, of the rows with that doc_id, the one to keep."""
+    text = text_column(docs)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    # Rows are numbered once, in the written table; a class of equal sets is named by its least row.
+    profile = materialize(slim.mapInPandas(_profiles, PROFILE).withColumn("row", F.monotonically_increasing_id()), "profile")
+    shingled = profile.where("n > 0 and doc_id is not null")
     # Sides that are aggregated are written first: a join of two plain exchanges can split a hot key.
-    classes = materialize(profile.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "copies")
+    classes = materialize(
+        shingled.groupBy("k1", "k2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows"), "copies"
+    )
+    own = lambda c: F.when((F.col("row") == F.coalesce("node", "row")) & F.col("doc_id").isNotNull(), F.col(c)).alias(c)
     classed = materialize(
         profile.join(classes, ["k1", "k2", "n"], "left").select(
-            "doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"),
-            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("bands")).alias("bands"),
-            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("sig")).alias("sig"),
-            F.when(F.col("doc_id") == F.coalesce("rep", "doc_id"), F.col("sketch")).alias("sketch"),
+            "doc_id", "key", "n", "row",
+            F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.coalesce("node", "row")).alias("node"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("least"),
+            own("bands"), own("sig"), own("sketch"),
         ),
         "classes",
     )
     reps = classed.where("bands is not null")
-    signatures = reps.select(F.col("rep").alias("node"), "n", "sig")
-    banded = reps.select(F.col("rep").alias("node"), F.explode("bands").alias("band"))
+    signatures = reps.select("node", "n", "sig")
+    banded = reps.select("node", F.explode("bands").alias("band"))
     buckets = materialize(
         banded.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot < _last").drop("_last"), "pivots"
     )
@@ -234,30 +245,54 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # One partner for each: the pivot of most of its buckets.
     best = stars.groupBy("b").agg(F.min(F.struct(-F.col("shared"), "a"))["a"].alias("a")).select("a", "b")
     pairs = materialize(_liked(best, signatures, percent), "pairs")
-    edges = materialize(_confirmed(pairs, slim, percent), "links")
+    edges = materialize(_confirmed(pairs, slim, reps, percent), "links")
     found = materialize(components(edges), "components")
     # Its other pivots, where they are not yet in its component.
     pairs = materialize(_liked(_apart(stars.select("a", "b"), found), signatures, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        edges = materialize(edges.unionByName(_confirmed(pairs, slim, percent)), "links")
+        edges = materialize(edges.unionByName(_confirmed(pairs, slim, reps, percent)), "links")
         found = materialize(components(edges), "components")
     # What still shares a bucket but not a component.
     placed = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("band"), "mixed")
     open_ = placed.join(mixed, "band")
-    rest = _across(open_, reps.select(F.col("rep").alias("node"), "n", "sig", "bands", "sketch"), percent)
+    rest = _across(open_, reps.select("node", "n", "sig", "bands", "sketch"), percent)
     pairs = materialize(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        found = components(edges.unionByName(_confirmed(pairs, slim, percent)))
-    named = found.select(F.col("node").alias("rep"), "component").distinct()
-    return classed.join(named, "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep").alias("component_id"),
-        F.coalesce(F.coalesce("component", "rep") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        found = materialize(components(edges.unionByName(_confirmed(pairs, slim, reps, percent))), "components")
+    # Of each component the smallest doc_id, and of each class the first row that has its smallest doc_id.
+    linked = reps.select("node", "least").join(found.select("node", "component").distinct(), "node")
+    names = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    return classed.join(names, "node", "left").select(
+        "doc_id", "key", "n", "row", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "least").alias("component_id")
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text)."""
+    return grouped(docs, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group (similarity 0.80 or more); the columns of ``docs``."""
-    dropped = near_duplicates(docs, STAGE_PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one row of each group (similarity 0.80 or more); the columns of ``docs``.
+
+    The row that stays is one with the group's smallest doc_id.  Rows without words, or without a doc_id, stay.
+    """
+    rows = materialize(grouped(docs, STAGE_PERCENT).where("n > 0 and doc_id is not null"), "grouped")
+    # Where one doc_id has several texts of a group, the least text hash stays.
+    first = materialize(
+        rows.where("doc_id = component_id").groupBy("component").agg(F.min("key").alias("kept_key"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "kept-keys"
+    )
+    dropped = rows.join(first, "component", "left").where((F.col("doc_id") != F.col("component_id")) | (F.col("key") != F.coalesce("kept_key", "key")))
+    gone = dropped.select("doc_id", F.col("key").alias("_key")).distinct().select(F.col("doc_id").alias("_doc"), "_key")
+    # Rows that repeat doc_id and text are few and meet by themselves; the rest needs no shuffle of texts.
+    twice = materialize(rows.groupBy("doc_id", "key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")), "repeats")
+    once = twice.join(gone, ["_doc", "_key"], "left_anti")
+    held = own_columns(docs, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_column(docs)).alias("_text_key"))
+    at = (F.col("_id") == F.col("_doc")) & (F.col("_text_key") == F.col("_key"))
+    left = held.join(gone.unionByName(once), at, "left_anti")
+    one_each = held.join(once, at, "left_semi").dropDuplicates(["_id", "_text_key"])
+    return with_own(left.unionByName(one_each), docs.columns)

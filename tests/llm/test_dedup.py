@@ -104,6 +104,20 @@ def test_null_ids(spark):
     assert substring_dedup.dedup(df).where("doc_id is null").count() == 2
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """Rows are dropped, not ids: another text under a dropped copy's doc_id stays, whatever the columns are called."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "alpha beta gamma delta epsilon zeta"
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c.upper()), (7, b), (9, b), (2, ""), (2, ""), (None, a), (4, None), (8, c), (6, "x y"), (6, "x y")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "o") for i, t in rows], "doc_id long, text string, node int, key int, component int, _own string").repartition(3)
+    left = near_dedup.clean(df)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    low = min((c, c.upper()), key=lambda t: spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t)").first()[0])
+    assert got == sorted([(3, a), (5, b), (7, low), (2, ""), (2, ""), (None, a), (4, None), (6, "x y")], key=str)
+    found = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect() if r.doc_id == 5}
+    assert found == {(5, 3), (5, 5)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]

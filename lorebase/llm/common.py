@@ -37,11 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
-    if _open:
+    if _open and not keep:
         _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -114,4 +117,14 @@ def where_settled(df: DataFrame, condition: Column) -> DataFrame:
     built on one another by higher-order functions that multiplies the work with every level.  It leaves a
     filter above a column that is not deterministic, such as a row number.
     """
-    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+    return df.withColumn("_settled", F.monotonically_increasing_id()).where(condition & (F.col("_settled") >= 0)).drop("_settled")
+
+
+def sample_of(rows: DataFrame, total: int, size: int) -> DataFrame:
+    """At most ``size`` distinct rows (doc_id, key, ...) of about ``total``: those with the least hash, in every run the same.
+
+    Twenty times as many rows as asked for are looked at, so copies of one row do not fill the sample.
+    """
+    share = int(min(1.0, 20 * size / max(total, 1)) * (1 << 30))
+    near = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "key"), F.lit(1 << 30)) < share)
+    return near.distinct().orderBy(F.xxhash64("doc_id", "key"), *rows.columns).limit(size)

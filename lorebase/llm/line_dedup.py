@@ -1,215 +1,138 @@
-"""Line dedup by hashes of line runs, named by prefix doubling; no suffix array is built.
-
-A line's ID is a 128-bit hash.  The name of a suffix at level h is the hash of its first 2**h lines: the
-names of level h + 1 come from pairs of names of level h, 2**h lines apart (prefix doubling).  Both lie in
-the same document, so doubling needs no shuffle.  Suffixes are neither ranked nor ordered: those with equal
-names at a level are one group, called an interval here.  One aggregation over (level, name) finds the
-intervals with two or more suffixes and the document in which each begins first; a join with it marks every
-suffix that lies in an interval which began in an earlier document.  Repeats inside one document are settled in its row.
-
-A run is deleted if it has ``2**min_level`` lines or more and a copy of it starts earlier (smaller doc_id, or
-the same document, earlier line).  A single line of ``LINE_WORDS`` words or more is a run of its own: level 0
-has intervals of such lines only, so short lines that many documents share stay.  ``longest`` is the largest
-2**h with a copied prefix of that many lines.
-
-Defined results: null text has no lines; blank lines count as lines, but a run without words is never
-deleted; rows that repeat both doc_id and text are one document and get the same result; several texts under
-one doc_id start at the same place, so none makes the other a copy; extra columns pass through; an empty
-table gives an empty table.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
+
+A document's text is a sequence of lines; a line's ID is a 128-bit hash.  A suffix is a place in such a sequence
+and runs to the end of its document.  Ranks order all suffixes by their first 2**h lines: those of h = 0 come
+from a range-partitioned sort of the line IDs, and those of h + 1 from a sort of pairs of ranks, of a suffix and of
+the one 2**h lines after it in the same document.  A rank is a number that grows with its sort key from partition
+to partition, so no task sees the whole order.
+
+Suffixes with equal rank at h are an interval of the suffix array in which neighbours share a prefix of 2**h lines
+or more (a longest-common-prefix interval).  An interval of one suffix ends there: only suffixes that share
+theirs go on, so the table shrinks with every round, and doubling ends when no interval is left, however long
+the longest repeat is.  For each suffix the deepest interval of which it is not the first member says that its first
+2**h lines stand earlier too, and where.  Overlapping ones of a document are joined, which gives the maximal copied
+runs of lines at their exact length, as a maximal run is covered by the prefixes of the suffixes inside it.
+
+A copied run of ``min_lines`` lines or more is deleted, and so is a copied line of ``line_words`` words or more;
+shorter single lines that many documents share stay.  Earlier means: smaller doc_id (null first), then smaller
+text hash, then earlier line; so of several texts under one doc_id one is the first.
+
+Defined results: null text has no lines; blank lines count as lines, but a run without words is never deleted;
+rows that repeat both doc_id and text are one document and get the same result; extra columns pass through,
+and those that have a result's name are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, materialize, text_column, where_settled
+from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, materialize, own_columns, text_column, where_settled, with_own
 
-#: Levels from the deciding one on that are built: runs of 2, 4, 8, 16 lines.
-LEVELS = 4
-#: Words from which a single line counts as a run, as many as the passages of op1 have.
-LINE_WORDS = 20
-NAMES = "array<struct<a:bigint,b:bigint,w:boolean>>"
+#: Lines from which a run counts, and words from which a single line does, as many as the passages of op1 have.
+MIN_LINES, LINE_WORDS = 2, 20
 
 
-def _is_long(line: Column) -> Column:
-    """Whether a line has LINE_WORDS words; such a line has a character and a space for each but the last."""
-    pattern = rf"^{SPACE_CLASS}*+(?:{WORD_CLASS}++{SPACE_CLASS}++){{{LINE_WORDS - 1}}}{WORD_CLASS}"
-    return (F.length(line) >= 2 * LINE_WORDS - 1) & line.rlike(pattern)
+def _is_long(line: Column, line_words: int) -> Column:
+    """Whether a line has so many words; such a line has a character and a space for each but the last."""
+    pattern = rf"^{SPACE_CLASS}*+(?:{WORD_CLASS}++{SPACE_CLASS}++){{{line_words - 1}}}{WORD_CLASS}"
+    return (F.length(line) >= 2 * line_words - 1) & line.rlike(pattern)
 
 
-def _line_ids(lines: Column) -> Column:
-    return F.transform(
-        lines,
-        lambda s: F.struct(
-            F.xxhash64(s).alias("a"), F.xxhash64(F.lit(7), s).alias("b"), s.rlike(WORD_CLASS).alias("w"), _is_long(s).alias("l")
-        ),
-    )
+def _ranked(suffixes: DataFrame, sort_key: list[str], name: str) -> DataFrame:
+    """sort_key, first and next: first member and rank of each interval of two suffixes or more, in the order of the key."""
+    groups = suffixes.groupBy(*sort_key).agg(F.min("place").alias("first"), F.max("place").alias("_last")).where("first < _last").drop("_last")
+    return materialize(groups.repartitionByRange(*sort_key).sortWithinPartitions(*sort_key).withColumn("next", F.monotonically_increasing_id()), name)
 
 
-def _doubled(names: str, level: int) -> Column:
-    """Names of level + 1 from those of ``level``: position i pairs with i + 2**level."""
-    step = 1 << level
-    left = F.size(names) - step
-    return F.when(
-        left > 0,
-        F.zip_with(
-            F.slice(names, F.lit(1), left),
-            F.slice(names, F.lit(step + 1), left),
-            lambda x, y: F.struct(F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(x["b"], y["b"]).alias("b"), (x["w"] | y["w"]).alias("w")),
-        ),
-    ).otherwise(F.array().cast(NAMES))
-
-
-def _names(rows: DataFrame, upto: int) -> DataFrame:
-    """Add columns level0 ... level<upto> to rows with ``lines``."""
-    rows = rows.withColumn("level0", _line_ids(F.col("lines")))
-    for level in range(upto):
-        rows = rows.withColumn(f"level{level + 1}", _doubled(f"level{level}", level))
-    return rows
-
-
-def _long_lines() -> Column:
-    """Names and places of the long lines."""
-    return F.filter(
-        F.transform("level0", lambda s, i: F.struct(F.lit(0).cast("byte").alias("level"), s["a"].alias("a"), s["b"].alias("b"), s["l"].alias("w"), i.alias("start"))),
-        lambda n: n["w"],
-    )
+def later_suffixes(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    """doc_id, key, start, level, worded, long, source: the suffixes of each interval but its first, at every level.
 
-
-def _tagged(level: int) -> Column:
-    return F.transform(
-        f"level{level}",
-        lambda s, i: F.struct(F.lit(level).cast("byte").alias("level"), s["a"].alias("a"), s["b"].alias("b"), s["w"].alias("w"), i.alias("start")),
-    )
-
-
-def copied_suffixes(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFrame:
-    """doc_id, key, starts, singles, longest: suffixes whose first 2**min_level lines, or first long line, begin in an earlier document."""
+    ``source`` is the place (doc_id, key, start) of that first one; ``worded``: some line of the prefix has words;
+    ``long``: the prefix is a single line of ``line_words`` words or more.
+    """
     text = text_column(docs)
-    rows = _names(docs.select("doc_id", F.xxhash64(text).alias("key"), F.split(text, "\n").alias("lines")), min_level + levels - 1)
-    tagged = [_tagged(n) for n in range(min_level, min_level + levels)]
-    if min_level > 0:
-        tagged.append(_long_lines())
-    suffixes = (
-        rows.select("doc_id", "key", F.explode(F.concat(*tagged)).alias("n"))
-        .where("n.w")
-        .select("doc_id", "key", "n.level", "n.a", "n.b", "n.start")
-    )
-    # Written first: a join of two plain exchanges can split a run that very many documents share.
-    intervals = materialize(
-        suffixes.groupBy("level", "a", "b")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last")
-        .drop("last"),
-        "intervals",
+    lines = (
+        docs.where(F.col("text").isNotNull())
+        .select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("start", "line"))
+        .select(
+            F.struct("doc_id", "key", "start").alias("place"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"),
+            F.col("line").rlike(WORD_CLASS).alias("worded"), _is_long(F.col("line"), line_words).alias("long"),
+        )
     )
-    return (
-        suffixes.join(intervals, ["level", "a", "b"])
-        .where("doc_id > first")
-        .groupBy("doc_id", "key")
-        .agg(
-            F.collect_set(F.when(F.col("level") == min_level, F.col("start"))).alias("starts"),
-            F.collect_set(F.when(F.col("level") < min_level, F.col("start"))).alias("singles"),
-            F.pow(F.lit(2), F.max("level")).cast("int").alias("longest"),
+    # Rows that repeat doc_id and text hold the same places: an interval of one place is none.
+    names = _ranked(lines, ["a", "b"], "line-ranks")
+    held = materialize(lines.join(names, ["a", "b"]).select("place", F.col("next").alias("rank"), "first", "worded", "long").distinct(), "suffixes-0")
+    levels: list[DataFrame] = []
+    while True:
+        level = len(levels)
+        levels.append(held.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", F.lit(level).alias("level"), "worded", "long", F.col("first").alias("source")))
+        # The rank of the suffix 2**level lines further on, where that is in an interval too.
+        ahead = Window.partitionBy("place.doc_id", "place.key").orderBy("place.start").rangeBetween(1 << level, 1 << level)
+        pairs = materialize(
+            held.select("place", "rank", F.first("rank").over(ahead).alias("then"), (F.col("worded") | F.first("worded").over(ahead)).alias("worded")).where("then is not null"),
+            f"pairs-{level}",
         )
+        names = _ranked(pairs, ["rank", "then"], f"ranks-{level + 1}")
+        if names.isEmpty():
+            break
+        held = materialize(pairs.join(names, ["rank", "then"]).select("place", F.col("next").alias("rank"), "first", "worded", F.lit(False).alias("long")), f"suffixes-{level + 1}")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def copied_runs(docs: DataFrame, min_lines: int = MIN_LINES, line_words: int = LINE_WORDS) -> DataFrame:
+    """doc_id, key, runs: of each document the copied runs (start, length, source of the first lines), apart from one another."""
+    least = min_lines.bit_length() - 1
+    if min_lines != 1 << least:
+        raise ValueError("min_lines is a power of two")
+    counted = later_suffixes(docs, line_words).where(((F.col("level") >= least) & F.col("worded")) | F.col("long"))
+    spans = counted.select("doc_id", "key", "start", (F.col("start") + F.expr("shiftleft(1, level)")).alias("end"), "source")
+    within = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("end"))
+    reached = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("run", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = numbered.groupBy("doc_id", "key", "run").agg(
+        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.min(F.struct("start", -F.col("end"), "source")).alias("_m")
     )
+    return runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "length", F.col("_m.source").alias("source")))).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_level: int = 1, levels: int = LEVELS) -> DataFrame:
-    """Add n_lines, n_removed, longest and kept_text to each document."""
-    width = 1 << min_level
-    docs = docs.drop("n_lines", "n_removed", "longest", "kept_text", "_key")
-    none = F.array().cast("array<int>")
-    marks = copied_suffixes(docs, min_level, levels).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_mark"), "starts", F.col("singles").alias("_singles"), "longest")
-    keyed = docs.withColumn("_key", F.xxhash64(text_column(docs)))
-    rows = keyed.join(marks, (keyed["doc_id"] == marks["_doc"]) & (keyed["_key"] == marks["_mark"]), "left").drop("_doc", "_mark", "_key")
-    rows = rows.withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    rows = _names(rows, min_level).withColumn("_long", F.sort_array(F.transform(_long_lines(), lambda n: F.struct(n["a"].alias("a"), n["b"].alias("b"), n["start"].alias("i")))))
-    rows = rows.withColumnRenamed(f"level{min_level}", "_top")
-    rows = (
-        rows.drop(*[f"level{n}" for n in range(min_level)])
-        # Copies within the document: of equal names, sorted by position, all but the first.
-        .withColumn("_twice", F.size(F.array_distinct(F.transform("_top", lambda n: n["a"]))) < F.size("_top"))
-        .withColumn(
-            "_pairs",
-            F.when(
-                F.col("_twice"),
-                F.sort_array(F.transform("_top", lambda n, i: F.struct(n["a"].alias("a"), n["b"].alias("b"), i.alias("i"), n["w"].alias("w")))),
-            ).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,i:int,w:boolean>>")),
-        )
-        .withColumn(
-            "_own",
-            F.transform(
-                F.filter(
-                    F.transform(
-                        "_pairs",
-                        lambda p, k: F.struct(
-                            p["i"].alias("i"),
-                            (p["w"] & (k > 0) & F.coalesce((F.get("_pairs", k - 1)["a"] == p["a"]) & (F.get("_pairs", k - 1)["b"] == p["b"]), F.lit(False))).alias("later"),
-                        ),
-                    ),
-                    lambda p: p["later"],
-                ),
-                lambda p: p["i"],
-            ),
-        )
-        .withColumn("_starts", F.sort_array(F.array_union(F.coalesce("starts", none), "_own")))
-        # Long lines: all but the first of equal ones, and copies from earlier documents.
-        .withColumn(
-            "_singles",
-            F.array_union(
-                F.coalesce("_singles", none),
-                F.transform(
-                    F.filter("_long", lambda p, k: (k > 0) & F.coalesce((F.get("_long", k - 1)["a"] == p["a"]) & (F.get("_long", k - 1)["b"] == p["b"]), F.lit(False))),
-                    lambda p: p["i"],
-                ),
-            ),
-        )
-        # Lines covered: each start deletes its run, less what the start before it has deleted already.
-        .withColumn(
-            "_gone",
-            F.flatten(
-                F.transform(
-                    "_starts",
-                    lambda s, k: F.sequence(
-                        F.when((k > 0) & (F.get("_starts", k - 1) + width > s), F.get("_starts", k - 1) + width).otherwise(s), s + width - 1
-                    ),
-                )
-            ),
-        )
-        .withColumn("_gone", F.when(F.size("_singles") > 0, F.sort_array(F.array_union("_gone", "_singles"))).otherwise(F.col("_gone")))
-        .withColumn("n_lines", F.size("lines").cast("long"))
-        .withColumn("n_removed", F.size("_gone").cast("long"))
-        # Kept lines are the stretches between deleted ones.
-        .withColumn("_edges", F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size("lines"))))
-        .withColumn(
-            "kept_text",
-            F.when(F.col("n_removed") == 0, F.coalesce("text", F.lit(""))).otherwise(
-                F.array_join(
-                    F.flatten(
-                        F.transform(
-                            F.filter(
-                                F.transform("_edges", lambda e, k: F.struct(e.alias("at"), (F.coalesce(F.get("_edges", k + 1), e + 1) - e - 1).alias("n"))),
-                                lambda x: x["n"] > 0,
-                            ),
-                            lambda x: F.slice("lines", x["at"] + 2, x["n"]),
-                        )
-                    ),
-                    "\n",
-                )
-            ),
-        )
-        .withColumn("longest", F.coalesce("longest", F.lit(0)))
+def _deduped(docs: DataFrame, min_lines: int, line_words: int) -> DataFrame:
+    """_own, _text, n_lines, n_removed, longest, runs, kept_text: one row per row of ``docs``."""
+    marks = copied_runs(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_lines, line_words)
+    held = own_columns(docs, F.col("doc_id").alias("_id"), docs["text"].cast("string").alias("_text"), F.xxhash64(text_column(docs)).alias("_key"))
+    rows = held.join(marks, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")), "left").select(
+        "_own", "_text",
+        F.when(F.col("_text").isNull(), F.array().cast("array<string>")).otherwise(F.split("_text", "\n")).alias("_lines"),
+        "runs",
     )
-    return rows.drop("lines", "_top", "_twice", "_pairs", "_own", "_long", "_singles", "starts", "_starts", "_gone", "_edges")
+    begins = F.transform("runs", lambda r: r["start"])
+    ends = F.transform("runs", lambda r: r["start"] + r["length"])
+    # Kept lines are the stretches between runs.
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("f"), F.concat(begins, F.array(F.size("_lines"))).alias("t"))
+    kept = F.flatten(F.transform(F.filter(between, lambda x: x["t"] > x["f"]), lambda x: F.slice("_lines", x["f"] + 1, x["t"] - x["f"])))
+    lengths = F.transform("runs", lambda r: r["length"])
+    return rows.select(
+        "_own", "_text",
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.aggregate(lengths, F.lit(0), lambda n, x: n + x), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"),
+        "runs",
+        F.when(F.col("runs").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+    )
+
+
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, line_words: int = LINE_WORDS) -> DataFrame:
+    """Each document with n_lines, n_removed, longest (copied run), runs (start, length, source; null if none) and kept_text."""
+    results = ("n_lines", "n_removed", "longest", "runs", "kept_text")
+    return with_own(_deduped(docs, min_lines, line_words), docs.columns, **{c: F.col(c) for c in results})
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: documents without later copies of runs; those that only held copies go."""
-    rows = where_settled(dedup(docs), (F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD_CLASS)).withColumn(
-        "text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    )
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    """Pipeline stage: documents without later copies of runs; those that only held copies go; the columns of ``docs``."""
+    rows = where_settled(_deduped(docs, MIN_LINES, LINE_WORDS), (F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD_CLASS))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_text"))
+    counted = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
+    return with_own(rows, docs.columns, text=text, **counted)

@@ -1,14 +1,14 @@
 """Quality rules, line first: failing lines go, then documents that lost too much text.
 
-Each line is judged by itself: runs of marks, symbol and capital shares (punctuation), separator chains
-(navigation) and fixed phrases (boilerplate).  A document is rejected if it has too few words or too many
+Each line is judged by itself: runs of marks, symbol and capital shares and sentences without an end
+(punctuation), separator chains (navigation) and fixed phrases in four languages (boilerplate).  A document is rejected if it has too few words or too many
 repeated words (base rules), or if its failing lines held more than ``max_lost`` of its word characters.
 
 Everything is computed inside the row of a document: no shuffle, no Python.
 
 Defined results: null or empty text has no words and fails the base rules; repeated rows are judged one by
-one; other columns of the input pass through and clashing names are replaced; an empty table gives an empty
-table; texts of any length are judged whole.
+one; other columns of the input pass through, and those that have a result's name are replaced by ``judge``
+and left alone by ``clean``; an empty table gives an empty table; texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -16,63 +16,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, text_column, where_settled, words
+from lorebase.llm.common import SPACE_CLASS, WORD_CLASS, own_columns, text_column, where_settled, with_own, words
 
 WINDOW = 5
 
-#: Phrases that mark a line as page furniture, matched in lower case.
+#: Phrases that mark a line as page furniture, in English, German, French and Spanish, matched in lower case.
 BOILERPLATE = (
-    "all rights reserved",
-    "click here",
-    "cookie policy",
-    "enable javascript",
-    "licensed under",
-    "privacy policy",
-    "released under the",
-    "subscribe to our",
-    "terms of service",
-    "terms of use",
-)
-#: Symbols that prose hardly uses.
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "privacy policy",
+    "released under the", "subscribe to our", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "hier klicken", "cookie-richtlinie", "datenschutzerklärung", "lizenziert unter", "nutzungsbedingungen",
+    "tous droits réservés", "cliquez ici", "politique de confidentialité", "conditions générales", "sous licence",
+    "todos los derechos reservados", "haga clic aquí", "política de privacidad", "términos de uso", "bajo licencia",
+)
+#: Symbols that prose hardly uses, and marks that end a line of prose.
 SYMBOLS = "[#*$%&|<>]"
+ENDS = ".!?:;…\"'”’»)]}。！？؟।"
+#: Words from which a line must end in one of them.
+SENTENCE_WORDS = 5
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def _without_space(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line with words that any line rule rejects; a line without words passes."""
-    chars = F.length(F.regexp_replace(line, SPACE_CLASS + "+", ""))
+    """True for a line with words that any line rule rejects; a line without words passes.
+
+    Rare signs are looked for first, and counted only where they stand: ``&`` and ``when`` end early.
+    """
     parts = F.size(F.split(line, " "))
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    rarely = lambda sign, rule: F.when(line.rlike(sign), rule).otherwise(F.lit(False))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    marks = F.regexp_count(line, F.lit(r"[!?]{2,}|\.{4,}")) * 3 > parts
-    symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 10 > chars
-    shouting = (letters >= 10) & (capitals * 10 > letters * 7)
-    navigation = F.regexp_count(line, F.lit(r" [|>»·] ")) >= 3
+    # Punctuation: runs of marks, symbols, capitals (of which two must then be neighbours), sentences without an end.
+    marks = rarely(r"[!?]{2}|\.{4}", count(r"[!?]{2,}|\.{4,}") * 3 > parts)
+    symbols = rarely(SYMBOLS, count(SYMBOLS) * 10 > F.length(_without_space(line)))
+    shouting = rarely(r"\p{Lu}\P{L}*\p{Lu}", (letters >= 10) & (capitals * 10 > letters * 7))
+    last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
+    endless = ~last.isin(*ENDS) & (parts >= SENTENCE_WORDS)
+    navigation = rarely(r"[|>»·]", count(r" [|>»·] ") >= 3)
     furniture = F.lower(line).rlike("|".join(BOILERPLATE))
-    return (chars > 0) & (marks | symbols | shouting | navigation | furniture)
+    return line.rlike(WORD_CLASS) & (endless | symbols | navigation | marks | shouting | furniture)
 
 
-def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """Add the counts, ``base_failed``, ``kept`` and ``clean_text`` (passing lines only) to each document."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-    rows = (
-        docs.drop(*own)
-        .withColumn("_text", text_column(docs))
+def _shifted(array: str, by: int) -> Column:
+    return F.slice(array, F.lit(by + 1), F.greatest(F.size(array) - by, F.lit(0)))
+
+
+def _pairwise(left: str, right: str, by: int) -> Column:
+    """Hash of each element of ``left`` with the one of ``right`` that stands ``by`` places further on."""
+    return F.when(
+        F.size(right) > by, F.zip_with(F.slice(left, F.lit(1), F.greatest(F.size(right) - by, F.lit(0))), _shifted(right, by), lambda a, b: F.xxhash64(a, b))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text")
+
+
+def _judged(docs: DataFrame, max_lost_percent: int, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """``_own`` and RESULTS."""
+    return (
+        own_columns(docs, text_column(docs).alias("_text"))
         .withColumn("_words", words(F.col("_text")))
         .withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+        .withColumn("word_chars", F.length(_without_space(F.col("_text"))).cast("long"))
         .withColumn("n_symbols", F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"))
-        # Hash of the window of five words at each position.
-        .withColumn(
-            "_hashes",
-            F.when(
-                F.size("_words") >= WINDOW,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("_words") - WINDOW),
-                    lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(WINDOW)]),
-                ),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
+        # Hash of the window of five words at each position: of two, of four, of five.
+        .withColumn("_one", F.transform("_words", lambda w: F.xxhash64(w)))
         .drop("_words")
+        .withColumn("_two", _pairwise("_one", "_one", 1))
+        .withColumn("_four", _pairwise("_two", "_two", 2))
+        .withColumn("_hashes", _pairwise("_four", "_one", WINDOW - 1))
+        .drop("_one", "_two", "_four")
         .withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
         # Only texts with a repeated window sort theirs: equal hashes meet, and neighbours tell.
         .withColumn(
@@ -114,7 +131,7 @@ def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_
         .withColumn("n_dup_lines", (F.size("_with_words") - F.size(F.array_distinct("_with_words"))).cast("long"))
         .withColumn("_good", F.filter("_lines", lambda s: ~line_fails(s)))
         .withColumn("clean_text", F.array_join("_good", "\n"))
-        .withColumn("_left", F.length(F.regexp_replace("clean_text", SPACE_CLASS + "+", "")))
+        .withColumn("_left", F.length(_without_space(F.col("clean_text"))))
         .withColumn(
             "base_failed",
             (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
@@ -124,12 +141,16 @@ def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_
             ~F.col("base_failed") & ((F.col("word_chars") - F.col("_left")) * 100 <= max_lost_percent * F.col("word_chars")),
         )
     )
-    return rows.drop("_text", "_repeats", "_starts", "_lines", "_with_words", "_good", "_left")
+    return rows.select("_own", *RESULTS)
+
+
+def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """Each document with the counts, ``base_failed``, ``kept`` and ``clean_text`` (passing lines only)."""
+    return with_own(_judged(docs, max_lost_percent, min_words, max_repeat_percent), docs.columns, **{c: F.col(c) for c in RESULTS})
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents that pass, with their passing lines; the columns of ``docs``."""
-    cleaned = where_settled(judge(docs), F.col("kept")).withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+    rows = where_settled(_judged(docs, 50, 10, 20), F.col("kept"))
+    counted = {"n_chars": F.length("clean_text").cast("long")} if "n_chars" in docs.columns else {}
+    return with_own(rows, docs.columns, text=F.col("clean_text"), **counted)

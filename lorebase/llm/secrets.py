@@ -3,7 +3,7 @@
 Base kinds are found wherever they stand.  Weak parts (bare mixed-case keys of 32 or more characters, and
 endpoint addresses) say little alone: they are reported only if a complementary part stands within
 ``scope`` code points of them, found by an interval join over (document, scope bucket).  An access
-identifier completes a bare key; an access identifier, an assignment or a linked bare key completes an
+identifier completes a bare key; an access identifier, an assignment, a hex run or a linked bare key completes an
 endpoint.
 
 Positions are code points and come from the gaps between matches, so the scan is one row-local expression
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import text_column
+from lorebase.llm.common import materialize, text_column
 
 #: The base kinds, in the order in which ties are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -78,7 +78,8 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     """One row per document: doc_id, counts, base digest, all spans as text and as an array."""
     text = text_column(docs)
     always = lambda m: F.lit(True)
-    found = docs.select(
+    # One scan of the texts: what it finds is narrow, and is read again for linking.
+    found = materialize(docs.select(
         "doc_id",
         F.xxhash64(text).alias("_key"),
         _spans(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8).alias("a"),
@@ -86,7 +87,7 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
         _spans(text, HEX, 2, always).alias("h"),
         _spans(text, BARE_KEY, 3, always).alias("k"),
         _spans(text, ENDPOINT, 4, always).alias("e"),
-    )
+    ), "spans")
     base = found.select(
         "doc_id", "_key",
         F.size("a").cast("long").alias("n_assign"),
@@ -96,8 +97,8 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     )
     # Repeated rows are the same document: their parts count once.
     parts = (
-        found.where(F.size("a") + F.size("c") > 0).where(F.size("k") + F.size("e") > 0)
-        .select("doc_id", "_key", F.explode(F.concat("a", "c", "k", "e")).alias("s"))
+        found.where(F.size("a") + F.size("c") + F.size("h") > 0).where(F.size("k") + F.size("e") > 0)
+        .select("doc_id", "_key", F.explode(F.concat("a", "c", "h", "k", "e")).alias("s"))
         .select("doc_id", "_key", "s.*").distinct()
     )
     linked = link(parts, scope).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_linked"))
@@ -117,7 +118,7 @@ def link(parts: DataFrame, scope: int) -> DataFrame:
     keys = parts.where("kind = 3")
     endpoints = parts.where("kind = 4")
     by_access = near(keys, parts.where("kind = 1"), scope)
-    complements = parts.where("kind in (0, 1)").unionByName(by_access)
+    complements = parts.where("kind in (0, 1, 2)").unionByName(by_access)
     return by_access.unionByName(near(endpoints, complements, scope))
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import materialize, text_column, words
+from lorebase.llm.common import materialize, own_columns, text_column, with_own, words
 
 BITS = 10
 LEVELS = 4
@@ -58,11 +58,11 @@ def _same(a, b):
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int = 2) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source, copies)."""
+    """One row per document: doc_id, size, source_size, target, taken (and source, key: the text's hash)."""
     text = text_column(docs)
     slim = materialize(
         docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"),
+            "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("key"),
             F.size(words(F.col("text"))).cast("long").alias("size"),
             F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - BITS * LEVELS).alias("hash"),
         ),
@@ -111,16 +111,18 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int =
     return slim.join(chosen.withColumnRenamed("source", "_s"), _same(F.col("source"), F.col("_s"))).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("base") + F.when((F.col("hash") < F.col("threshold")) & (F.col("base") < cap), 1).otherwise(0))).alias("taken"),
-        "source",
+        "source", "key",
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Pipeline stage: rows of which the mix takes words, with size, source_size, target and taken.
 
-    Figures are joined by doc_id; rows that repeat a doc_id share one text's decision (the one that takes most).
+    Columns of ``docs`` that have these names are replaced.  Figures are joined by doc_id and text hash; rows that
+    repeat both, in several sources, share the decision that takes most.
     """
-    own = ["size", "source_size", "target", "taken"]
-    plan = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("_m"))
-    rows = docs.drop(*own)
-    return rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc"])).where("_m.taken > 0").select(rows["*"], *[F.col(f"_m.{c}").alias(c) for c in own])
+    own = ("size", "source_size", "target", "taken")
+    plan = mix(docs).groupBy("doc_id", "key").agg(F.max(F.struct("taken", *own[:3])).alias("m"))
+    held = own_columns(docs, F.col("doc_id").alias("_id"), F.xxhash64(text_column(docs)).alias("_key"))
+    rows = held.join(plan, _same(F.col("_id"), F.col("doc_id")) & (F.col("_key") == F.col("key"))).where("m.taken > 0")
+    return with_own(rows, docs.columns, **{c: F.col(f"m.{c}") for c in own})

@@ -8,7 +8,8 @@ chunks are walked again side by side and their transitions write out the phrase
 
 The transition that ends a phrase emits the number of tokens of that phrase.  Those weights are compiled from
 the merge list: all phrases of a batch that are not in the table yet are merged together, rank by rank, and
-their counts enter a table of fixed size.  A text's count is the sum over its transitions.
+their counts enter a table of fixed size.  A phrase of more than ``LONG`` bytes (unbroken text) is merged by itself,
+over a heap of its pairs, in n log n steps.  A text's count is the sum over its transitions.
 
 Special strings of the vocabulary inside a text are one token each and end the phrase before them, as the
 library does by default.
@@ -19,6 +20,7 @@ columns are ignored; an empty table gives an empty table; very long texts are wa
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -125,6 +127,7 @@ class Merges:
     """The merge list as layered hash tables: (left, right) -> rank and merged token."""
 
     BITS = 19
+    LONG = 100
     NEVER = np.int32(2**31 - 1)
 
     def __init__(self, vocabulary: str):
@@ -143,6 +146,7 @@ class Merges:
         key, rank = left << np.uint64(32) | right, np.arange(len(pairs), dtype=np.int32)
         merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.merged = merged
+        self.pairs = dict(zip(zip(left.tolist(), right.tolist(), strict=True), range(len(pairs)), strict=True))
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.arange(len(key))
         while len(todo):
@@ -165,8 +169,42 @@ class Merges:
             out = np.where(keys[slot] == key, ranks[slot], out)
         return out
 
+    def long_count(self, data: bytes) -> int:
+        """Number of tokens of one phrase: pairs leave a heap by rank, then place, and tokens form a linked list."""
+        token, rank_of, merged = self.first[np.frombuffer(data, np.uint8)].tolist(), self.pairs.get, self.merged.tolist()
+        n = left = len(token)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | i for i, r in enumerate(map(rank_of, zip(token, token[1:], strict=False))) if r is not None]
+        heapq.heapify(heap)
+        while heap:
+            x = heapq.heappop(heap)
+            i = x & 0xFFFFFFFFFF
+            j = after[i]
+            # Out of date if the token is gone or has another neighbour by now.
+            if j == n or rank_of((token[i], token[j])) != x >> 40:
+                continue
+            token[i], token[j] = merged[x >> 40], -1
+            left -= 1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of((token[i], token[k]))) is not None:
+                    heapq.heappush(heap, r << 40 | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of((token[h], token[i]))) is not None:
+                heapq.heappush(heap, r << 40 | h)
+        return left
+
     def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Number of tokens of each phrase data[start : start + length], all merged together."""
+        """Number of tokens of each phrase data[start : start + length]."""
+        out = np.empty(len(starts), np.int64)
+        long = lengths > self.LONG
+        out[~long] = self._short_counts(data, starts[~long], lengths[~long])
+        out[long] = [self.long_count(data[s : s + n].tobytes()) for s, n in zip(starts[long], lengths[long], strict=True)]
+        return out
+
+    def _short_counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number of tokens of short phrases, all merged together."""
         out = lengths.astype(np.int64).copy()
         phrase = np.repeat(np.arange(len(starts)), lengths)
         at = np.arange(len(phrase)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)

@@ -3,8 +3,9 @@
 A text is cut into segments of ``STEPS`` bytes, all of them; the network runs forward and backward over each,
 labels every position with language chances, and a document's chances are the mean over its positions.
 
-Training takes a bounded sample (``SAMPLE`` documents with the least hash of doc_id, ``SEGMENTS`` segments of
-each, spread over the text) and backpropagates through time on the driver; only these segments come there.
+Training takes a bounded sample (``SAMPLE`` documents with the least hash of doc_id and text, ``SEGMENTS`` segments of
+each, spread over the text) and backpropagates through time on the driver; only these segments come there.  The
+sample is picked by ids and hashes, so no text travels for it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without anything to learn from
 so are all; repeated rows get the same result each; extra columns are ignored; an empty table gives an empty table.
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import text_column
+from lorebase.llm.common import sample_of, text_column
 from lorebase.llm.line_crf import held_out
 from lorebase.llm.wordhash import slices
 
@@ -187,11 +188,14 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
     """A model from the sample, or None without anything to learn from."""
-    usable = (
-        docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-        .select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select(
+        "doc_id", "lang", "text", F.xxhash64("text").alias("key")
     )
-    rows = sorted(usable.mapInPandas(_sampled, "doc_id long, at int, lang string, codes binary").collect(), key=lambda r: (r.doc_id, r.at, bytes(r.codes)))
+    picked = sample_of(usable.select("doc_id", "key", "lang"), docs.count(), sample)
+    # The sample is bounded, so it may be sent to every task.
+    known = usable.join(F.broadcast(picked), ["doc_id", "key", "lang"]).select("doc_id", "lang", "text")
+    found = known.mapInPandas(_sampled, "doc_id long, at int, lang string, codes binary").distinct().collect()
+    rows = sorted(found, key=lambda r: (r.doc_id, r.at, r.lang, bytes(r.codes)))
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})

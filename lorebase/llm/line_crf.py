@@ -4,8 +4,11 @@ Every line is labelled good or bad.  A line's features (case, marks, digits, rep
 of its neighbours; transitions tie labels together.  Forward-backward gives the marginal chance that a line is
 good, and a document's score is their mean weighted by length.
 
-Training takes a bounded sample of labelled documents (``SAMPLE``: those with the least hash of doc_id, of all
-that may be learned from); each line bears its document's label.  Only features come to the driver.
+Training takes a bounded sample of labelled documents (``SAMPLE``: those with the least hash of doc_id and text, of
+all that may be learned from).  A document of more than ``SAMPLE_LINES`` lines gives ``STRETCHES`` stretches of
+neighbouring lines, spread evenly from its first line to its last, that many lines in all; shorter ones give all
+theirs.  Each line bears its document's label.  Only features come to the driver, as bytes: at most
+SAMPLE * SAMPLE_LINES lines.  Scores always come from all lines.
 
 Defined results: null and empty texts are one empty line and get its score; rows without a label are scored like
 others; a document with several labels counts with the lowest; without any label, or with one kind only, every
@@ -22,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import text_column
+from lorebase.llm.common import sample_of, text_column
 from lorebase.llm.wordhash import mix, slices, words
 
-#: Bound of the training sample, in documents, and of the lines of one document that are learned from.
-SAMPLE, SAMPLE_LINES = 4000, 400
+#: Bounds of the training sample: documents, lines of one document, and stretches in which those lie.
+SAMPLE, SAMPLE_LINES, STRETCHES = 4000, 200, 8
 SCHEMA = "doc_id long, score double"
 _ASCII = np.arange(256)
 #: Classes of bytes that are counted in a line.
@@ -179,6 +182,15 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def spread_lines(n: int) -> np.ndarray:
+    """Lines of a text of n lines that are learned from."""
+    if n <= SAMPLE_LINES:
+        return np.arange(n)
+    long = SAMPLE_LINES // STRETCHES
+    starts = np.linspace(0, n - long, STRETCHES).astype(int)
+    return np.unique(starts[:, None] + np.arange(long))
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].tolist()
@@ -186,7 +198,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, _, bounds = line_features(texts[a:b])
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].to_numpy()[a:b], "label": pdf["label"].to_numpy()[a:b],
-                "x": [x[p : min(q, p + SAMPLE_LINES)].ravel() for p, q in zip(bounds[:-1], bounds[1:], strict=True)],
+                "x": [x[p + spread_lines(q - p)].astype(np.float32).tobytes() for p, q in zip(bounds[:-1], bounds[1:], strict=True)],
             })
 
 
@@ -195,16 +207,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineCrf |
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
+    texts = docs.select("doc_id", text_column(docs).alias("text"), F.xxhash64(text_column(docs)).alias("key"))
+    picked = sample_of(texts.select("doc_id", "key").join(usable, "doc_id"), labels.count(), sample)
     # The sample is bounded, so it may be sent to every task.
-    known = docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(usable), "doc_id")
-    rows = sorted(known.mapInPandas(_features, "doc_id long, label double, x array<float>").collect(), key=lambda r: (r.doc_id, len(r.x), r.x[:40]))
+    known = texts.join(F.broadcast(picked), ["doc_id", "key"]).select("doc_id", "label", "text")
+    found = known.mapInPandas(_features, "doc_id long, label double, x binary").distinct().collect()
+    rows = sorted(found, key=lambda r: (r.doc_id, bytes(r.x)))
     label = np.array([r.label for r in rows])
     if not len(rows) or label.min() == label.max():
         return float(label[0]) if len(rows) else 0.5
-    x = [np.asarray(r.x, np.float64).reshape(-1, 3 * N_OWN) for r in rows]
-    return LineCrf(3 * N_OWN).fit(np.concatenate(x), np.concatenate(([0], np.cumsum([len(p) for p in x]))), label)
+    x = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, 3 * N_OWN) for r in rows]
+    return LineCrf(3 * N_OWN).fit(np.concatenate(x).astype(np.float64), np.concatenate(([0], np.cumsum([len(p) for p in x]))), label)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:

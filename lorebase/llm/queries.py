@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorebase.llm import quality_rules
 from lorebase.llm.common import table
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lorebase.llm import quality_rules
-
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -43,7 +42,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorebase.llm import line_dedup
 
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+        "doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce(F.size("runs"), F.lit(0)).alias("n_runs"), "longest",
     )
 
 
@@ -92,8 +92,20 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-#: Words of a text, as DuckDB counts them.
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _words(text: str) -> str:
+    """Words of a text, as DuckDB counts them."""
+    return rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def _bare(text: str) -> str:
+    return rf"regexp_replace({text}, '[\x20\x09-\x0D]+', '', 'g')"
+
+
+_ENDS = quality_rules.ENDS.replace("'", "''")
+_WORDS = _words("coalesce(text, '')")
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": f"""
@@ -106,6 +118,37 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM one ANTI JOIN go
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
+two AS (SELECT doc_id, i, md5(concat(x, chr(10), y)) AS r FROM (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM one) WHERE y IS NOT NULL AND regexp_matches(concat(x, y), '{_WORD}')),
+late AS (SELECT doc_id, i, i + 2 AS e FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM two) WHERE k > 1),
+lines AS (SELECT doc_id, i, i + 1 AS e FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(x) ORDER BY doc_id, i) AS k FROM one WHERE len({_words('x')}) >= 20) WHERE k > 1),
+spans AS (SELECT * FROM late UNION ALL SELECT * FROM lines),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e)) AS i FROM spans),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+opened AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY i, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR i >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, e DESC ROWS UNBOUNDED PRECEDING) AS run FROM opened),
+runs AS (SELECT doc_id, count(*) AS runs, max(length) AS longest FROM (SELECT doc_id, run, max(e) - min(i) AS length FROM numbered GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs, 0)::INT AS n_runs, coalesce(longest, 0)::INT AS longest
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+    "op6_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+f AS (SELECT doc_id, l, len({_bare('l')}) AS chars, len(string_split(l, ' ')) AS parts, right(rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z,
+ len(regexp_replace(l, '[^\p{{L}}]+', '', 'g')) AS letters, len(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) AS capitals FROM lines WHERE regexp_matches(l, '{_WORD}')),
+j AS (SELECT doc_id, l, chars, len(regexp_extract_all(l, '[!?]{{2,}}|\.{{4,}}')) * 3 > parts OR len(regexp_extract_all(l, '{quality_rules.SYMBOLS}')) * 10 > chars
+ OR (letters >= 10 AND capitals * 10 > letters * 7) OR len(regexp_extract_all(l, ' [|>»·] ')) >= 3 OR (parts >= {quality_rules.SENTENCE_WORDS} AND instr('{_ENDS}', z) = 0)
+ OR regexp_matches(lower(l), '{"|".join(quality_rules.BOILERPLATE)}') AS fails FROM f),
+g AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN 0 ELSE chars END) AS rest FROM j GROUP BY doc_id),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len({_bare('t')})::BIGINT AS word_chars, len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,
+ coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(rest, 0) AS rest FROM d LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (word_chars - rest) * 100 <= 50 * word_chars AS kept FROM b""",
     "op8_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),

@@ -50,8 +50,11 @@ def test_substring(docs, texts):
     for r in rows:
         kept = " ".join(w for i, w in enumerate(own[r.doc_id]) if i not in gone[r.doc_id])
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(own[r.doc_id]), len(gone[r.doc_id]), hashlib.sha256(kept.encode()).hexdigest())
-        covered = {j for s, n in zip(r.factor_starts, r.factor_lengths) for j in range(s, s + n)}
-        assert covered == gone[r.doc_id] and all(n >= 20 for n in r.factor_lengths)
+        covered = [j for f in r.factors for j in range(f.start, f.start + f.length)]
+        assert sorted(covered) == sorted(gone[r.doc_id])
+        # Each factor stands, word for word, at an earlier place of the reference.
+        for f in r.factors:
+            assert own[r.doc_id][f.start : f.start + f.length] == own[f.doc][f.place : f.place + f.length] and (f.doc, f.place) < (r.doc_id, f.start)
     assert substring_dedup.dedup(docs.limit(0)).count() == 0
 
 
@@ -118,6 +121,21 @@ def test_repeated_ids_lose_no_text(spark):
     assert found == {(5, 3), (5, 5)}
 
 
+def test_factors_reach_furthest():
+    found = [(0, 30, 1, 100), (5, 27, 2, 0), (12, 40, 3, 50), (35, 60, 1, 7), (70, 95, 4, 0)]
+    assert substring_dedup.factors(found) == [(0, 30, 1, 100), (30, 10, 3, 68), (40, 20, 1, 12), (70, 25, 4, 0)]
+    assert substring_dedup.factors([]) == []
+
+
+def test_repeated_ids_keep_their_own_words(spark):
+    """Texts under one doc_id are told apart: the answers of one delete nothing from another."""
+    rng = random.Random(8)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b)]
+    got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 0), (5, 0), (5, 0), (5, 60), (6, 60)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]

@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  ``run`` writes each
 stage's rows as Parquet to the shared folder and rereads them, so a lost executor costs one stage at most.
+Tables that a stage writes for itself are deleted when its rows are written.
 All but the last return the columns of ``documents``; the mix adds its figures and leaves out what it does
-not take.  Near-dedup and the digests of line dedup have no SQL at this size, so ORACLE_SQL is None and
-tests/llm compare the rows with a plain version.
+not take.  The mix goes by a hash that DuckDB lacks, so ORACLE_SQL is None and tests/llm/test_pipeline.py
+compares the rows of each stage, and of ``run``, with a plain Python version on a small planted table.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.llm import decontam, line_dedup, mixing, near_dedup, quality_rules
-from lorebase.llm.common import materialize, table
+from lorebase.llm.common import materialize, scratch, table
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            docs = materialize(rows, "stage-" + name.replace(" ", "-"), keep=True)
     return docs

@@ -1,4 +1,4 @@
-"""Text functions as Column expressions: tokens, slugs, estimates, gates."""
+"""Text functions as Column expressions: tokens, slugs, estimates, digests."""
 
 from __future__ import annotations
 
@@ -39,40 +39,22 @@ def slugify(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(kept, r"[\s_]+", "-"), "^-+|-+$", ""), 1, 60)
 
 
-def labelled(pairs: list[tuple[Column, str, float]], otherwise: tuple[str, float]) -> Column:
-    """First rule that holds: struct(decision, confidence)."""
-    out = None
-    for test, decision, confidence in pairs:
-        value = F.struct(F.lit(decision).alias("decision"), F.lit(confidence).alias("confidence"))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(F.struct(F.lit(otherwise[0]).alias("decision"), F.lit(otherwise[1]).alias("confidence")))
-
-
-#: Words that mark a text for each decision of the gate.
-PERSIST_WORDS = "decision decided architecture agreed rule policy preference always never important critical must project milestone deadline launch release version".split()
-ACTIVE_WORDS = "fix implement create update change refactor debug deploy test merge push branch commit pr issue task ticket todo blocker progress status review approve request error bug crash fail broken problem".split()
-QUESTION_WORDS = "what how when where why who is can do does did will would should could hmm interesting oh ah well".split()
-SHORT_REPLIES = "ok okay k sure yep yup yeah nope nah lol thx thanks ty yes no maybe right correct wrong true false".split()
-
-
-def gate(text: Column) -> Column:
-    """Importance of a text by rules: struct(decision, confidence)."""
-    low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
-    size = F.length(F.coalesce(text, F.lit("")))
-    word = lambda words: low.rlike(rf"(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])")
-    return labelled(
-        [
-            (low.isin(SHORT_REPLIES) | F.length(low).between(1, 5), "SKIP", 0.85),
-            (word(PERSIST_WORDS), "PERSIST", 0.75),
-            (word(ACTIVE_WORDS), "ACTIVE", 0.70),
-            (low.rlike(r"\?$") | low.rlike(rf"^({'|'.join(QUESTION_WORDS)})($|[^a-z0-9_])"), "COLD", 0.65),
-            (size < 20, "SKIP", 0.60),
-            (size < 50, "COLD", 0.55),
-        ],
-        ("ACTIVE", 0.60),
-    )
-
-
 def stable_digest(**fields: Column) -> Column:
     """sha256 of a JSON object with its keys in order."""
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
+
+
+def as_text(value: Column) -> Column:
+    """Text of a JSON value: of an object the first of a few keys that holds a text, else the value itself."""
+    keys = ("text", "decision", "constraint", "summary", "title", "question")
+    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(value, f"$.{k}")), F.lit("")) for k in keys], F.trim(value))
+
+
+def clamped(limit: int, most: int = 100) -> int:
+    """A result limit between 1 and ``most``."""
+    return max(1, min(int(limit), most))
+
+
+def unknown(given: Column, known: tuple[str, ...]) -> Column:
+    """Names in an array that are none of the known ones, in order."""
+    return F.array_sort(F.array_except(given, F.array(*[F.lit(k) for k in known])))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.sources.scratch import materialize
+
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """id, distance: vertices within ``depth`` undirected hops of start (id), the start included at 0."""
@@ -17,3 +19,35 @@ def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         seen = reduce(DataFrame.unionByName, reached).select("id")
         reached.append(front.join(seen, "id", "left_anti").withColumn("distance", F.lit(step)))
     return reduce(DataFrame.unionByName, reached)
+
+
+def _either_way(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def around(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """start, id, distance: the vertices within ``depth`` undirected hops of each start (src), itself included at 0."""
+    both = materialize(_either_way(edges), "either-way")
+    reached = starts.select(F.col("src").alias("start"), F.col("src").alias("id"), F.lit(0).alias("distance"))
+    front = reached
+    for step in range(1, depth + 1):
+        new = front.join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct().join(reached, ["start", "id"], "left_anti")
+        front = materialize(new.withColumn("distance", F.lit(step)), f"hop-{step}")
+        reached = reached.unionByName(front)
+    return reached
+
+
+def paths(edges: DataFrame, most: int) -> DataFrame:
+    """start, id, distance, path (vertices, by '>'): a shortest path between vertices two hops or more apart, ``most`` at most.
+
+    Of several shortest paths the first by spelling.  Each round carries one path for each pair of vertices.
+    """
+    both = materialize(_either_way(edges), "either-way")
+    front = both.select(F.col("src").alias("start"), F.col("src").alias("id"), F.col("src").alias("path"), F.lit(0).alias("distance")).distinct()
+    reached = front
+    for step in range(1, most + 1):
+        longer = front.join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.concat_ws(">", "path", "dst").alias("path"))
+        new = longer.groupBy("start", "id").agg(F.min("path").alias("path")).join(reached, ["start", "id"], "left_anti")
+        front = materialize(new.withColumn("distance", F.lit(step)), f"paths-{step}")
+        reached = reached.unionByName(front)
+    return reached.where("distance > 1")

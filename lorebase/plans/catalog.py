@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
-from lorebase.plans import contextbook, memory_queries, sequence_queries, textbook
+from lorebase.plans import capture_queries, contextbook, memory_queries, search_queries, sequence_queries, state_queries, textbook
+from lorebase.plans.dialect import spelled
 from lorebase.plans.sqlbook import BOOK
 from lorebase.sources.views import run_sql, with_views
 
-#: Spellings that differ: pattern, Spark's, DuckDB's.
-DIALECT = (
-    (r"octet_length\(encode\(content\)\)", "octet_length(content)", "octet_length(encode(content))"),
-    (r"sentences\((\w+)\)", r"split(\1, '(?<=[.!?])[ \n\t]+')", r"split(regexp_replace(\1, '([.!?])[ \n\t]+', '\\1|', 'g'), '|')"),
-    (r"rest\(split\((\w+), ' '\)\)", r"slice(split(\1, ' '), 2, size(split(\1, ' ')))", r"(split(\1, ' '))[2:]"),
-    (r"squeeze\((regexp_extract\(m, '[^']*', 2\))\)", r"trim(regexp_replace(\1, '[ \n\t]+', ' '))", r"trim(regexp_replace(\1, '[ \n\t]+', ' ', 'g'))"),
-    (r"\bexplode\(", "explode(", "unnest("),
-    (r"\bbtrim\(", "btrim(", "trim("),
-    (r"\bsha2\((.+?), 256\)", r"sha2(\1, 256)", r"sha256(\1)"),
-    (r"\blistagg\((.+?)\) WITHIN GROUP \(ORDER BY ([^)]*)\)", r"listagg(\1) WITHIN GROUP (ORDER BY \2)", r"string_agg(\1 ORDER BY \2)"),
-)
-
-
-def spelled(sql: str, engine: int) -> str:
-    """A query of the books as Spark (1) or DuckDB (2) spells it."""
-    for forms in DIALECT:
-        sql = re.sub(forms[0], forms[engine], sql)
-    return sql
-
-
 def _booked(spark, sf_dir, sql):
     return run_sql(spark, sf_dir, sql)
 
 
 ALL = {**BOOK, **textbook.BOOK, **contextbook.BOOK}
-QUERIES: dict = {name: partial(_booked, sql=spelled(sql, 1)) for name, sql in ALL.items()} | memory_queries.QUERIES | sequence_queries.QUERIES
-ORACLE_SQL: dict[str, str] = {name: with_views(spelled(sql, 2)) for name, sql in ALL.items()} | {k: with_views(v) for k, v in memory_queries.ORACLE_SQL.items()}
+_built = (capture_queries, memory_queries, search_queries, sequence_queries, state_queries)
+QUERIES: dict = {name: partial(_booked, sql=spelled(sql, 1)) for name, sql in ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: with_views(spelled(sql, 2)) for name, sql in ALL.items()}
+for _book in _built:
+    QUERIES |= _book.QUERIES
+    ORACLE_SQL |= {k: with_views(v) for k, v in getattr(_book, "ORACLE_SQL", {}).items()}

@@ -16,7 +16,6 @@ BOOK: dict[str, str] = {
     "context_v1": "SELECT project, id, thread FROM (SELECT project, id, substr(content, 1, 200) AS thread, row_number() OVER (PARTITION BY project ORDER BY accessed_at DESC, id) AS k FROM memories WHERE lifecycle = 'active') t WHERE k <= 5",
     "shadow_report": f"SELECT r.project, r.id, r.prod, m.tier, m.lifecycle FROM ({_ranked}) r JOIN memories m ON m.id = r.id WHERE r.prod <= 20",
     "utility_rerank": "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, round((id % 101) / 101E0 * 0.9E0 + (id % 13) / 13E0 * 0.1E0, 9) AS score FROM memories) t",
-    "vector_merge": "SELECT id, score, origin FROM (SELECT id, score, origin, row_number() OVER (PARTITION BY id ORDER BY score DESC, origin DESC) AS k FROM (SELECT vec_id % 200 AS id, (vec_id % 97) / 97E0 AS score, CASE WHEN vec_id % 4 = 0 THEN 'whole' ELSE 'chunk' END AS origin FROM embeddings) u) t WHERE k = 1",
     "fts_probe": "SELECT p.id, p.token, count(n.id) AS found FROM (SELECT id, lower(regexp_extract(note, '[A-Za-z0-9]{4,}', 0)) AS token FROM notes WHERE id = (SELECT max(id) FROM notes)) p LEFT JOIN notes n ON lower(n.note) LIKE concat('%', p.token, '%') GROUP BY p.id, p.token",
     "attach_entities": "SELECT l_orderkey AS memory_id, listagg(DISTINCT name, ',') WITHIN GROUP (ORDER BY name) AS entities FROM (SELECT l_orderkey, concat('p', CAST(l_partkey AS VARCHAR(20))) AS name FROM lineitem) t GROUP BY l_orderkey",
     "validation_requests": "SELECT 'decision' AS kind, id FROM memories WHERE category = 'decision' AND lifecycle = 'active' UNION ALL SELECT 'event', usage_id FROM usage_log WHERE usage_type = 'rejected' UNION ALL SELECT 'contradiction', fact_id FROM facts f WHERE EXISTS (SELECT 1 FROM facts g WHERE g.entity_id = f.entity_id AND g.claim_key = f.claim_key AND g.claim_value <> f.claim_value)",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
-from lorebase.operators import fold, graph, search
+from lorebase.operators import fold
 from lorebase.sources.views import view
 from lorebase.streaming.ingest import sessions
 
@@ -15,66 +15,6 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _queries(spark, d):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
-    return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
-
-
-def _vectors(spark, d):
-    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-
-
-def _query_vectors(spark, d):
-    return _vectors(spark, d).where("id % 50 = 0").select((F.col("id") / 50).cast("long").alias("query_id"), "vec")
-
-
-def _links(spark, d):
-    return view(spark, d, "memories").select("id", F.concat_ws(":", "agent", "category").alias("entity_id"))
-
-
-def query_tokens(spark, d):
-    return _queries(spark, d).select("query_id", F.array_join(T.query_tokens(F.col("query")), " ").alias("tokens"))
-
-
-def doc_tokens(spark, d):
-    tokens = view(spark, d, "memories").select(F.explode(T.doc_tokens(F.col("content"))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n"))
-
-
-def bm25_topk(spark, d):
-    return search.bm25(view(spark, d, "memories"), _queries(spark, d), 10).select("query_id", "id", "score", "rank")
-
-
-def bm25_filtered(spark, d):
-    hits = search.bm25(view(spark, d, "memories"), _queries(spark, d), 1 << 30).drop("rank")
-    return search.top(hits.join(view(spark, d, "memories").where("tier = 'active'").select("id"), "id", "left_semi"), "query_id", "score", "id", 10).select("query_id", "id", "score", "rank")
-
-
-def vector_topk(spark, d):
-    return search.nearest(_vectors(spark, d), _query_vectors(spark, d), 10)
-
-
-def chunk_topk(spark, d):
-    hits = search.nearest(_vectors(spark, d), _query_vectors(spark, d), 2000)
-    best = hits.withColumn("memory_id", F.col("id") % 200).groupBy("query_id", "memory_id").agg(F.max("score").alias("score"))
-    return search.top(best, "query_id", "score", "memory_id", 10).select("query_id", "memory_id", "score", "rank")
-
-
-def rrf_fuse(spark, d):
-    m = view(spark, d, "memories")
-    return search.fuse([search.bm25(m, _queries(spark, d)), search.nearest(_vectors(spark, d), _query_vectors(spark, d))], m)
-
-
-def search_balanced(spark, d):
-    return search.balanced(view(spark, d, "memories"), _queries(spark, d), _vectors(spark, d), _query_vectors(spark, d), _links(spark, d))
-
-
-def l2_normalize(spark, d):
-    v = _vectors(spark, d)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return v.select("id", F.round(norm, 6).alias("norm"))
-
-
 def token_estimate(spark, d):
     return view(spark, d, "memories").select("id", T.token_estimate(F.col("content")).alias("tokens"))
 
@@ -83,20 +23,6 @@ def slugify(spark, d):
     return view(spark, d, "memories").select("id", T.slugify(F.col("summary")).alias("slug"))
 
 
-def gate_heuristic(spark, d):
-    samples = F.array(*[F.lit(x) for x in GATE_SAMPLES])
-    text = F.get(samples, (F.col("conv_id") * 8 + F.col("turn")) % len(GATE_SAMPLES))
-    return _table(spark, d, "conversations").select("conv_id", "turn", T.gate(text).alias("g")).select("conv_id", "turn", "g.decision", "g.confidence")
-
-
-def stub_extract(spark, d):
-    return view(spark, d, "memories").select("id", "summary", F.lit("project").alias("category"), T.gate(F.col("content"))["decision"].alias("tier"))
-
-
-def chunk_text(spark, d):
-    return fold.chunks(view(spark, d, "memories"))
-
-
 def skill_budget(spark, d):
     rows = view(spark, d, "memories").groupBy("project", "category").agg(F.sort_array(F.collect_list(F.struct("id", T.token_estimate(F.col("summary")).alias("t")))).alias("items"))
     taken = fold.within_budget(F.transform("items", lambda x: x["t"]), 400)
@@ -108,92 +34,17 @@ def transcript_blob(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("blob"))
 
 
-def shortest_path(spark, d):
-    edges = view(spark, d, "edges").where("kind = 't1'")
-    return graph.hops(edges, edges.where("src = 's1'").select(F.col("src").alias("id")).distinct(), 3)
-
-
-def utility_score(spark, d):
-    use = view(spark, d, "usage_log").groupBy("memory_id").agg(
-        F.count(F.when(F.col("usage_type").isin("used", "expanded"), 1)).alias("used"),
-        F.count(F.when(F.col("usage_type") == "selected", 1)).alias("selected"),
-        F.countDistinct("session_id").alias("sessions"),
-        F.count(F.when(F.col("usage_type") == "rejected", 1)).alias("rejected"),
-    )
-    n = lambda c: F.coalesce(c, F.lit(0))
-    start = F.when(F.col("tier") == "cold", 0.08).when(F.col("tier") == "active", 0.22).otherwise(0.32)
-    raw = (
-        start + (F.least(n("used"), F.lit(3)) + 0.1 * F.least(n("selected"), F.lit(3))) * 0.12
-        + F.greatest(F.lit(0), F.least(n("sessions") - 1, F.lit(3))) * 0.06
-        + F.when(F.col("lifecycle") == "pinned", 0.5).otherwise(0.0) - 2 * n("rejected") * 0.04
-    )
-    m = view(spark, d, "memories").join(use.withColumnRenamed("memory_id", "id"), "id", "left")
-    return m.select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("utility"))
-
-
 def session_windows(spark, d):
     """Beyond the reference: 30-minute sessions over the event stream."""
     return sessions(_table(spark, d, "events").select("user_id", "ts")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-#: One text for each branch of the gate's rules.
-GATE_SAMPLES = (
-    "ok", "We decided to keep the old rule", "please fix the build now", "what is the plan for today then", "is this it?", "a short line",
-    "some words about the weather here", "thanks", "words that say nothing at all about anything that matters to anyone here", "Version 2 is out", "create a ticket", "hm",
-)
-_fold = f"translate(lower(coalesce(content, '')), '{T.MARKED}', '{T.PLAIN}')"
-_stops = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_DOC = f"toks AS (SELECT id, list_filter(string_split_regex({_fold}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM memories)"
-_QRY = (
-    "q0 AS (SELECT item_id AS query_id, list_filter(regexp_extract_all(array_to_string(string_split(text, ' ')[1:12], ' '), '[A-Za-z0-9][\\p{L}\\p{N}_.-]*'), lambda t: length(t) > 1) AS a FROM benchmark), "
-    f"q1 AS (SELECT query_id, a, list_filter(a, lambda t: lower(t) NOT IN ({_stops})) AS b FROM q0), "
-    "q2 AS (SELECT query_id, (CASE WHEN len(b) > 0 THEN b ELSE a END)[1:32] AS t FROM q1)"
-)
-_BM25 = f"""{_DOC}, {_QRY},
-terms AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(translate(lower(x), '{T.MARKED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS token FROM (SELECT query_id, unnest(t) AS x FROM q2)),
-post AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(w) AS token FROM toks) GROUP BY id, token),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
-idf AS (SELECT token, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) AS idf FROM (SELECT token, count(*) AS df FROM post GROUP BY token), st),
-scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))), 6) AS score FROM terms JOIN post USING (token) JOIN idf USING (token) JOIN toks USING (id), st GROUP BY query_id, id)"""
-_VEC = "sims AS (SELECT CAST(q.vec_id / 50 AS BIGINT) AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) + 0.0 AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"
-_rank = lambda source, tie, k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {tie}) AS rank FROM {source}) WHERE rank <= {k}"
-_FUSED = f"""{_BM25}, {_VEC}, lists AS (SELECT query_id, id, rank FROM ({_rank('scored', 'id', 30)}) UNION ALL SELECT query_id, id, rank FROM ({_rank('sims', 'id', 30)})),
-fused AS (SELECT query_id, id, round(sum(CASE tier WHEN 'persist' THEN 1.5 WHEN 'cold' THEN 0.5 ELSE 1.0 END / (60 + rank)), 6) AS score, count(*) AS sources FROM lists JOIN memories USING (id) GROUP BY query_id, id)"""
-_samples = ", ".join(f"'{x}'" for x in GATE_SAMPLES)
-_any = lambda words: f"regexp_matches(low, '(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])')"
-_GATE = (
-    f"CASE WHEN low IN ({', '.join(repr(w) for w in T.SHORT_REPLIES)}) OR length(low) BETWEEN 1 AND 5 THEN {{a}} WHEN {_any(T.PERSIST_WORDS)} THEN {{b}} WHEN {_any(T.ACTIVE_WORDS)} THEN {{c}} "
-    f"WHEN regexp_matches(low, '\\?$') OR regexp_matches(low, '^({'|'.join(T.QUESTION_WORDS)})($|[^a-z0-9_])') THEN {{d}} WHEN length(raw) < 20 THEN {{e}} WHEN length(raw) < 50 THEN {{f}} ELSE {{g}} END"
-)
-_decide = _GATE.format(a="'SKIP'", b="'PERSIST'", c="'ACTIVE'", d="'COLD'", e="'SKIP'", f="'COLD'", g="'ACTIVE'")
-_trust = _GATE.format(a=0.85, b=0.75, c=0.7, d=0.65, e=0.6, f=0.55, g=0.6)
-
 QUERIES = {f.__name__: f for f in (
-    query_tokens, doc_tokens, bm25_topk, bm25_filtered, vector_topk, chunk_topk, rrf_fuse, search_balanced, l2_normalize, token_estimate, slugify,
-    gate_heuristic, stub_extract, chunk_text, skill_budget, transcript_blob, shortest_path, utility_score, session_windows,
+    token_estimate, slugify, skill_budget, transcript_blob, session_windows,
 )}
 ORACLE_SQL = {
-    "query_tokens": f"WITH {_QRY} SELECT query_id, array_to_string(t, ' ') AS tokens FROM q2",
-    "doc_tokens": f"WITH {_DOC} SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM toks) GROUP BY token",
-    "bm25_topk": f"WITH {_BM25} SELECT query_id, id, score, rank FROM ({_rank('scored', 'id', 10)})",
-    "bm25_filtered": f"WITH {_BM25}, kept AS (SELECT s.* FROM scored s JOIN memories m USING (id) WHERE tier = 'active') SELECT query_id, id, score, rank FROM ({_rank('kept', 'id', 10)})",
-    "vector_topk": f"WITH {_VEC} SELECT query_id, id, score, rank FROM ({_rank('sims', 'id', 10)})",
-    "chunk_topk": f"WITH {_VEC}, best AS (SELECT query_id, id % 200 AS memory_id, max(score) AS score FROM ({_rank('sims', 'id', 2000)}) GROUP BY ALL) SELECT query_id, memory_id, score, rank FROM ({_rank('best', 'memory_id', 10)})",
-    "rrf_fuse": f"WITH {_FUSED} SELECT query_id, id, score, sources FROM fused",
-    "search_balanced": f"""WITH {_FUSED}, links AS (SELECT id, concat(agent, ':', category) AS entity_id, created_at FROM memories),
-newest AS (SELECT entity_id, id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, id) AS k FROM links) WHERE k <= 5),
-seeded AS (SELECT DISTINCT query_id, entity_id FROM ({_rank('fused', 'id', 5)}) JOIN links USING (id)),
-extra AS (SELECT DISTINCT query_id, n.id FROM seeded JOIN newest n USING (entity_id) ANTI JOIN fused f ON f.query_id = seeded.query_id AND f.id = n.id),
-allrows AS (SELECT query_id, id, score, false AS by_graph FROM fused UNION ALL SELECT query_id, id, round(low / 2, 6), true FROM extra JOIN (SELECT query_id, min(score) AS low FROM fused GROUP BY query_id) USING (query_id))
-SELECT query_id, id, score, by_graph, rank FROM ({_rank('allrows', 'id', 20)})""",
-    "l2_normalize": "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
     "token_estimate": "SELECT id, CAST(ceil(octet_length(encode(content)) / 4.0) AS BIGINT) AS tokens FROM memories",
     "slugify": r"SELECT id, substr(regexp_replace(regexp_replace(regexp_replace(trim(lower(summary)), '[^a-z0-9\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM memories",
-    "gate_heuristic": f"SELECT conv_id, turn, {_decide} AS decision, CAST({_trust} AS DOUBLE) AS confidence FROM (SELECT *, trim(lower(raw)) AS low FROM (SELECT conv_id, turn, [{_samples}][(conv_id * 8 + turn) % {len(GATE_SAMPLES)} + 1] AS raw FROM conversations))",
-    "stub_extract": f"SELECT id, summary, 'project' AS category, {_decide} AS tier FROM (SELECT id, summary, content AS raw, trim(lower(content)) AS low FROM memories)",
     "transcript_blob": "SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn, role, text) AS blob FROM conversations GROUP BY conv_id",
-    "shortest_path": "WITH RECURSIVE e AS (SELECT src, dst FROM edges WHERE kind = 't1'), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, distance) AS (SELECT DISTINCT src, 0 FROM e WHERE src = 's1' UNION SELECT b.dst, r.distance + 1 FROM r JOIN b ON b.src = r.id WHERE r.distance < 3) SELECT id, min(distance) AS distance FROM r GROUP BY id",
-    "utility_score": """WITH u AS (SELECT memory_id, count(CASE WHEN usage_type IN ('used', 'expanded') THEN 1 END) AS used, count(CASE WHEN usage_type = 'selected' THEN 1 END) AS selected, count(DISTINCT session_id) AS sessions, count(CASE WHEN usage_type = 'rejected' THEN 1 END) AS rejected FROM usage_log GROUP BY memory_id)
-SELECT id, round(greatest(0, least(1, CASE tier WHEN 'cold' THEN 0.08::DOUBLE WHEN 'active' THEN 0.22 ELSE 0.32 END + (least(coalesce(used, 0), 3) + 0.1::DOUBLE * least(coalesce(selected, 0), 3)) * 0.12::DOUBLE + greatest(0, least(coalesce(sessions, 0) - 1, 3)) * 0.06::DOUBLE + CASE WHEN lifecycle = 'pinned' THEN 0.5::DOUBLE ELSE 0 END - 2 * coalesce(rejected, 0) * 0.04::DOUBLE)), 6) AS utility FROM memories LEFT JOIN u ON u.memory_id = id""",
     "session_windows": "SELECT user_id, count(CASE WHEN fresh THEN 1 END) AS sessions, count(*) AS events FROM (SELECT user_id, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS fresh FROM events) GROUP BY user_id",
 }

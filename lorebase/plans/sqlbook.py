@@ -37,7 +37,6 @@ BOOK: dict[str, str] = {
     "unlinked_memories": "SELECT id FROM (SELECT m.id, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS k FROM memories m WHERE m.tier IN ('active', 'persist') AND NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id)) t WHERE k <= 100",
     "stale_chunks": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id % 200 = m.id AND v.label % 2 = 1)",
     "orphan_chunks": "SELECT v.vec_id FROM embeddings v LEFT JOIN (SELECT id FROM memories WHERE id % 3 = 0) m ON v.vec_id % 200 = m.id WHERE m.id IS NULL",
-    "utility_inputs": "SELECT u.memory_id, count(*) AS joined_rows, CAST(sum(o.corrections) AS BIGINT) AS corrections FROM usage_log u JOIN outcomes o ON o.memory_id = u.memory_id AND (u.session_id % 3 = 0 OR u.session_id = o.memory_id) GROUP BY u.memory_id",
     "trust_provenance": "SELECT m.id, coalesce(CASE WHEN t.doc_id IS NULL THEN NULL WHEN t.toxic = 1 THEN 'low' WHEN t.quality = 1 THEN 'trusted' ELSE 'standard' END, 'standard') AS trust FROM memories m LEFT JOIN labels t ON t.doc_id = m.id",
     "integrity_orphans": "SELECT 'usage' AS relation, count(*) AS orphans FROM usage_log u WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.id = u.memory_id) UNION ALL SELECT 'edge', count(*) FROM edges x WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = x.dst)",
     "feedback_pending": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id AND u.usage_type IN ('used', 'rejected'))",
@@ -48,14 +47,12 @@ BOOK: dict[str, str] = {
     "typed_edges": "SELECT DISTINCT a.l_suppkey AS src, b.l_partkey AS dst, a.l_linenumber % 5 AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_linenumber % 5 <> 0 AND a.l_linenumber = 1",
     "fk_repair": "SELECT count(*) AS purged FROM usage_log u LEFT JOIN memories m ON m.id = u.memory_id WHERE m.id IS NULL",
     # Aggregates
-    "gate_summary": "SELECT event_type AS backend, count(*) AS n, round(avg(value), 6) AS mean, round(CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 3) AS fallback_rate FROM events GROUP BY event_type",
+    
     "operational_stats": "SELECT s.status, coalesce(n, 0) AS n FROM (SELECT 'pending' AS status UNION ALL SELECT 'retry' UNION ALL SELECT 'processing' UNION ALL SELECT 'completed' UNION ALL SELECT 'dead') s LEFT JOIN (SELECT status, count(*) AS n FROM jobs GROUP BY status) j ON j.status = s.status",
     "outbox_oldest_due": f"SELECT greatest(0, {NOW} - min(CASE WHEN status IN ('pending', 'retry') THEN available_at END)) AS age FROM jobs",
     "pattern_detect": "SELECT category, project, n FROM (SELECT category, project, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category, project) AS k FROM memories GROUP BY category, project HAVING count(*) >= 3) t WHERE k <= 10",
-    "contradictions": "SELECT entity_id, claim_key, count(DISTINCT claim_value) AS n FROM facts GROUP BY entity_id, claim_key HAVING count(DISTINCT claim_value) > 1",
     "telemetry_stats": "SELECT usage_type, count(*) AS n, count(DISTINCT session_id) AS sessions FROM usage_log GROUP BY usage_type",
     "graph_stats": "SELECT kind, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT kind, count(*) FROM edges GROUP BY kind",
-    "fact_stats": "SELECT count(*) AS total, count(CASE WHEN k = 1 THEN 1 END) AS current_facts, count(CASE WHEN k > 1 THEN 1 END) AS superseded FROM (SELECT row_number() OVER (PARTITION BY entity_id, claim_key ORDER BY observed_at DESC, fact_id DESC) AS k FROM facts) t",
     "v2_stats": "SELECT count(*) AS total, count(expires_at) AS expiring, count(CASE WHEN lifecycle = 'pinned' THEN 1 END) AS pinned FROM memories",
     "pack_items": "SELECT l_orderkey AS pack_id, l_returnflag AS disposition, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag",
     "skill_stats": "SELECT p_type AS status, count(*) AS n, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM part GROUP BY p_type",
@@ -66,7 +63,6 @@ BOOK: dict[str, str] = {
     "shadow_rank": "SELECT project, id, prod, shadow, prod - shadow AS delta, CASE WHEN shadow < prod THEN 'promote' WHEN shadow > prod THEN 'demote' ELSE 'unchanged' END AS move FROM (SELECT project, id, prod, row_number() OVER (PARTITION BY project ORDER BY 0.9E0 * final + 0.1E0 * utility DESC, prod) AS shadow FROM (SELECT project, id, (id % 101) / 101E0 AS final, (id % 37) / 37E0 AS utility, row_number() OVER (PARTITION BY project ORDER BY id % 101 DESC, id) AS prod FROM memories) a) b",
     "event_sequence": "SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS seq FROM usage_log",
     "latest_checkpoint": "SELECT session_id, usage_id FROM (SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at DESC, usage_id DESC) AS k FROM usage_log) t WHERE k = 1",
-    "fact_scd2": "SELECT fact_id, entity_id, claim_key, lead(observed_at) OVER (PARTITION BY entity_id, claim_key ORDER BY observed_at, fact_id) AS superseded_at FROM facts",
     "fact_resolve": "SELECT fact_id, entity_id, claim_key, row_number() OVER (PARTITION BY entity_id, claim_key ORDER BY confidence DESC, observed_at DESC, fact_id DESC) = 1 AS wins FROM facts",
     "entity_facts": "SELECT claim_key, observed_at, claim_value, fact_id FROM facts WHERE entity_id = 42",
     "dedup_exact": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY content ORDER BY created_at, id) AS k FROM memories) t WHERE k = 1",
@@ -77,7 +73,6 @@ BOOK: dict[str, str] = {
     # Sets and graph
     "edges_both": "SELECT src, dst, kind FROM edges WHERE src = 's3' UNION SELECT src, dst, kind FROM edges WHERE dst = 'p10'",
     "edge_upsert": "SELECT src, dst, count(*) AS kinds FROM edges GROUP BY src, dst",
-    "neighbors_2hop": "SELECT DISTINCT b.src AS id FROM edges a JOIN edges b ON a.dst = b.dst WHERE a.src = 's1' AND b.src <> 's1'",
     "entity_delete": "SELECT src, dst, kind FROM edges WHERE src <> 's7' AND dst <> 'p7'",
     # Maintenance
     "consolidate": f"SELECT id, CASE WHEN lifecycle NOT IN ('pinned', 'cold', 'archived') AND expires_at < {NOW} THEN 'cold' ELSE lifecycle END AS lifecycle FROM memories",
@@ -87,7 +82,6 @@ BOOK: dict[str, str] = {
     "dead_letters": "SELECT job_id, 'pending' AS status, 0 AS attempts FROM jobs WHERE status = 'dead'",
     "retry_delay": "SELECT job_id, least(300, CAST(power(2, least(attempts, 8)) AS BIGINT)) AS delay FROM jobs",
     "truth_rewrite": "SELECT id FROM memories WHERE tier = 'persist' AND length(content) > length(summary) + 50",
-    "reserve_events": f"SELECT job_id FROM jobs WHERE status IN ('dead', 'retry') OR (status = 'processing' AND lease_until < {NOW} - 30)",
     "idempotency_classify": "SELECT entity_id AS k, CASE WHEN count(DISTINCT claim_value) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'replay' ELSE 'new' END AS verdict FROM facts GROUP BY entity_id",
     "scope_mismatch": "SELECT c.c_custkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey <> c.c_custkey % 5",
     "handoff_version_status": "SELECT fact_id, CASE WHEN k > 1 THEN 'superseded' ELSE claim_value END AS status FROM (SELECT fact_id, claim_value, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, fact_id DESC) AS k FROM facts) t",
@@ -98,5 +92,4 @@ BOOK: dict[str, str] = {
     "stale_embeddings": "SELECT id FROM memories WHERE id % 7 = 0 OR md5(content) <> md5(CASE WHEN id % 5 = 0 THEN concat(content, ' ') ELSE content END)",
     "retrieval_log": "SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY id % 101 DESC, id) AS place FROM memories",
     "pack_consistency": "SELECT count(*) AS differing FROM (SELECT id FROM memories WHERE id % 2 = 0 EXCEPT SELECT id FROM memories WHERE id % 4 = 0) t",
-    "lifecycle_state": "SELECT memory_id, usage_type AS last_event FROM (SELECT memory_id, usage_type, row_number() OVER (PARTITION BY memory_id ORDER BY used_at DESC, usage_id DESC) AS k FROM usage_log) t WHERE k = 1",
 }

@@ -31,12 +31,12 @@ EDGE_WORDS = {
     "related_to": "related[ ]+to|connected[ ]+to|linked[ ]+to",
 }
 
-#: Claim keys with the verb and the length of the value.
+#: Patterns of claims: who, and what of them.
 CLAIMS = {
-    "description": ("(?:is|was)", "{3,160}"),
-    "uses": ("uses", "{2,120}"),
-    "technology": ("switched[ ]+to", "{2,120}"),
-    "decision": ("decided", "{3,160}"),
+    "description": "(?i)([A-Z][A-Za-z0-9_-]+)[ ]+(?:is|was)[ ]+([^.!?]{3,160})",
+    "uses": "(?i)([A-Z][A-Za-z0-9_-]+)[ ]+uses[ ]+([^.!?]{2,120})",
+    "technology": "(?i)([A-Z][A-Za-z0-9_-]+)[ ]+switched[ ]+to[ ]+([^.!?]{2,120})",
+    "decision": "(?i)([A-Z][A-Za-z0-9_-]+)[ ]+decided[ ]+([^.!?]{3,160})",
 }
 
 NOT_NAMES = ("the", "and", "but", "for", "this", "that", "with", "from", "not", "yes")
@@ -57,8 +57,7 @@ def _gate(skip_short, persist, active, skip, other):
     )
 
 
-def _claim(key, verb, size):
-    pattern = f"(?i)([A-Z][A-Za-z0-9_-]+)[ ]+{verb}[ ]+([^.!?]{size})"
+def _claim(key, pattern):
     found = f"SELECT id, explode(regexp_extract_all(note, '{pattern}', 0)) AS m FROM notes"
     return f"SELECT id, '{key}' AS claim_key, lower(regexp_extract(m, '{pattern}', 1)) AS name, squeeze(regexp_extract(m, '{pattern}', 2)) AS claim_value FROM ({found}) f_{key}"
 
@@ -68,15 +67,10 @@ _known = f"SELECT DISTINCT t.id, n.note, r.entity_id, t.w AS name FROM ({_tokens
 _words = "SELECT id, explode(rest(split(s, ' '))) AS w FROM (SELECT id, explode(sentences(note)) AS s FROM notes) s0"
 _proper = f"SELECT DISTINCT id, lower(c) AS name FROM (SELECT id, btrim(w, '.,;:!?\")') AS c FROM ({_words}) w0) c0 WHERE regexp_extract(c, '^[A-Z]', 0) <> '' AND length(c) > 2 AND lower(c) NOT IN {_listed(NOT_NAMES)}"
 _edge = "CASE " + " ".join(f"WHEN regexp_extract(s, '(^|[^a-z0-9_])({p})([^a-z0-9_]|$)', 0) <> '' THEN '{k}'" for k, p in EDGE_WORDS.items()) + " ELSE 'mentions' END"
-_soft = "SELECT event_id, exp((event_id % 7) / 2E0) AS a, exp((event_id % 5) / 2E0) AS b, exp((event_id % 3) / 2E0) AS c, exp((event_id % 11) / 5E0) AS d FROM events"
 
 BOOK: dict[str, str] = {
     # Gates
     "gate_fallback": f"SELECT id, {_gate(*map(repr, ('SKIP', 'PERSIST', 'ACTIVE', 'SKIP', 'COLD')))} AS decision, {_gate('0.9E0', '0.7E0', '0.7E0', '0.8E0', '0.5E0')} AS confidence FROM (SELECT id, lower(trim(note)) AS t FROM notes) n",
-    "gate_parse": "SELECT event_id, CASE WHEN u LIKE '%SKIP%' THEN 'SKIP' WHEN u LIKE '%COLD%' THEN 'COLD' WHEN u LIKE '%ACTIVE%' THEN 'ACTIVE' WHEN u LIKE '%PERSIST%' THEN 'PERSIST' ELSE 'COLD' END AS decision FROM (SELECT event_id, upper(CASE event_id % 6 WHEN 0 THEN 'Label: persist.' WHEN 1 THEN 'active or cold' WHEN 2 THEN 'I would skip this' WHEN 3 THEN 'active' WHEN 4 THEN event_type END) AS u FROM events) e",
-    "gate_softmax": f"SELECT event_id, CASE WHEN a >= best AND a / total >= 0.7E0 THEN 'SKIP' WHEN b >= c AND b >= d THEN 'COLD' WHEN c >= d THEN 'ACTIVE' ELSE 'PERSIST' END AS decision, round(CASE WHEN a >= best AND a / total >= 0.7E0 THEN a ELSE best END / total, 6) AS confidence FROM (SELECT *, a + b + c + d AS total, greatest(b, c, d) AS best FROM ({_soft}) s) p",
-    "gate_chain": "SELECT event_id, coalesce(near, far, rules, 'ACTIVE') AS decision, CASE WHEN near IS NOT NULL THEN 0.9E0 WHEN far IS NOT NULL THEN 0.95E0 WHEN rules IS NOT NULL THEN 0.7E0 ELSE 0.5E0 END AS confidence, near IS NULL AS fell_back FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'COLD' END AS near, CASE WHEN event_id % 5 = 0 THEN 'PERSIST' END AS far, CASE WHEN event_id % 7 = 0 THEN 'SKIP' END AS rules FROM events) e",
-    "validate_enums": f"SELECT event_id, CASE WHEN c IN {_listed(CATEGORIES)} THEN c ELSE 'project' END AS category, CASE WHEN t IN ('cold', 'active', 'persist') THEN t ELSE 'active' END AS tier FROM (SELECT event_id, lower(CASE event_id % 4 WHEN 0 THEN 'Decision' WHEN 1 THEN 'TASK' WHEN 2 THEN event_type END) AS c, lower(CASE event_id % 3 WHEN 0 THEN 'Persist' WHEN 1 THEN event_type END) AS t FROM events) e",
     # Entities
     "entity_known": f"SELECT t.id, r.entity_id, min(r.kind) AS kind, max(CASE WHEN r.is_alias = 0 THEN 0.9E0 ELSE 0.85E0 END) AS confidence FROM ({_tokens}) t JOIN registry r ON r.name = t.w GROUP BY t.id, r.entity_id",
     "entity_proper": f"SELECT id, name, 0.5E0 AS confidence FROM ({_proper}) p",
@@ -87,7 +81,7 @@ BOOK: dict[str, str] = {
     "entity_upsert": f"SELECT p.name, CASE WHEN r.entity_id IS NULL THEN 'create' WHEN r.is_alias = 1 THEN 'alias' ELSE 'touch' END AS action, coalesce(r.entity_id, p.name) AS entity_id FROM (SELECT DISTINCT name FROM ({_proper}) q) p LEFT JOIN registry r ON r.name = p.name",
     "wire_graph": f"SELECT DISTINCT a.id, a.entity_id AS src, b.entity_id AS dst FROM ({_known}) a JOIN ({_known}) b ON a.id = b.id AND a.entity_id <> b.entity_id",
     "fact_extract": "SELECT f.id, r.entity_id, f.claim_key, min(f.claim_value) AS claim_value, 0.8E0 AS confidence, concat('note:', CAST(f.id AS VARCHAR(20)), '|', r.entity_id, '|', f.claim_key, '|', lower(f.claim_value)) AS derivation_key FROM ("
-    + " UNION ALL ".join(_claim(k, *v) for k, v in CLAIMS.items())
+    + " UNION ALL ".join(_claim(k, v) for k, v in CLAIMS.items())
     + ") f JOIN registry r ON r.name = f.name WHERE f.claim_value <> '' GROUP BY f.id, r.entity_id, f.claim_key, lower(f.claim_value)",
     "timeline_build": "SELECT entity_id, listagg(line, chr(10)) WITHIN GROUP (ORDER BY line DESC) AS timeline FROM (SELECT DISTINCT entity_id, concat('- **', CAST(observed_at AS VARCHAR(10)), '** | ', claim_value, ' [Source: ', claim_key, ']') AS line FROM facts) t GROUP BY entity_id",
     "backlink_audit": "SELECT l.o_custkey AS entity_id, l.o_orderkey AS memory_id FROM orders l LEFT JOIN (SELECT o_custkey, listagg(concat('[', CAST(o_orderkey AS VARCHAR(20)), ']'), ' ') WITHIN GROUP (ORDER BY o_orderkey) AS timeline FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) t ON t.o_custkey = l.o_custkey WHERE instr(coalesce(t.timeline, ''), concat('[', CAST(l.o_orderkey AS VARCHAR(20)), ']')) = 0",

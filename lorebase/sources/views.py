@@ -25,6 +25,18 @@ NOTES = (
 )
 REGISTRY = (("nora", "nora", "person", 0), ("nora", "eleonora", "person", 1), ("tomas", "tomas", "person", 0), ("harbor", "harbor", "project", 0), ("lantern", "lantern", "project", 0), ("kiln", "kiln", "tool", 0))
 
+#: One text for each branch of a gate's rules.
+OPENINGS = (
+    "ok", "We decided to keep the old rule", "please fix the release-less thing now", "what is the plan for today then", "is this it?", "a short line", "Got it ", "I prefer tea",
+    "some words about the weather here", "thanks", "words that say nothing at all about anything that matters to anyone here", "Version 2 is out", "create a ticket", "hm", "👍",
+    "a design pattern was found for this", "let us build that thing over there today", "build that thing over there today then", "do we want it", "my name stands there",
+)
+#: Entities with aliases (divided by |) and what is known of them.
+ENTITY_BOOK = (
+    ("nora", "Nora", "Eleonora|Nori|Leni|Elle", "Was the one that decided on the harbor"), ("harbor", "Harbor", "Port", "The and that is of the in it to was for on with by"),
+    ("lantern", "Lantern", "", ""), ("kiln", "Kiln", "Oven|Stove", "Storage that the harbor uses"),
+)
+
 _category = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
 VIEWS = {
     "memories": f"""
@@ -45,6 +57,51 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     "notes": "SELECT conv_id * 1000 + turn AS id, concat(CASE (conv_id + turn) % "
     + f"{len(NOTES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOTES)) + " END, ' ', coalesce(text, '')) AS note FROM conversations",
     "registry": " UNION ALL ".join(f"SELECT '{e}' AS entity_id, '{n}' AS name, '{k}' AS kind, {a} AS is_alias" for e, n, k, a in REGISTRY),
+    # Agents, tasks and repositories
+    "agents": "SELECT n_nationkey AS agent_id, concat('src', CAST(n_nationkey AS VARCHAR(9))) AS name, CASE n_regionkey WHEN 0 THEN 'trusted' WHEN 1 THEN 'low' ELSE 'standard' END AS trust_level, n_regionkey AS workspace_id FROM nation",
+    "tasks": "SELECT c_custkey AS task_id, c_nationkey AS owner_id, c_mktsegment AS repository, CASE WHEN c_acctbal < 0 THEN 'cancelled' WHEN c_acctbal > 9000 THEN 'completed' ELSE 'open' END AS status, concat(c_mktsegment, ' red large steel work') AS objective FROM customer",
+    "sources": "SELECT page_id AS source_id, url, CASE WHEN url LIKE 'http:%' THEN 'external:' WHEN url LIKE '%/en/%' THEN 'git:' WHEN url LIKE '%.org%' THEN 'tool:' ELSE 'chat:' END AS kind, CAST(length(url) % 25 AS INTEGER) AS agent_id FROM pages",
+    # Context packs: what was delivered, what became of it, and how the tasks went
+    "packs": f"SELECT o_orderkey AS pack_id, o_custkey AS task_id, CASE WHEN o_totalprice < 20000 THEN NULL ELSE o_custkey % 211 END AS session_id, {EPOCH} + o_orderkey * 60 AS created_at, substr(o_orderpriority, 3) AS policy FROM orders",
+    "pack_items": "SELECT l_orderkey AS pack_id, l_linenumber AS place, l_partkey AS memory_id, CASE l_returnflag WHEN 'A' THEN 'inline' WHEN 'N' THEN 'reference' ELSE 'omitted' END AS disposition, CAST(floor(l_quantity) AS BIGINT) AS tokens, l_linestatus = 'F' AS mandatory FROM lineitem",
+    "pack_usage": f"SELECT l_orderkey AS pack_id, l_partkey AS memory_id, l_suppkey % 25 AS agent_id, CASE l_linenumber WHEN 1 THEN 'selected' WHEN 2 THEN 'injected' WHEN 3 THEN 'expanded' WHEN 4 THEN 'used' WHEN 5 THEN 'ignored' WHEN 6 THEN 'rejected' ELSE 'corrected' END AS usage_type, {EPOCH} + l_orderkey * 60 + l_linenumber AS used_at, l_discount >= 0.09 AS duplicate, l_tax >= 0.07 AS contradiction FROM lineitem",
+    "task_outcomes": "SELECT o_orderkey AS outcome_id, o_custkey AS task_id, CASE o_orderpriority WHEN '1-URGENT' THEN NULL ELSE o_custkey % 211 END AS session_id, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS successful, CASE WHEN o_totalprice > 400000 THEN 2 WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS corrections, CASE o_orderpriority WHEN '5-LOW' THEN 1 ELSE 0 END AS rework FROM orders WHERE o_totalprice > 250000",
+    # Retrieval runs: candidates in a run, with their scores and what was chosen
+    "candidates": "SELECT l_orderkey AS run_id, l_linenumber AS prod_place, l_partkey AS memory_id, l_extendedprice / 100000 AS score, l_discount * 10 AS utility, l_returnflag = 'A' AS selected, l_linestatus = 'F' AS relevant, l_suppkey % 3 = 0 AS other_scope FROM lineitem",
+    # Skills: drafts in order, reviews of them, uses, and the clients' copies
+    "skills": "SELECT p_partkey AS skill_id, p_name AS name, p_type AS kind, CASE WHEN p_size > 47 THEN 'deprecated' WHEN p_size > 44 THEN 'archived' ELSE 'active' END AS status, CASE WHEN p_retailprice > 1500 THEN NULL ELSE p_brand END AS repository, CAST(p_size % 25 AS BIGINT) AS owner_id FROM part",
+    "skill_drafts": "SELECT l_partkey AS skill_id, l_orderkey * 10 + l_linenumber AS draft_id, concat('steps: ', CASE WHEN l_quantity > 25 THEN 'measure, cut' ELSE 'cut, measure' END) AS content, concat('from ', l_linestatus) AS evidence FROM lineitem",
+    "skill_reviews": "SELECT l_partkey AS skill_id, l_orderkey * 10 + l_linenumber AS review_id, l_suppkey % 25 AS reviewer_id, CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'changes_requested' END AS decision FROM lineitem",
+    "skill_uses": "SELECT l_partkey AS skill_id, CASE l_linestatus WHEN 'F' THEN 'used' ELSE 'injected' END AS usage FROM lineitem",
+    "skill_sources": "SELECT l_partkey AS skill_id, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.08 THEN concat(s_name, ' before') ELSE s_name END)) AS recorded_hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey, l_suppkey",
+    "source_now": "SELECT s_suppkey AS source_id, CASE WHEN s_acctbal < 0 THEN NULL ELSE md5(s_name) END AS hash FROM supplier",
+    "client_skills": "SELECT c_custkey % 50 AS client_id, p_partkey AS skill_id, c_nationkey % 4 + 1 AS version FROM customer JOIN part ON p_partkey = c_custkey",
+    # Delivery: cached packs with what they depend on, and what clients ask with
+    "cache_entries": f"SELECT o_orderkey AS entry_id, CASE o_orderstatus WHEN 'P' THEN 'fresh' WHEN 'F' THEN 'fresh' ELSE 'invalid' END AS status, CASE WHEN o_totalprice > 450000 THEN {NOW} - 60 WHEN o_totalprice > 100000 THEN {NOW} + 3600 END AS expires_at, CASE o_orderpriority WHEN '5-LOW' THEN 'context-v1' ELSE 'context-v2' END AS policy_version FROM orders",
+    "cache_dependencies": "SELECT l_orderkey AS entry_id, 'supplier' AS kind, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.09 THEN concat(s_name, ' before') ELSE s_name END)) AS hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey, l_suppkey",
+    "client_states": "SELECT o_orderkey AS request_id, o_custkey AS client_id, o_orderstatus <> 'F' AS has_state, o_orderpriority NOT IN ('4-NOT SPECIFIED') AS delta_capable, CASE o_orderpriority WHEN '2-HIGH' THEN 9 ELSE 3 END AS known_checkpoint, 5 AS checkpoint, CASE WHEN o_totalprice > 50000 THEN o_orderkey END AS known_pack, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice < 100000 THEN 'cache_lookup_failed:timeout' END AS cache_fallback FROM orders",
+    # Hand-offs
+    "handoffs": "SELECT o_orderkey AS handoff_id, o_custkey AS task_id, CAST(o_custkey % 25 AS BIGINT) AS source_agent, CAST(floor(o_totalprice) % 25 AS BIGINT) AS target_agent, CASE o_orderstatus WHEN 'P' THEN CAST(o_orderkey % 25 AS BIGINT) END AS requester, CASE o_orderstatus WHEN 'P' THEN 'ready' WHEN 'F' THEN 'completed' ELSE 'claimed' END AS status FROM orders",
+    # Stored chunks and vectors of memories
+    "chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 200 AS memory_id, embedding, CASE WHEN label < 7 THEN 'model-b' ELSE 'model-a' END AS model FROM embeddings",
+    "stored_embeddings": "SELECT doc_id AS memory_id, CASE WHEN quality = 1 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'model-a' ELSE 'model-b' END AS model FROM labels",
+    # Life of memories: what agents did to them
+    "lifecycle_log": f"SELECT l_partkey AS memory_id, l_orderkey * 10 + l_linenumber AS step, {EPOCH} + l_orderkey * 60 + l_linenumber AS at, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pin' WHEN l_returnflag = 'A' THEN 'unpin' WHEN l_returnflag = 'R' THEN 'demote' ELSE 'restore' END AS action FROM lineitem WHERE l_quantity > 40",
+    # Ingestion: events that arrive, and the ledger of those seen
+    "incoming": "SELECT event_id, user_id, event_type FROM events",
+    "ingest_ledger": f"SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' ELSE 'complete' END AS status, {NOW} - CAST(floor(value * 10) AS BIGINT) AS updated_at FROM events WHERE value < 80",
+    # Searches, the entities that they name, and links between topics
+    "searches": " UNION ALL ".join(f"SELECT {i} AS query_id, '{n}' AS text" for i, n in enumerate(NOTES)),
+    "hard_searches": "SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 900001, '. ' UNION ALL SELECT 900002, 'qzxv' UNION ALL SELECT 900003, ', '",
+    "entity_book": " UNION ALL ".join(f"SELECT '{n}' AS name, '{t}' AS title, '{a}' AS aliases, '{x}' AS truth" for n, t, a, x in ENTITY_BOOK),
+    "topic_edges": f"SELECT DISTINCT concat('src', CAST(l_suppkey % 20 AS VARCHAR(9)), ':', {_category.replace('doc_id', 'l_partkey')}) AS src, concat('src', CAST(l_orderkey % 20 AS VARCHAR(9)), ':', {_category.replace('doc_id', 'l_orderkey')}) AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1",
+    # Texts to be judged: what was said, and its opening alone; what models answered; what extractors gave
+    "utterances": "SELECT conv_id * 1000 + turn AS id, 'said' AS part, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 'opening', CASE (conv_id + turn) % "
+    + f"{len(OPENINGS)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(OPENINGS)) + " END FROM conversations",
+    "model_answers": "SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'Label: persist.' WHEN 'view' THEN 'active or cold' WHEN 'signup' THEN 'I would skip this' WHEN 'purchase' THEN concat('level ', CAST(user_id AS VARCHAR(9))) END AS answer, CASE WHEN value < 90 THEN value / 20 END AS skip_score, user_id / 50E0 AS cold_score, (100 - value) / 40 AS active_score, 1.25E0 AS persist_score, concat('event ', event_type, ' by ', CAST(user_id AS VARCHAR(9))) AS text FROM events",
+    "extractions": "SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 'Decision' WHEN 'PROMO' THEN 'TASK' WHEN 'SMALL' THEN 'person' ELSE p_type END AS category, CASE WHEN p_size > 30 THEN 'Persist' WHEN p_size > 10 THEN 'cold' ELSE p_brand END AS tier FROM part",
+    "captures": "SELECT conv_id * 1000 + turn AS id, CASE role WHEN 'assistant' THEN 'decision' END AS requested_category, CASE WHEN turn = 0 THEN 'persist' END AS requested_tier FROM conversations",
+    "deliveries": f"SELECT event_id, user_id % 12 + 1 AS delivered, event_type = 'error' AS failed, {NOW} AS at FROM events",
     "outcomes": "SELECT doc_id AS memory_id, quality AS successful, toxic AS corrections FROM labels",
 }
 

@@ -1,41 +1,67 @@
-"""Event ingestion with Structured Streaming: validation, de-duplication, dead letters, session windows."""
+"""Event ingestion with Structured Streaming: validation, de-duplication, dead letters, redelivery, session windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.functions.text import gate
+from lorebase.functions.gates import rules
 
-PAYLOAD = "event_id string, session string, text string, ts timestamp"
+PAYLOAD = "event_id string, agent string, session string, turn long, content string, ts timestamp"
+#: Characters of a content at most; fixed values: deliveries before an event is dead, and the longest wait in seconds.
+MOST_CHARS, MOST_DELIVERIES, LONGEST_WAIT = 100_000, 10, 300
+#: Files of one micro-batch, which bounds what is in flight.
+BATCH_FILES = 64
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """value (JSON) -> event fields, ``valid`` and an id where the event brings none."""
+    """value (a JSON line) -> fields, an id where the event brings none, and why it is refused (null if it is not)."""
     event = lines.select("value", F.from_json("value", PAYLOAD).alias("e")).select("value", "e.*")
-    made = F.concat(F.lit("ev_"), F.sha2(F.concat_ws("|", "session", "value"), 256))
-    return event.withColumn("event_id", F.coalesce("event_id", made)).withColumn(
-        "valid", F.col("text").isNotNull() & F.col("session").isNotNull() & F.col("ts").isNotNull()
+    made = F.concat(F.lit("nats_"), F.sha2(F.concat_ws("|", F.coalesce("agent", F.lit("")), F.coalesce("session", F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), "value"), 256))
+    reason = (
+        F.when(~F.coalesce(F.trim("value").rlike(r"^\{(?s:.*)\}$"), F.lit(False)), "payload must be an object")
+        .when(F.coalesce(F.trim("content"), F.lit("")) == "", "content must be a non-empty string")
+        .when(F.length("content") > MOST_CHARS, "content exceeds configured capture limit")
+        .when(F.col("ts").isNull(), "ts must be a time")
     )
+    return event.withColumn("event_id", F.coalesce("event_id", made)).withColumn("reason", reason)
 
 
-def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str):
-    """Read JSON lines, write accepted events (with their gate decision) and dead letters; exactly once per batch id.
+def _lines(spark: SparkSession, source: str, files: int) -> DataFrame:
+    return parse(spark.readStream.format("text").option("maxFilesPerTrigger", files).load(source))
 
-    Each batch writes to folders named after it and overwrites them when it is run again.
+
+def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = BATCH_FILES):
+    """Read JSON lines and write the accepted events with their gate decision, exactly once per batch id.
+
+    Each batch writes to a folder named after it and overwrites it when it is run again; events that come again
+    within an hour of event time are dropped by id.
     """
-    lines = spark.readStream.format("text").load(source)
-    events = parse(lines).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    events = _lines(spark, source, files).where("reason IS NULL").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.where("valid").withColumn("gate", gate(F.col("text"))).drop("valid").write.mode("overwrite").parquet(f"{sink}/events/batch={number}")
-        batch.where("not valid").select("value").write.mode("overwrite").parquet(f"{sink}/dead/batch={number}")
-        batch.unpersist()
+        batch.withColumn("gate", rules(F.col("content"))).drop("reason").write.mode("overwrite").parquet(f"{sink}/events/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def dead_letters(spark: SparkSession, source: str, sink: str, checkpoint: str, subject: str = "memory.capture", files: int = BATCH_FILES):
+    """Write an envelope (reason, subject, payload) for each line that is refused; a stream of its own, as bad lines have no time."""
+    letters = _lines(spark, source, files).where("reason IS NOT NULL").select("reason", F.lit(subject).alias("subject"), F.col("value").alias("payload"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/dead/batch={number}")
+
+    return letters.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def redelivery(delivered: Column, at: Column) -> list[Column]:
+    """next_try and dead of an event that failed at its n-th delivery: twice the wait each time, none after the tenth."""
+    wait = F.least(F.lit(LONGEST_WAIT), F.pow(F.lit(2), F.least(delivered, F.lit(8))).cast("long"))
+    dead = delivered >= MOST_DELIVERIES
+    return [F.when(~dead, at + wait).alias("next_try"), dead.alias("dead")]
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Session windows per user: works on a stream (with its watermark) and on a table alike."""
     return events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), gap)).agg(F.count("*").alias("n"))

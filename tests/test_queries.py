@@ -3,6 +3,7 @@
 import glob
 import json
 import os
+import random
 
 import duckdb
 import pytest
@@ -35,13 +36,35 @@ def test_rows(spark, duck, name):
     assert plain(got.select(*names).collect()) == plain(want.fetchall())
 
 
-def test_chunks_cover_the_text(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000))), (2, None), (3, "x" * 9000), (4, "")], "id long, content string")
-    rows = sorted(fold.chunks(docs, 64, 8).collect())
-    seen = [r.chunk.split() for r in rows if r.id == 1]
-    assert [w for c in seen for w in c if w][:1] == ["w0"] and seen[-1][-1] == "w2999"
-    assert all(set(a) & set(b) for a, b in zip(seen, seen[1:])) and all(len(" ".join(c)) <= 256 for c in seen)
-    assert {r.id for r in rows} == {1, 3}
+def chunks_by_hand(text, target, overlap, threshold):
+    """The rule word by word: pack while it fits, then step back until the overlap is reached."""
+    text = (text or "").strip()
+    if len(text) <= threshold * 4:
+        return [text] if text else []
+    words, out, i = text.split(), [], 0
+    while True:
+        j, size = i, 0
+        while j < len(words) and (j == i or size + 1 + len(words[j]) <= target * 4):
+            size += len(words[j]) + (j > i)
+            j += 1
+        out.append(" ".join(words[i:j]))
+        if j == len(words):
+            return out
+        k, kept = j, 0
+        while k - 1 > i and kept < overlap * 4:
+            k -= 1
+            kept += len(words[k]) + 1
+        i = max(k, i + 1)
+
+
+def test_chunks(spark):
+    rng = random.Random(4)
+    texts = [None, "", "  \n ", "short  text ", "x" * 9000, " a b " * 40, "y" * 300 + " z"]
+    texts += [" ".join("w" * rng.randint(1, 40) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    for target, overlap, single in ((64, 8, 64), (16, 15, 4), (5, 0, 1), (512, 64, 512)):
+        rows = sorted(fold.chunks(docs, target, overlap, single).collect())
+        assert [(r.id, r.chunk_index, r.chunk) for r in rows] == [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(chunks_by_hand(t, target, overlap, single))]
 
 
 def test_budget_skips_and_goes_on(spark):
@@ -63,9 +86,13 @@ def test_hops(spark):
 
 def test_ingest_twice_is_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    lines = [{"event_id": "1", "session": "s", "text": "fix the bug", "ts": "2024-01-01T00:00:00"}] * 2 + [{"session": "s", "text": "hello there", "ts": "2024-01-01T00:01:00"}]
-    (tmp_path / "in/a.txt").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
+    good = {"session": "s", "content": "hello there", "ts": "2024-01-01T00:01:00"}
+    lines = [{"event_id": "1", "session": "s", "content": "fix the bug", "ts": "2024-01-01T00:00:00"}] * 2 + [good, good, {"content": " ", "ts": "2024-01-01"}, {"content": "x" * 100_001, "ts": "2024-01-01"}, {"content": "timeless"}]
+    (tmp_path / "in/a.txt").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n[1]\n")
     for _ in range(2):
-        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/events")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "out/dead")).count() == 1
+        for start in (ingest.ingest, ingest.dead_letters):
+            start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / start.__name__)).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/events")).collect()
+    assert sorted(r.gate.decision for r in found) == ["ACTIVE", "SKIP"]
+    letters = spark.read.parquet(str(tmp_path / "out/dead")).collect()
+    assert sorted(r.reason.split()[0] for r in letters) == ["content", "content", "payload", "payload", "ts"] and {r.subject for r in letters} == {"memory.capture"}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.sources.scratch import materialize, scratch, shared_dir
+
+__all__ = ["materialize", "scratch", "shared_dir"]
+
 #: ASCII white space that separates words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -19,52 +19,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a new one where that is unset, in local mode only.
-
-    Executors of a cluster do not share local folders: without a shared one their rows would be lost.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-lorebase-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-#: Tables written so far inside each open ``scratch`` block, innermost last.
-_open: list[list[str]] = []
-
-
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
-    if _open and not keep:
-        _open[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Delete what ``materialize`` writes inside the block when it ends.
-
-    Results are lazy, so write what must stay to a place of its own before the block ends.
-    """
-    _open.append([])
-    try:
-        yield
-    finally:
-        for path in _open.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def own_columns(docs: DataFrame, *also: Column) -> DataFrame:
     """``_own``, a struct of all columns of ``docs``, and ``also``: whatever users call theirs, no name clashes."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_own"), *also)

@@ -66,7 +66,7 @@ class ByteGru:
         """Hidden states [step, lane, unit] over bytes [step, lane] from first to last; keep: what the gradient needs."""
         p = self.p
         er, ez, ec, ur, uz, uc, q0 = (p[d + k] for k in ("er", "ez", "ec", "ur", "uz", "uc", "q"))
-        states = np.empty((len(x) + 1, x.shape[1], HIDDEN), np.float32)
+        states = np.empty((len(x) + 1, x.shape[1], HIDDEN), q0.dtype)
         states[0] = 0
         kept = []
         for t, codes in enumerate(x):
@@ -112,7 +112,7 @@ class ByteGru:
         for gate, s in slopes.items():
             s = s.reshape(-1, HIDDEN)
             for j in range(HIDDEN):
-                grad[f"{d}e{gate}"][:, j] += np.bincount(flat, s[:, j], 256).astype(np.float32)
+                grad[f"{d}e{gate}"][:, j] += np.bincount(flat, s[:, j], 256).astype(s.dtype)
 
     def _chances(self, f: np.ndarray, b: np.ndarray) -> np.ndarray:
         y = f @ self.p["v"][:HIDDEN]
@@ -123,6 +123,24 @@ class ByteGru:
         y /= y.sum(-1, keepdims=True)
         return y
 
+    def loss(self, x: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Cross entropy over all positions [step, lane] and its gradient; zeros fill up segments and count nothing."""
+        f, kf = self._run("f", x, True)
+        b, kb = self._run("b", x[::-1], True)
+        ahead, behind = f[1:], b[1:][::-1]
+        y = self._chances(ahead, behind)
+        lane, weight = np.arange(x.shape[1]), (x != 0) / y.dtype.type(x.size)
+        value = float(-(np.log(y[:, lane, label]) * weight).sum())
+        y[:, lane, label] -= 1
+        y *= weight[..., None]
+        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        flat = y.reshape(-1, y.shape[-1])
+        grad["v"] = np.concatenate((ahead.reshape(-1, HIDDEN).T @ flat, behind.reshape(-1, HIDDEN).T @ flat))
+        grad["o"] = flat.sum(0)
+        self._back("f", x, f, kf, y @ self.p["v"][:HIDDEN].T, grad)
+        self._back("b", x[::-1], b, kb, (y @ self.p["v"][HIDDEN:].T)[::-1], grad)
+        return value, grad
+
     def fit(self, rows: np.ndarray, label: np.ndarray, rounds: int = 500, batch: int = 256, rate: float = 0.02) -> ByteGru:
         """rows: segments [n, STEPS]; label: language of each.  Adam with a rate that falls to a twentieth."""
         rng = np.random.default_rng(1)
@@ -130,19 +148,7 @@ class ByteGru:
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, rounds + 1):
             pick = rng.integers(0, len(rows), batch)
-            x = np.ascontiguousarray(rows[pick].T)
-            f, kf = self._run("f", x, True)
-            b, kb = self._run("b", x[::-1], True)
-            ahead, behind = f[1:], b[1:][::-1]
-            y = self._chances(ahead, behind)
-            y[:, np.arange(batch), label[pick]] -= 1
-            y *= (x != 0)[..., None] / np.float32(batch * STEPS)
-            grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-            flat = y.reshape(-1, y.shape[-1])
-            grad["v"] = np.concatenate((ahead.reshape(-1, HIDDEN).T @ flat, behind.reshape(-1, HIDDEN).T @ flat))
-            grad["o"] = flat.sum(0)
-            self._back("f", x, f, kf, y @ self.p["v"][:HIDDEN].T, grad)
-            self._back("b", x[::-1], b, kb, (y @ self.p["v"][HIDDEN:].T)[::-1], grad)
+            _, grad = self.loss(np.ascontiguousarray(rows[pick].T), label[pick])
             now = rate * (1 - 0.95 * step / rounds)
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g

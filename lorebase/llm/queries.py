@@ -133,7 +133,7 @@ numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR i >= before THEN 1 ELSE 0
 runs AS (SELECT doc_id, count(*) AS runs, max(length) AS longest FROM (SELECT doc_id, run, max(e) - min(i) AS length FROM numbered GROUP BY doc_id, run) GROUP BY doc_id)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs, 0)::INT AS n_runs, coalesce(longest, 0)::INT AS longest
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
-    "op6_quality_rules": f"""
+    "op6_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),

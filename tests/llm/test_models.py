@@ -1,11 +1,14 @@
-"""Token counts against the library; classifiers on held-out rows; the pipeline's stages."""
+"""Token counts against the library; classifiers on held-out rows, their algorithms against enumeration and differences."""
 
+import itertools
+import math
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 
-import corpus_pipeline
 from lorebase.llm import language_id, line_crf, token_counts
 from lorebase.llm.common import table
 
@@ -57,15 +60,60 @@ def test_quality(spark):
     assert line_crf.score_quality(odd.limit(0), labels).count() == 0
 
 
-def test_pipeline(spark):
-    docs = table(spark, SF.replace("0.01", "0.001"), "documents")
-    columns, kept = docs.columns, docs
-    for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id for r in kept.select("doc_id").collect()}
-        kept = stage(spark, kept, SF.replace("0.01", "0.001")).cache()
-        after = [r.doc_id for r in kept.select("doc_id").collect()]
-        assert set(after) <= before and len(after) == len(set(after)) and after, name
-        assert kept.columns[: len(columns)] == columns
-    good = {r.doc_id for r in table(spark, SF.replace("0.01", "0.001"), "labels").where("quality = 1 and toxic = 0").collect()}
-    first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
-    assert len(good - {r.doc_id for r in first.collect()}) <= 0.1 * len(good)
+def test_marginals_by_enumeration():
+    """Forward-backward against the sum over every labelling of short chains."""
+    rng = np.random.default_rng(2)
+    lengths, steps, move = [1, 3, 6, 5], 6, rng.normal(size=(2, 2))
+    real = np.arange(steps) < np.array(lengths)[:, None]
+    emit = rng.normal(size=(4, steps, 2)) * real[..., None]
+    marginal, pair, z = line_crf.forward_backward(emit, real, move)
+    for k, n in enumerate(lengths):
+        weight, by_step, by_move = 0.0, np.zeros((n, 2)), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(emit[k, t, y[t]] for t in range(n)) + sum(move[a, b] for a, b in zip(y, y[1:])))
+            weight += w
+            for t in range(n):
+                by_step[t, y[t]] += w
+            for a, b in zip(y, y[1:]):
+                by_move[a, b] += w
+        assert z[k] == pytest.approx(math.log(weight))
+        assert np.allclose(marginal[k, :n], by_step / weight) and np.allclose(pair[k], by_move / weight)
+
+
+def test_gradient_by_differences():
+    """Backpropagation through time against differences of the loss, for every kind of weight."""
+    net = language_id.ByteGru(["a", "b", "c"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(3)
+    x, label = rng.integers(97, 103, (9, 4)).astype(np.uint8), np.array([0, 1, 2, 1])
+    x[6:, 2] = 0
+    _, grad = net.loss(x, label)
+    for k, v in net.p.items():
+        at = np.unravel_index(np.argmax(abs(grad[k])), v.shape)
+        for place in {at, tuple(int(rng.integers(n)) for n in v.shape)}:
+            kept, ends = v[place], []
+            for step in (1e-5, -1e-5):
+                v[place] = kept + step
+                ends.append(net.loss(x, label)[0])
+            v[place] = kept
+            assert grad[k][place] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-7), k
+
+
+def test_spread_lines():
+    assert line_crf.spread_lines(7).tolist() == list(range(7))
+    far = line_crf.spread_lines(10_000)
+    assert len(far) <= line_crf.SAMPLE_LINES and far[0] == 0 and far[-1] == 9_999 and np.diff(far).max() > 1000
+
+
+def test_unbroken_text_in_time():
+    """A megabyte without a blank is counted in seconds, and as the library counts it."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tool, count = Tokenizer.from_file(path), token_counts.counter(path)
+    rng = random.Random(5)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("中文字符数据", 40_000), ("ab", 30_000), ("é", 5_000), ("x", 101), ("the", 100)):
+        text = "".join(rng.choices(alphabet, k=n))
+        start = time.perf_counter()
+        assert count.count([text])[0] == len(tool.encode(text, add_special_tokens=False).ids)
+        assert time.perf_counter() - start < 30

@@ -14,27 +14,14 @@ OBJECTIVE = ("red", "large", "steel", "economy")
 BOOK: dict[str, str] = {
     # Context packs
     "context_v1": "SELECT project, id, thread FROM (SELECT project, id, substr(content, 1, 200) AS thread, row_number() OVER (PARTITION BY project ORDER BY accessed_at DESC, id) AS k FROM memories WHERE lifecycle = 'active') t WHERE k <= 5",
-    "shadow_report": f"SELECT r.project, r.id, r.prod, m.tier, m.lifecycle FROM ({_ranked}) r JOIN memories m ON m.id = r.id WHERE r.prod <= 20",
-    "utility_rerank": "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT id, round((id % 101) / 101E0 * 0.9E0 + (id % 13) / 13E0 * 0.1E0, 9) AS score FROM memories) t",
     "fts_probe": "SELECT p.id, p.token, count(n.id) AS found FROM (SELECT id, lower(regexp_extract(note, '[A-Za-z0-9]{4,}', 0)) AS token FROM notes WHERE id = (SELECT max(id) FROM notes)) p LEFT JOIN notes n ON lower(n.note) LIKE concat('%', p.token, '%') GROUP BY p.id, p.token",
     "attach_entities": "SELECT l_orderkey AS memory_id, listagg(DISTINCT name, ',') WITHIN GROUP (ORDER BY name) AS entities FROM (SELECT l_orderkey, concat('p', CAST(l_partkey AS VARCHAR(20))) AS name FROM lineitem) t GROUP BY l_orderkey",
-    "validation_requests": "SELECT 'decision' AS kind, id FROM memories WHERE category = 'decision' AND lifecycle = 'active' UNION ALL SELECT 'event', usage_id FROM usage_log WHERE usage_type = 'rejected' UNION ALL SELECT 'contradiction', fact_id FROM facts f WHERE EXISTS (SELECT 1 FROM facts g WHERE g.entity_id = f.entity_id AND g.claim_key = f.claim_key AND g.claim_value <> f.claim_value)",
     "fingerprint": "SELECT l_orderkey AS pack_id, concat('sha256:', sha2(listagg(item, ',') WITHIN GROUP (ORDER BY item), 256)) AS fingerprint FROM (SELECT l_orderkey, concat(CAST(l_linenumber AS VARCHAR(9)), ':', CAST(l_partkey AS VARCHAR(20)), ':', l_returnflag) AS item FROM lineitem) t GROUP BY l_orderkey",
     # Sessions, tasks and checkpoints
-    "resolve_event_source": "SELECT e.event_id, c.c_custkey AS session_id, n.n_name AS task FROM events e JOIN customer c ON c.c_custkey = e.user_id JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey = 1",
     "checkpoint_build": f"SELECT o.o_custkey AS task_id, n.n_name AS repository, o.o_orderkey AS checkpoint FROM ({_latest}) o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.k = 1",
     "list_delta": f"SELECT DISTINCT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.item, b.item) AS item, CASE WHEN b.item IS NULL THEN 'added' ELSE 'removed' END AS change FROM ({_current}) a FULL JOIN ({_before}) b ON a.task_id = b.task_id AND a.item = b.item WHERE a.item IS NULL OR b.item IS NULL",
     "checkpoint_delta": f"SELECT a.task_id, a.place, a.item FROM ({_current}) a WHERE NOT EXISTS (SELECT 1 FROM ({_before}) b WHERE b.task_id = a.task_id AND b.item = a.item)",
-    "context_delta": f"SELECT coalesce(a.task_id, b.task_id) AS task_id, coalesce(a.place, b.place) AS section, CASE WHEN b.item IS NULL THEN 'added' WHEN a.item IS NULL THEN 'removed' WHEN a.item = b.item THEN 'unchanged' ELSE 'changed' END AS state FROM ({_current}) a FULL JOIN ({_before}) b ON a.task_id = b.task_id AND a.place = b.place",
     # Delivery cache
-    "cache_key": "SELECT usage_id, concat('sha256:', sha2(concat('context-v2|', CAST(session_id AS VARCHAR(20)), '|', CAST(agent_id AS VARCHAR(20)), '|', usage_type), 256)) AS cache_key FROM usage_log",
-    "cache_validity": "SELECT l_orderkey AS entry_id, CASE WHEN max(bad) > 0 THEN 'stale' ELSE 'valid' END AS state, CAST(sum(bad) AS BIGINT) AS mismatches FROM (SELECT l_orderkey, CASE WHEN p_partkey IS NULL OR l_linenumber % 3 <> p_size % 3 THEN 1 ELSE 0 END AS bad FROM lineitem LEFT JOIN part ON p_partkey = l_partkey) t GROUP BY l_orderkey",
-    "render_delivery": "SELECT id, CASE WHEN mode = 'no_change' THEN '' WHEN mode = 'full' THEN summary ELSE concat('- ', category, chr(10), '- ', tier) END AS body FROM (SELECT id, summary, category, tier, CASE id % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'no_change' ELSE 'delta' END AS mode FROM memories) m",
     "salvage_chunks": "SELECT conv_id, min(turn) AS first_turn, listagg(chunk, concat(chr(10), chr(10))) WITHIN GROUP (ORDER BY chunk) AS text FROM (SELECT conv_id, turn, concat(CASE WHEN turn < 10 THEN '0' ELSE '' END, CAST(turn AS VARCHAR(9)), ' ', role, ': ', text) AS chunk FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) t GROUP BY conv_id",
     # Skills and hand-offs
-    "skill_rank": "SELECT p_partkey AS skill_id, overlap, uses, row_number() OVER (ORDER BY here DESC, overlap DESC, uses DESC, p_partkey DESC) AS place FROM (SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END AS here, "
-    + " + ".join(f"CASE WHEN hay LIKE '%{t}%' THEN 1 ELSE 0 END" for t in OBJECTIVE)
-    + f" AS overlap, coalesce(uses, 0) AS uses FROM (SELECT p_partkey, p_size, lower(concat(p_name, ' ', p_type)) AS hay FROM part) p LEFT JOIN ({_uses}) u ON u.l_partkey = p_partkey) r",
-    "skill_stale": "SELECT p_partkey AS skill_id, recorded <> now_hash AS is_stale FROM (SELECT p_partkey, md5(p_name) AS recorded, md5(CASE WHEN p_partkey % 9 = 0 THEN concat(p_name, '+') ELSE p_name END) AS now_hash FROM part) p",
-    "handoff_build": "SELECT o_orderkey AS source_id, o_custkey AS task_id, o_orderpriority AS target, version, CASE WHEN version = last_version THEN 'ready' ELSE 'superseded' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS version, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS last_version FROM orders) t",
 }

@@ -10,38 +10,28 @@ BOOK: dict[str, str] = {
     # Scans and sources
     "scan_filter": "SELECT id, tier, category FROM memories WHERE tier = 'active' AND category = 'decision'",
     "access_counts": "SELECT memory_id, count(*) AS access_count, max(used_at) AS accessed_at FROM usage_log WHERE usage_type IN ('selected', 'used') GROUP BY memory_id",
-    "delete_cascade": "SELECT memory_id, count(*) AS left_rows FROM usage_log WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.id = usage_log.memory_id AND m.lifecycle = 'archived') GROUP BY memory_id",
     "count_all": "SELECT count(*) AS n FROM memories",
     "tier_ttl": f"SELECT id, tier, CASE tier WHEN 'cold' THEN created_at + {TTL['cold']} WHEN 'active' THEN created_at + {TTL['active']} END AS expires_at, CASE tier WHEN 'cold' THEN 'ephemeral' WHEN 'persist' THEN 'stable' ELSE 'active' END AS lifecycle FROM memories",
-    "upsert_conflicts": "SELECT m.id, m.content <> concat(o.content, CASE WHEN o.id % 10 = 0 THEN '!' ELSE '' END) AS conflict FROM memories m JOIN memories o ON m.id = o.id WHERE o.id % 2 = 0",
-    "apply_enrichment": "SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN upper(category) END, category) AS category, CASE WHEN lifecycle = 'pinned' THEN 'pinned' WHEN id % 3 = 0 THEN 'stable' ELSE lifecycle END AS lifecycle FROM memories",
     "dedup_turn_key": "SELECT conv_id, turn, min(role) AS role, count(*) AS copies FROM conversations GROUP BY conv_id, turn",
     "last_turn": "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS k FROM conversations WHERE length(text) >= 20) t WHERE k = 1",
     "project_fields": "SELECT id, summary, tier FROM memories",
     # Predicates
     "scope_legacy": "SELECT id, project FROM memories WHERE project = 'p1' OR project = ''",
-    "scope_formal": "SELECT id FROM memories WHERE project = 'p1' AND agent = 'src3' AND tier = 'active'",
     "eligible_default": f"SELECT id, {ELIGIBLE} AS eligible FROM memories",
     "eligible_cold": f"SELECT id, (expires_at IS NULL OR expires_at > {NOW}) OR lifecycle = 'cold' AS eligible FROM memories",
     "like_fallback": "SELECT id, 0.5E0 AS score FROM memories WHERE translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%tion the%'",
     "like_v1": "SELECT id FROM memories WHERE content LIKE '%with%' OR summary LIKE '%with%'",
     "entity_search": "SELECT id, name, kind FROM entities WHERE lower(name) LIKE '%red%' AND kind = 'part'",
-    "handoff_visible": "SELECT event_id, user_id FROM events WHERE user_id % 7 = 3 OR user_id % 5 = 3 OR user_id % 3 = 3",
     "cache_scope": "SELECT id FROM memories WHERE nullif(project, '') IS NOT DISTINCT FROM NULL AND agent IS NOT DISTINCT FROM 'src5'",
     "outbox_due": f"SELECT job_id, status FROM jobs WHERE (status IN ('pending', 'retry') AND available_at <= {NOW}) OR (status = 'processing' AND lease_until <= {NOW})",
-    "skill_eligible": "SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO') AND p_size > 5",
     # Joins
     "memory_entities": "SELECT l_orderkey AS memory_id, p_partkey AS entity_id, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10",
     "entity_memories_topk": "SELECT entity_id, memory_id FROM (SELECT l_partkey AS entity_id, l_orderkey AS memory_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS k FROM lineitem) t WHERE k <= 5",
-    "orphan_entities": "SELECT id FROM entities e WHERE NOT EXISTS (SELECT 1 FROM edges WHERE edges.src = e.id) AND NOT EXISTS (SELECT 1 FROM edges WHERE edges.dst = e.id)",
-    "unlinked_memories": "SELECT id FROM (SELECT m.id, row_number() OVER (ORDER BY m.created_at DESC, m.id) AS k FROM memories m WHERE m.tier IN ('active', 'persist') AND NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id)) t WHERE k <= 100",
-    "stale_chunks": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id % 200 = m.id AND v.label % 2 = 1)",
-    "orphan_chunks": "SELECT v.vec_id FROM embeddings v LEFT JOIN (SELECT id FROM memories WHERE id % 3 = 0) m ON v.vec_id % 200 = m.id WHERE m.id IS NULL",
-    "trust_provenance": "SELECT m.id, coalesce(CASE WHEN t.doc_id IS NULL THEN NULL WHEN t.toxic = 1 THEN 'low' WHEN t.quality = 1 THEN 'trusted' ELSE 'standard' END, 'standard') AS trust FROM memories m LEFT JOIN labels t ON t.doc_id = m.id",
+    "unlinked_memories": "SELECT m.id FROM memories m WHERE m.tier IN ('active', 'persist') AND NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id) ORDER BY m.created_at DESC, m.id LIMIT 100",
+    "stale_chunks": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM chunk_vectors v WHERE v.memory_id = m.id AND v.model = 'model-b')",
+    "orphan_chunks": "SELECT v.chunk_id FROM chunk_vectors v LEFT JOIN (SELECT id FROM memories WHERE lifecycle <> 'archived') m ON v.memory_id = m.id WHERE m.id IS NULL",
     "integrity_orphans": "SELECT 'usage' AS relation, count(*) AS orphans FROM usage_log u WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.id = u.memory_id) UNION ALL SELECT 'edge', count(*) FROM edges x WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = x.dst)",
     "feedback_pending": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id AND u.usage_type IN ('used', 'rejected'))",
-    "delivery_pending": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
-    "claim_jobs": f"SELECT j.job_id, e.event_type FROM jobs j JOIN events e ON e.event_id = j.job_id WHERE j.status = 'pending' AND j.available_at <= {NOW}",
     "session_participants": "SELECT DISTINCT u.session_id, u.agent_id, n.n_name FROM usage_log u JOIN nation n ON n.n_nationkey = u.agent_id",
     "comention_edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_partkey <> b.l_partkey",
     "typed_edges": "SELECT DISTINCT a.l_suppkey AS src, b.l_partkey AS dst, a.l_linenumber % 5 AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_linenumber % 5 <> 0 AND a.l_linenumber = 1",
@@ -50,7 +40,7 @@ BOOK: dict[str, str] = {
     
     "operational_stats": "SELECT s.status, coalesce(n, 0) AS n FROM (SELECT 'pending' AS status UNION ALL SELECT 'retry' UNION ALL SELECT 'processing' UNION ALL SELECT 'completed' UNION ALL SELECT 'dead') s LEFT JOIN (SELECT status, count(*) AS n FROM jobs GROUP BY status) j ON j.status = s.status",
     "outbox_oldest_due": f"SELECT greatest(0, {NOW} - min(CASE WHEN status IN ('pending', 'retry') THEN available_at END)) AS age FROM jobs",
-    "pattern_detect": "SELECT category, project, n FROM (SELECT category, project, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, category, project) AS k FROM memories GROUP BY category, project HAVING count(*) >= 3) t WHERE k <= 10",
+    "pattern_detect": "SELECT category, project, count(*) AS n FROM memories GROUP BY category, project HAVING count(*) >= 3 ORDER BY n DESC, category, project LIMIT 10",
     "telemetry_stats": "SELECT usage_type, count(*) AS n, count(DISTINCT session_id) AS sessions FROM usage_log GROUP BY usage_type",
     "graph_stats": "SELECT kind, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT kind, count(*) FROM edges GROUP BY kind",
     "v2_stats": "SELECT count(*) AS total, count(expires_at) AS expiring, count(CASE WHEN lifecycle = 'pinned' THEN 1 END) AS pinned FROM memories",
@@ -58,22 +48,15 @@ BOOK: dict[str, str] = {
     "skill_stats": "SELECT p_type AS status, count(*) AS n, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM part GROUP BY p_type",
     "handoff_stats": f"SELECT status, count(*) AS n, {NOW} - min(created_at) AS oldest_age FROM jobs GROUP BY status",
     "cag_stats": "SELECT l_linestatus AS mode, l_returnflag AS cache_status, count(*) AS n FROM lineitem GROUP BY l_linestatus, l_returnflag",
-    "embedding_models": "SELECT count(DISTINCT label % 2) AS models, count(DISTINCT label) AS labels FROM embeddings",
+    "embedding_models": "SELECT count(DISTINCT model) AS models, min(model) AS first_model, max(model) AS last_model FROM chunk_vectors",
     # Windows and ordering
-    "shadow_rank": "SELECT project, id, prod, shadow, prod - shadow AS delta, CASE WHEN shadow < prod THEN 'promote' WHEN shadow > prod THEN 'demote' ELSE 'unchanged' END AS move FROM (SELECT project, id, prod, row_number() OVER (PARTITION BY project ORDER BY 0.9E0 * final + 0.1E0 * utility DESC, prod) AS shadow FROM (SELECT project, id, (id % 101) / 101E0 AS final, (id % 37) / 37E0 AS utility, row_number() OVER (PARTITION BY project ORDER BY id % 101 DESC, id) AS prod FROM memories) a) b",
     "event_sequence": "SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS seq FROM usage_log",
     "latest_checkpoint": "SELECT session_id, usage_id FROM (SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at DESC, usage_id DESC) AS k FROM usage_log) t WHERE k = 1",
     "fact_resolve": "SELECT fact_id, entity_id, claim_key, row_number() OVER (PARTITION BY entity_id, claim_key ORDER BY confidence DESC, observed_at DESC, fact_id DESC) = 1 AS wins FROM facts",
     "entity_facts": "SELECT claim_key, observed_at, claim_value, fact_id FROM facts WHERE entity_id = 42",
-    "dedup_exact": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY content ORDER BY created_at, id) AS k FROM memories) t WHERE k = 1",
-    "review_status": "SELECT l_orderkey AS version_id, l_returnflag AS decision FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_returnflag) AS k FROM lineitem) t WHERE k = 1",
     "recent_topk": "SELECT id, accessed_at FROM memories ORDER BY accessed_at DESC, id LIMIT 20",
-    "skill_versions": "SELECT fact_id, entity_id, CAST(sum(CASE WHEN claim_value IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY entity_id ORDER BY observed_at, fact_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM (SELECT *, lag(claim_value) OVER (PARTITION BY entity_id ORDER BY observed_at, fact_id) AS before FROM facts) t",
-    "ir_metrics": "SELECT round(avg(hit3) / 3, 6) AS p_at_3, round(avg(rr), 6) AS mrr FROM (SELECT project, CAST(sum(CASE WHEN k <= 3 THEN quality ELSE 0 END) AS DOUBLE) AS hit3, coalesce(max(CASE WHEN quality = 1 THEN 1E0 / k END), 0E0) AS rr FROM (SELECT m.project, l.quality, row_number() OVER (PARTITION BY m.project ORDER BY m.id % 53 DESC, m.id) AS k FROM memories m JOIN labels l ON l.doc_id = m.id) t GROUP BY project) u",
     # Sets and graph
     "edges_both": "SELECT src, dst, kind FROM edges WHERE src = 's3' UNION SELECT src, dst, kind FROM edges WHERE dst = 'p10'",
-    "edge_upsert": "SELECT src, dst, count(*) AS kinds FROM edges GROUP BY src, dst",
-    "entity_delete": "SELECT src, dst, kind FROM edges WHERE src <> 's7' AND dst <> 'p7'",
     # Maintenance
     "consolidate": f"SELECT id, CASE WHEN lifecycle NOT IN ('pinned', 'cold', 'archived') AND expires_at < {NOW} THEN 'cold' ELSE lifecycle END AS lifecycle FROM memories",
     "purge": f"SELECT id FROM memories WHERE expires_at IS NULL OR NOT expires_at < {NOW} - 72 * 3600",
@@ -82,14 +65,8 @@ BOOK: dict[str, str] = {
     "dead_letters": "SELECT job_id, 'pending' AS status, 0 AS attempts FROM jobs WHERE status = 'dead'",
     "retry_delay": "SELECT job_id, least(300, CAST(power(2, least(attempts, 8)) AS BIGINT)) AS delay FROM jobs",
     "truth_rewrite": "SELECT id FROM memories WHERE tier = 'persist' AND length(content) > length(summary) + 50",
-    "idempotency_classify": "SELECT entity_id AS k, CASE WHEN count(DISTINCT claim_value) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'replay' ELSE 'new' END AS verdict FROM facts GROUP BY entity_id",
-    "scope_mismatch": "SELECT c.c_custkey FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey <> c.c_custkey % 5",
+    "scope_mismatch": "SELECT t.task_id, t.owner_id FROM tasks t JOIN agents a ON a.agent_id = t.owner_id JOIN customer c ON c.c_custkey = t.task_id WHERE a.workspace_id <> CASE c.c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'HOUSEHOLD' THEN 2 ELSE 3 END",
     "handoff_version_status": "SELECT fact_id, CASE WHEN k > 1 THEN 'superseded' ELSE claim_value END AS status FROM (SELECT fact_id, claim_value, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, fact_id DESC) AS k FROM facts) t",
-    "client_skill_state": "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'removed' WHEN a.v = b.v THEN 'unchanged' WHEN a.v > b.v THEN 'updated' ELSE 'stale_client' END AS state FROM (SELECT id, id % 5 AS v FROM memories WHERE id % 3 <> 0) a FULL OUTER JOIN (SELECT id, id % 4 AS v FROM memories WHERE id % 2 = 0) b ON a.id = b.id",
-    "delivery_mode": "SELECT id, CASE WHEN id % 11 = 0 THEN 'refresh_required' WHEN id % 7 = 0 THEN 'no_change' WHEN delta > 0.7E0 * full_size THEN 'fallback_full' ELSE 'delta' END AS mode FROM (SELECT id, ceil(octet_length(encode(content)) / 4E0) AS full_size, ceil(octet_length(encode(content)) / 4E0) * (id % 10) / 10 AS delta FROM memories) t",
     "import_captures": "SELECT c.conv_id, c.turn, m.id AS memory_id FROM conversations c LEFT JOIN memories m ON m.id = c.conv_id * 3",
-    "import_plan": "SELECT verdict, count(*) AS n FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'already_present' WHEN expires_at < 1706745600 THEN 'expired' WHEN row_number() OVER (PARTITION BY content ORDER BY created_at, id) > 1 THEN 'exact_duplicate' WHEN row_number() OVER (PARTITION BY substr(content, 1, 120) ORDER BY created_at, id) > 1 THEN 'near_duplicate' ELSE 'import' END AS verdict FROM memories) t GROUP BY verdict",
-    "stale_embeddings": "SELECT id FROM memories WHERE id % 7 = 0 OR md5(content) <> md5(CASE WHEN id % 5 = 0 THEN concat(content, ' ') ELSE content END)",
-    "retrieval_log": "SELECT project, id, row_number() OVER (PARTITION BY project ORDER BY id % 101 DESC, id) AS place FROM memories",
-    "pack_consistency": "SELECT count(*) AS differing FROM (SELECT id FROM memories WHERE id % 2 = 0 EXCEPT SELECT id FROM memories WHERE id % 4 = 0) t",
+    "stale_embeddings": "SELECT m.id FROM memories m LEFT JOIN stored_embeddings e ON e.memory_id = m.id WHERE e.memory_id IS NULL OR e.status <> 'ready' OR e.model <> 'model-b'",
 }

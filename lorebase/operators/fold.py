@@ -1,4 +1,4 @@
-"""Ordered folds that running sums cannot express: token budgets, chunks."""
+"""Texts cut into chunks."""
 
 from __future__ import annotations
 
@@ -6,19 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-
-def within_budget(sizes: Column, budget: int) -> Column:
-    """Positions (from 0) that a greedy fold takes: an item that does not fit is skipped, later ones may fit."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-    items = F.transform(sizes, lambda s, i: F.struct(s.cast("long").alias("s"), i.alias("i")))
-    return F.aggregate(
-        items, start,
-        lambda acc, x: F.when(acc["used"] + x["s"] <= budget, F.struct((acc["used"] + x["s"]).alias("used"), F.concat(acc["taken"], F.array(x["i"])).alias("taken"))).otherwise(acc),
-        lambda acc: acc["taken"],
-    )
+from pyspark.sql import DataFrame
 
 
 def chunk_bounds(lengths: np.ndarray, most: int, back: int) -> list[tuple[int, int]]:

@@ -79,6 +79,16 @@ def handoff_states(events: DataFrame) -> DataFrame:
     return fold(events, ["handoff_id"], ["seq"], lambda: "draft", step, "status", "string")
 
 
+def within_budget(items: DataFrame, key: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """items and ``taken``: in order, each item that still fits into its key's budget; one that does not is passed over."""
+
+    def step(used, row):
+        fits = used + getattr(row, size) <= budget
+        return used + getattr(row, size) * fits, bool(fits)
+
+    return fold(items, key, order, lambda: 0, step, "taken", "boolean")
+
+
 def allocate(candidates: DataFrame, budget: int) -> DataFrame:
     """candidates(request string, place long, id long, category string, content_tokens long, summary_tokens long,
     reference_tokens long, text_key string, needs_check boolean), and ``disposition``.

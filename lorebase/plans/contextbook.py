@@ -13,7 +13,6 @@ OBJECTIVE = ("red", "large", "steel", "economy")
 
 BOOK: dict[str, str] = {
     # Context packs
-    "context_v1": "SELECT project, id, thread FROM (SELECT project, id, substr(content, 1, 200) AS thread, row_number() OVER (PARTITION BY project ORDER BY accessed_at DESC, id) AS k FROM memories WHERE lifecycle = 'active') t WHERE k <= 5",
     "fts_probe": "SELECT p.id, p.token, count(n.id) AS found FROM (SELECT id, lower(regexp_extract(note, '[A-Za-z0-9]{4,}', 0)) AS token FROM notes WHERE id = (SELECT max(id) FROM notes)) p LEFT JOIN notes n ON lower(n.note) LIKE concat('%', p.token, '%') GROUP BY p.id, p.token",
     "attach_entities": "SELECT l_orderkey AS memory_id, listagg(DISTINCT name, ',') WITHIN GROUP (ORDER BY name) AS entities FROM (SELECT l_orderkey, concat('p', CAST(l_partkey AS VARCHAR(20))) AS name FROM lineitem) t GROUP BY l_orderkey",
     "fingerprint": "SELECT l_orderkey AS pack_id, concat('sha256:', sha2(listagg(item, ',') WITHIN GROUP (ORDER BY item), 256)) AS fingerprint FROM (SELECT l_orderkey, concat(CAST(l_linenumber AS VARCHAR(9)), ':', CAST(l_partkey AS VARCHAR(20)), ':', l_returnflag) AS item FROM lineitem) t GROUP BY l_orderkey",

@@ -1,4 +1,4 @@
-"""Search, graph, text and fold queries built from the operators, with their SQL."""
+"""Text and window queries built from functions, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
-from lorebase.operators import fold
 from lorebase.sources.views import view
 from lorebase.streaming.ingest import sessions
 
@@ -23,12 +22,6 @@ def slugify(spark, d):
     return view(spark, d, "memories").select("id", T.slugify(F.col("summary")).alias("slug"))
 
 
-def skill_budget(spark, d):
-    rows = view(spark, d, "memories").groupBy("project", "category").agg(F.sort_array(F.collect_list(F.struct("id", T.token_estimate(F.col("summary")).alias("t")))).alias("items"))
-    taken = fold.within_budget(F.transform("items", lambda x: x["t"]), 400)
-    return rows.select("project", "category", F.size(taken).alias("n_taken"))
-
-
 def transcript_blob(spark, d):
     rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("blob"))
@@ -40,7 +33,7 @@ def session_windows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    token_estimate, slugify, skill_budget, transcript_blob, session_windows,
+    token_estimate, slugify, transcript_blob, session_windows,
 )}
 ORACLE_SQL = {
     "token_estimate": "SELECT id, CAST(ceil(octet_length(encode(content)) / 4.0) AS BIGINT) AS tokens FROM memories",

@@ -1,4 +1,5 @@
-"""Queries from stateful folds; SQL cannot express what depends on the rows accepted before, so these have none."""
+"""Queries from stateful folds.  Their SQL is a recursive query that carries the state from row to row, but for the
+allocation, whose state is too rich for it; that one is compared with plain Python in the tests."""
 
 from __future__ import annotations
 
@@ -9,18 +10,24 @@ from lorebase.functions import text as T
 from lorebase.operators import sequence
 from lorebase.sources.views import view
 
+LIMIT, SECONDS, BUDGET = 2, 3600, 400
+
 
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Calls of each user, two an hour admitted."""
     calls = view(spark, d, "usage_log").select(F.col("session_id").cast("long").alias("caller"), F.col("used_at").cast("long").alias("at"), F.col("usage_id").cast("long").alias("call_id"))
-    return sequence.rate_limited(calls, 2, 3600)
+    return sequence.rate_limited(calls, LIMIT, SECONDS).withColumnRenamed("at", "called_at")
 
 
 def handoff_fsm(spark: SparkSession, d: str) -> DataFrame:
-    """Status of each hand-off (an order) after every event (its lines)."""
-    wanted = F.element_at(F.array(*[F.lit(s) for s in ("ready", "claimed", "in_progress", "blocked", "completed", "expired", "claimed")]), ((F.col("l_linenumber") + F.col("l_partkey") % 2 - 1) % 7 + 1).cast("int"))
-    rows = spark.read.parquet(f"{d}/lineitem.parquet")
-    return sequence.handoff_states(rows.select(F.col("l_orderkey").alias("handoff_id"), F.col("l_linenumber").cast("long").alias("seq"), wanted.alias("wanted")))
+    """Status of each hand-off after every step that someone asked for."""
+    return sequence.handoff_states(view(spark, d, "handoff_steps"))
+
+
+def skill_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Memories of each project and category whose summaries a budget takes: one that does not fit is left out, later ones may fit."""
+    m = view(spark, d, "memories").select("project", "category", F.col("id").cast("long").alias("id"), T.token_estimate(F.col("summary")).alias("tokens"))
+    return sequence.within_budget(m, ["project", "category"], ["id"], "tokens", BUDGET).select("project", "category", "id", "taken")
 
 
 def context_allocate(spark: SparkSession, d: str) -> DataFrame:
@@ -35,4 +42,21 @@ def context_allocate(spark: SparkSession, d: str) -> DataFrame:
     return sequence.allocate(ordered.na.fill(0, ["content_tokens", "reference_tokens"]), 4000).select("request", "id", "category", "disposition")
 
 
-QUERIES = {"rate_limit": rate_limit, "handoff_fsm": handoff_fsm, "context_allocate": context_allocate}
+QUERIES = {f.__name__: f for f in (rate_limit, handoff_fsm, skill_budget, context_allocate)}
+
+_legal = " OR ".join(f"(s.status = '{a}' AND n.wanted IN ({', '.join(repr(b) for b in to)}))" for a, to in sequence.TRANSITIONS.items())
+ORACLE_SQL = {
+    "rate_limit": f"""WITH RECURSIVE n AS (SELECT session_id AS caller, used_at, usage_id AS call_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS k FROM usage_log),
+walk AS (SELECT caller, 0::BIGINT AS k, NULL::BIGINT AS used_at, NULL::BIGINT AS call_id, true AS admitted, []::BIGINT[] AS kept FROM n WHERE k = 1
+ UNION ALL SELECT n.caller, n.k, n.used_at, n.call_id, len(list_filter(w.kept, lambda t: t > n.used_at - {SECONDS})) < {LIMIT},
+ CASE WHEN len(list_filter(w.kept, lambda t: t > n.used_at - {SECONDS})) < {LIMIT} THEN list_append(list_filter(w.kept, lambda t: t > n.used_at - {SECONDS}), n.used_at) ELSE w.kept END FROM walk w JOIN n ON n.caller = w.caller AND n.k = w.k + 1)
+SELECT caller, used_at AS called_at, call_id, admitted FROM walk WHERE k > 0""",
+    "handoff_fsm": f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY handoff_id ORDER BY seq) AS k FROM handoff_steps),
+walk AS (SELECT handoff_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS wanted, 'draft' AS status FROM n WHERE k = 1
+ UNION ALL SELECT n.handoff_id, n.k, n.seq, n.wanted, CASE WHEN {_legal} THEN n.wanted ELSE s.status END FROM walk s JOIN n ON n.handoff_id = s.handoff_id AND n.k = s.k + 1)
+SELECT handoff_id, seq, wanted, status FROM walk WHERE k > 0""",
+    "skill_budget": f"""WITH RECURSIVE n AS (SELECT project, category, id, ceil(octet_length(encode(coalesce(summary, ''))) / 4)::BIGINT AS t, row_number() OVER (PARTITION BY project, category ORDER BY id) AS k FROM memories),
+walk AS (SELECT project, category, 0::BIGINT AS k, NULL::BIGINT AS id, false AS taken, 0::BIGINT AS used FROM n WHERE k = 1
+ UNION ALL SELECT n.project, n.category, n.k, n.id, w.used + n.t <= {BUDGET}, CASE WHEN w.used + n.t <= {BUDGET} THEN w.used + n.t ELSE w.used END FROM walk w JOIN n ON n.project = w.project AND n.category = w.category AND n.k = w.k + 1)
+SELECT project, category, id, taken FROM walk WHERE k > 0""",
+}

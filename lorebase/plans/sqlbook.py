@@ -51,7 +51,6 @@ BOOK: dict[str, str] = {
     "embedding_models": "SELECT count(DISTINCT model) AS models, min(model) AS first_model, max(model) AS last_model FROM chunk_vectors",
     # Windows and ordering
     "event_sequence": "SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS seq FROM usage_log",
-    "latest_checkpoint": "SELECT session_id, usage_id FROM (SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at DESC, usage_id DESC) AS k FROM usage_log) t WHERE k = 1",
     "fact_resolve": "SELECT fact_id, entity_id, claim_key, row_number() OVER (PARTITION BY entity_id, claim_key ORDER BY confidence DESC, observed_at DESC, fact_id DESC) = 1 AS wins FROM facts",
     "entity_facts": "SELECT claim_key, observed_at, claim_value, fact_id FROM facts WHERE entity_id = 42",
     "recent_topk": "SELECT id, accessed_at FROM memories ORDER BY accessed_at DESC, id LIMIT 20",

@@ -77,7 +77,6 @@ BOOK: dict[str, str] = {
     "edge_type": f"SELECT id, entity_id, name, {_edge} AS edge FROM (SELECT id, entity_id, name, lower(coalesce(nullif(regexp_extract(note, concat('(?i)[^.!?]*', name, '[^.!?]*[.!?]+'), 0), ''), note)) AS s FROM ({_known}) k) e",
     "snippet": f"SELECT id, name, CASE WHEN p = 0 THEN substr(note, 1, 200) ELSE concat(CASE WHEN p > 51 THEN '...' ELSE '' END, trim(substr(note, greatest(p - 50, 1), least(p - 1, 50) + length(name) + 50)), CASE WHEN p + length(name) + 49 < length(note) THEN '...' ELSE '' END) END AS snippet FROM (SELECT *, instr(lower(note), name) AS p FROM ({_known}) k) s",
     "classify_unknown": "SELECT id, CASE " + " ".join(f"WHEN {_any('t', w)} THEN '{k}'" for k, w in TYPE_WORDS.items()) + " ELSE 'concept' END AS kind FROM (SELECT id, lower(note) AS t FROM notes) n",
-    "entity_resolve": f"SELECT t.id, t.w, coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN a.entity_id IS NOT NULL THEN 'name' WHEN b.entity_id IS NOT NULL THEN 'alias' ELSE 'none' END AS found_by FROM ({_tokens}) t LEFT JOIN (SELECT * FROM registry WHERE is_alias = 0) a ON a.name = t.w LEFT JOIN (SELECT * FROM registry WHERE is_alias = 1) b ON b.name = t.w",
     "entity_upsert": f"SELECT p.name, CASE WHEN r.entity_id IS NULL THEN 'create' WHEN r.is_alias = 1 THEN 'alias' ELSE 'touch' END AS action, coalesce(r.entity_id, p.name) AS entity_id FROM (SELECT DISTINCT name FROM ({_proper}) q) p LEFT JOIN registry r ON r.name = p.name",
     "wire_graph": f"SELECT DISTINCT a.id, a.entity_id AS src, b.entity_id AS dst FROM ({_known}) a JOIN ({_known}) b ON a.id = b.id AND a.entity_id <> b.entity_id",
     "fact_extract": "SELECT f.id, r.entity_id, f.claim_key, min(f.claim_value) AS claim_value, 0.8E0 AS confidence, concat('note:', CAST(f.id AS VARCHAR(20)), '|', r.entity_id, '|', f.claim_key, '|', lower(f.claim_value)) AS derivation_key FROM ("
@@ -85,9 +84,7 @@ BOOK: dict[str, str] = {
     + ") f JOIN registry r ON r.name = f.name WHERE f.claim_value <> '' GROUP BY f.id, r.entity_id, f.claim_key, lower(f.claim_value)",
     "timeline_build": "SELECT entity_id, listagg(line, chr(10)) WITHIN GROUP (ORDER BY line DESC) AS timeline FROM (SELECT DISTINCT entity_id, concat('- **', CAST(observed_at AS VARCHAR(10)), '** | ', claim_value, ' [Source: ', claim_key, ']') AS line FROM facts) t GROUP BY entity_id",
     "backlink_audit": "SELECT l.o_custkey AS entity_id, l.o_orderkey AS memory_id FROM orders l LEFT JOIN (SELECT o_custkey, listagg(concat('[', CAST(o_orderkey AS VARCHAR(20)), ']'), ' ') WITHIN GROUP (ORDER BY o_orderkey) AS timeline FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) t ON t.o_custkey = l.o_custkey WHERE instr(coalesce(t.timeline, ''), concat('[', CAST(l.o_orderkey AS VARCHAR(20)), ']')) = 0",
-    "graph_context": "SELECT src, dst, concat(src, ' --[', kind, ']--> ', dst) AS line FROM edges",
     "entity_markdown": "SELECT id, concat('entities/', CASE kind WHEN 'person' THEN 'people' WHEN 'part' THEN 'tools' ELSE 'concepts' END, '/', id, '.md') AS path, concat('# ', name, chr(10), chr(10), '## Executive Summary', chr(10), chr(10), kind, ' ', name, chr(10), '---', chr(10)) AS page FROM entities",
-    "markdown_import": "SELECT id, truth FROM (SELECT id, kind, name, trim(regexp_extract(page, '## Executive Summary[\n]+([^#\n]*)[\n]---', 1)) AS truth FROM (SELECT id, kind, name, concat('# ', name, chr(10), '## Executive Summary', chr(10), kind, CASE WHEN length(id) % 2 = 0 THEN ' edited ' ELSE ' ' END, name, chr(10), '---', chr(10)) AS page FROM entities) p) q WHERE truth <> '' AND truth <> concat(kind, ' ', name)",
     # Identifiers
     "event_id": "SELECT conv_id, turn, role, coalesce(CASE WHEN turn % 4 = 0 THEN concat('given_', CAST(conv_id AS VARCHAR(20))) END, concat('nats_', sha2(concat(coalesce(role, ''), '|', CAST(conv_id AS VARCHAR(20)), '|', CAST(turn AS VARCHAR(20)), '|', coalesce(text, '')), 256))) AS event_id FROM conversations",
     "stable_digest": "SELECT id, concat('sha256:', sha2(concat('{\"agent\":\"', coalesce(agent, ''), '\",\"category\":\"', category, '\",\"id\":', CAST(id AS VARCHAR(20)), '}'), 256)) AS digest FROM memories",

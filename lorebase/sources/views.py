@@ -105,6 +105,8 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     "arrivals": "SELECT doc_id AS id, CASE WHEN n_chars > 3000 THEN concat(text, ' more') ELSE text END AS content, source AS agent FROM documents UNION ALL SELECT page_id + 100000000000, url, 'src0' FROM pages",
     "edge_attempts": "SELECT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst, concat('t', CAST(l_linenumber % 5 AS VARCHAR(2))) AS kind FROM lineitem",
     "strong_edges": "SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst FROM lineitem WHERE l_quantity >= 45",
+    "handoff_steps": "SELECT l_orderkey AS handoff_id, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS seq, CASE WHEN l_linenumber = 1 THEN 'ready' WHEN l_linenumber = 2 THEN 'claimed' WHEN l_returnflag = 'A' THEN 'in_progress' WHEN l_quantity > 45 THEN 'cancelled' WHEN l_returnflag = 'R' THEN 'blocked' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'expired' END AS wanted FROM lineitem",
+    "entity_pages": f"SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS id, concat('supplier ', s_name) AS known, {EPOCH} AS updated_at, {EPOCH} + CAST(floor(s_acctbal) AS BIGINT) AS edited_at, concat('# ', s_name, chr(10), chr(10), '## Executive Summary', chr(10), chr(10), CASE WHEN s_acctbal > 5000 THEN 'A trusted ' ELSE '' END, 'supplier ', s_name, chr(10), CASE WHEN s_nationkey > 12 THEN concat(chr(10), '## Timeline', chr(10), '- began', chr(10)) ELSE '' END, '---', chr(10)) AS page FROM supplier",
     "outcomes": "SELECT doc_id AS memory_id, quality AS successful, toxic AS corrections FROM labels",
 }
 

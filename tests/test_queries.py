@@ -8,7 +8,7 @@ import random
 import duckdb
 import pytest
 
-from lorebase.operators import fold, graph, search
+from lorebase.operators import fold, graph, search, sequence
 from lorebase.plans.catalog import ORACLE_SQL, QUERIES
 from lorebase.streaming import ingest
 
@@ -68,8 +68,9 @@ def test_chunks(spark):
 
 
 def test_budget_skips_and_goes_on(spark):
-    df = spark.createDataFrame([([5, 9, 3, 2, 1],), ([],)], "s array<int>")
-    assert [r[0] for r in df.select(fold.within_budget(df.s, 10)).collect()] == [[0, 2, 3], []]
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([5, 9, 3, 2, 1])] + [("b", 0, 11)], "k string, n long, s long")
+    got = {(r.k, r.n) for r in sequence.within_budget(df, ["k"], ["n"], "s", 10).collect() if r.taken}
+    assert got == {("a", 0), ("a", 2), ("a", 3)}
 
 
 def test_cosine_edges(spark):

@@ -152,9 +152,9 @@ scored AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0
 _rank = lambda source, k, order="score DESC, id": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM {source}) WHERE rank <= {k}"
 _similar = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) + 0.0"
 _VEC = f"""sims AS (SELECT CAST(q.vec_id / 50 AS BIGINT) AS query_id, e.vec_id AS id, {_similar} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
-vec AS (SELECT query_id, id, round(score * {_BOOST}, 6) AS score FROM ({_rank('sims', 500)}) JOIN memories USING (id))"""
+vec AS (SELECT query_id, id, score * {_BOOST} AS score FROM ({_rank('sims', 500)}) JOIN memories USING (id))"""
 _CHUNK = f"""csims AS (SELECT CAST(q.vec_id / 50 AS BIGINT) AS query_id, e.chunk_id AS id, e.memory_id, {_similar} AS score FROM embeddings q, chunk_vectors e WHERE q.vec_id % 50 = 0 AND e.model = '{MODEL}'),
-chunk AS (SELECT query_id, memory_id AS id, round(best * {_BOOST}, 6) AS score FROM (SELECT query_id, memory_id, max(score) AS best FROM ({_rank('csims', 2000)}) GROUP BY ALL) JOIN memories m ON m.id = memory_id)"""
+chunk AS (SELECT query_id, memory_id AS id, best * {_BOOST} AS score FROM (SELECT query_id, memory_id, max(score) AS best FROM ({_rank('csims', 2000)}) GROUP BY ALL) JOIN memories m ON m.id = memory_id)"""
 _LINKS = "links AS (SELECT id, concat(agent, ':', category) AS entity_id, created_at FROM memories)"
 
 
@@ -163,7 +163,7 @@ def _augmented(direct: str) -> str:
 seeded AS (SELECT DISTINCT query_id, entity_id FROM ({_rank(direct, 5)}) JOIN links USING (id)),
 reached AS (SELECT * FROM seeded UNION SELECT query_id, dst FROM seeded JOIN topic_edges ON src = entity_id UNION SELECT query_id, src FROM seeded JOIN topic_edges ON dst = entity_id),
 extra AS (SELECT query_id, id FROM reached JOIN newest USING (entity_id) EXCEPT SELECT query_id, id FROM {direct}),
-added AS (SELECT query_id, id, round(low / 2, 6) AS score FROM extra JOIN (SELECT query_id, min(score) AS low FROM {direct} GROUP BY query_id) USING (query_id))"""
+added AS (SELECT query_id, id, low / 2 AS score FROM extra JOIN (SELECT query_id, min(score) AS low FROM {direct} GROUP BY query_id) USING (query_id))"""
 
 
 def _fused(lists: str) -> str:

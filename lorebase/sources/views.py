@@ -70,8 +70,8 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     "candidates": "SELECT l_orderkey AS run_id, l_linenumber AS prod_place, l_partkey AS memory_id, l_extendedprice / 100000 AS score, l_discount * 10 AS utility, l_returnflag = 'A' AS selected, l_linestatus = 'F' AS relevant, l_suppkey % 3 = 0 AS other_scope FROM lineitem",
     # Skills: drafts in order, reviews of them, uses, and the clients' copies
     "skills": "SELECT p_partkey AS skill_id, p_name AS name, p_type AS kind, CASE WHEN p_size > 47 THEN 'deprecated' WHEN p_size > 44 THEN 'archived' ELSE 'active' END AS status, CASE WHEN p_retailprice > 1500 THEN NULL ELSE p_brand END AS repository, CAST(p_size % 25 AS BIGINT) AS owner_id FROM part",
-    "skill_drafts": "SELECT l_partkey AS skill_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS draft_id, concat('steps: ', CASE WHEN l_quantity > 25 THEN 'measure, cut' ELSE 'cut, measure' END) AS content, concat('from ', l_linestatus) AS evidence FROM lineitem",
-    "skill_reviews": "SELECT l_partkey AS skill_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS review_id, l_suppkey % 25 AS reviewer_id, CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'changes_requested' END AS decision FROM lineitem",
+    "skill_drafts": "SELECT l_partkey AS skill_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS draft_id, concat('steps: ', CASE WHEN l_quantity > 25 THEN 'measure, cut' ELSE 'cut, measure' END) AS content, concat('from ', l_linestatus) AS evidence FROM lineitem",
+    "skill_reviews": "SELECT l_partkey AS skill_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS review_id, l_suppkey % 25 AS reviewer_id, CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE 'changes_requested' END AS decision FROM lineitem",
     "skill_uses": "SELECT l_partkey AS skill_id, CASE l_linestatus WHEN 'F' THEN 'used' ELSE 'injected' END AS usage FROM lineitem",
     "skill_sources": "SELECT l_partkey AS skill_id, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.09 AND l_tax > 0.07 THEN concat(s_name, ' before') ELSE s_name END)) AS recorded_hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey, l_suppkey",
     "source_now": "SELECT s_suppkey AS source_id, CASE WHEN s_acctbal < -900 THEN NULL ELSE md5(s_name) END AS hash FROM supplier",
@@ -86,7 +86,7 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     "chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 200 AS memory_id, embedding, CASE WHEN label < 7 THEN 'model-b' ELSE 'model-a' END AS model FROM embeddings",
     "stored_embeddings": "SELECT doc_id AS memory_id, CASE WHEN quality = 1 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'model-a' ELSE 'model-b' END AS model FROM labels",
     # Life of memories: what agents did to them
-    "lifecycle_log": f"SELECT l_partkey AS memory_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS step, {EPOCH} + l_orderkey * 60 + l_linenumber AS at, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pin' WHEN l_returnflag = 'A' THEN 'unpin' WHEN l_returnflag = 'R' THEN 'demote' ELSE 'restore' END AS action FROM lineitem WHERE l_quantity > 40",
+    "lifecycle_log": f"SELECT l_partkey AS memory_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS step, {EPOCH} + l_orderkey * 60 + l_linenumber AS at, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pin' WHEN l_returnflag = 'A' THEN 'unpin' WHEN l_returnflag = 'R' THEN 'demote' ELSE 'restore' END AS action FROM lineitem WHERE l_quantity > 40",
     # Ingestion: events that arrive, and the ledger of those seen
     "incoming": "SELECT event_id, user_id, event_type FROM events",
     "ingest_ledger": f"SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'processing' ELSE 'complete' END AS status, {NOW} - CAST(floor(value * 10) AS BIGINT) AS updated_at FROM events WHERE value < 80",

@@ -6,7 +6,7 @@ threshold is found in nested steps: a histogram of 1,024 buckets finds the bound
 rows of that bucket are summed again over its 1,024 parts, and so on; nothing is sorted.  The final
 boundary part is taken if that brings the source nearer to its target.
 
-Hashes are of doc_id and text, so reruns agree, whatever the partitions.  Rows that repeat both share a
+Hashes are 40 bits of an MD5 digest of doc_id and text, so reruns agree, whatever the partitions.  Rows that repeat both share a
 hash and are taken together.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own, listed
@@ -15,7 +15,7 @@ last; sources without words have target 0; extra columns are ignored; an empty t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import materialize, own_columns, text_column, with_own, words
@@ -53,6 +53,11 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap:
     )
 
 
+def _hash(doc_id: Column, text: Column) -> Column:
+    """BITS * LEVELS bits of the MD5 digest of doc_id and text."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", doc_id.cast("string"), text).cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
 def _same(a, b):
     return a.eqNullSafe(b)
 
@@ -64,7 +69,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int =
         docs.select(
             "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("key"),
             F.size(words(F.col("text"))).cast("long").alias("size"),
-            F.shiftrightunsigned(F.xxhash64("doc_id", text), 64 - BITS * LEVELS).alias("hash"),
+            _hash(F.col("doc_id"), text).alias("hash"),
         ),
         "mix",
     )

@@ -160,4 +160,17 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT b, r FROM
 comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
 FROM documents LEFT JOIN n USING (doc_id) JOIN comp ON v = doc_id""",
+    "op10_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || md5(concat_ws(':', doc_id, coalesce(text, '')))[:10])::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+r AS (SELECT *, 2e0 * source_size AS cap, 2e0 * source_size / weight AS ratio, (SELECT sum(source_size) FROM s)::DOUBLE * 150 / 100 AS total FROM s),
+levels AS (SELECT ratio, (total - coalesce((SELECT sum(cap) FROM r x WHERE x.ratio < r.ratio), 0e0)) / (SELECT sum(weight) FROM r x WHERE x.ratio >= r.ratio) AS level FROM r),
+one AS (SELECT min(level) AS level FROM levels WHERE ratio = (SELECT min(ratio) FROM levels WHERE level <= ratio)),
+t AS (SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM r, one),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
+u AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) - n AS before FROM g),
+x AS (SELECT u.source, h, before + n <= budget OR (before <= budget AND n < 2 * (budget - before)) AS more FROM u JOIN (SELECT source, target - base * source_size AS budget FROM b) q ON q.source IS NOT DISTINCT FROM u.source)
+SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (base + CASE WHEN more AND base < 2 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.h = d.h""",
 }

@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 stage's rows as Parquet to the shared folder and rereads them, so a lost executor costs one stage at most.
 Tables that a stage writes for itself are deleted when its rows are written.
 All but the last return the columns of ``documents``; the mix adds its figures and leaves out what it does
-not take.  The mix goes by a hash that DuckDB lacks, so ORACLE_SQL is None and tests/llm/test_pipeline.py
-compares the rows of each stage, and of ``run``, with a plain Python version on a small planted table.
+not take.  Near-dedup and decontamination of texts that stages before them have rewritten have no SQL that
+ends in time on whole tables, so ORACLE_SQL is None and tests/llm/test_pipeline.py compares the rows of each stage,
+and of ``run``, with a plain Python version on a small planted table.
 """
 
 from __future__ import annotations

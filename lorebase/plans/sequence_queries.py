@@ -1,5 +1,4 @@
-"""Queries from stateful folds.  Their SQL is a recursive query that carries the state from row to row, but for the
-allocation, whose state is too rich for it; that one is compared with plain Python in the tests."""
+"""Queries from stateful folds.  Their SQL is a recursive query that carries the state from row to row."""
 
 from __future__ import annotations
 
@@ -59,4 +58,12 @@ SELECT handoff_id, seq, wanted, status FROM walk WHERE k > 0""",
 walk AS (SELECT project, category, 0::BIGINT AS k, NULL::BIGINT AS id, false AS taken, 0::BIGINT AS used FROM n WHERE k = 1
  UNION ALL SELECT n.project, n.category, n.k, n.id, w.used + n.t <= {BUDGET}, CASE WHEN w.used + n.t <= {BUDGET} THEN w.used + n.t ELSE w.used END FROM walk w JOIN n ON n.project = w.project AND n.category = w.category AND n.k = w.k + 1)
 SELECT project, category, id, taken FROM walk WHERE k > 0""",
+    "context_allocate": """WITH RECURSIVE m AS (SELECT concat(project, '/', agent) AS request, id, category, ceil(octet_length(encode(coalesce(content, ''))) / 4)::BIGINT AS whole, ceil(octet_length(encode(coalesce(summary, ''))) / 4)::BIGINT AS brief,
+ content <> summary AS shortened, lower(trim(summary)) AS words, id % 7 = 0 AS odd, row_number() OVER (PARTITION BY concat(project, '/', agent) ORDER BY accessed_at DESC, id) AS k FROM memories),
+walk AS (SELECT request, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS category, NULL::VARCHAR AS disposition, 0::BIGINT AS used, 0::BIGINT AS referred, []::VARCHAR[] AS seen, []::VARCHAR[] AS given FROM m WHERE k = 1
+ UNION ALL SELECT request, k, id, category, d, used + CASE d WHEN 'inline' THEN whole WHEN 'summary' THEN brief ELSE 0 END, referred + CASE d WHEN 'reference' THEN brief + 20 ELSE 0 END,
+ CASE WHEN d IN ('inline', 'summary') THEN list_append(seen, words) ELSE seen END, CASE WHEN d <> 'omitted' THEN list_append(given, category) ELSE given END FROM
+ (SELECT *, CASE WHEN words <> '' AND list_contains(seen, words) THEN 'omitted' WHEN may AND whole <= least(180, 1800 - used) THEN 'inline' WHEN may AND shortened AND brief <= least(180, 1800 - used) THEN 'summary' WHEN referred + brief + 20 <= 600 THEN 'reference' ELSE 'omitted' END AS d FROM
+ (SELECT m.request, m.k, m.id, m.category, m.whole, m.brief, m.shortened, m.words, w.used, w.referred, w.seen, w.given, NOT m.odd AND len(list_filter(w.given, lambda c: c = m.category)) < 2 AS may FROM walk w JOIN m ON m.request = w.request AND m.k = w.k + 1) a) b)
+SELECT request, id, category, disposition FROM walk WHERE k > 0""",
 }

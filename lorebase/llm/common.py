@@ -30,29 +30,36 @@ def with_own(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return rows.select(*given, *[v.alias(k) for k, v in new.items()])
 
 
-#: Size of a bit set, as a power of two: 2**24 bits are 2 MB, whatever the input.
-SET_BITS = 24
+#: Size of a bit set, as a power of two: 2**23 bits are 1 MB, whatever the input.
+SET_BITS = 23
+
+
+def _slot(value: Column) -> Column:
+    return F.shiftrightunsigned(value, 64 - (SET_BITS - 6)).cast("int")
+
+
+def _mask(value: Column) -> Column:
+    """Three bits of a word of 64, from the lower bits of the value."""
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(value, by).bitwiseAND(63).cast("int"))
+    return one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
 
 
 def bit_set(values: DataFrame) -> Column:
-    """A set of the longs in the only column of ``values``: an array of 2**(SET_BITS - 6) longs, as a scalar subquery.
+    """A set of the longs in the only column of ``values``: an array of 2**(SET_BITS - 6) words, as a scalar subquery.
 
     Of fixed size; like a Bloom filter it may take a value for a member, never the other way round.
     """
     (name,) = values.columns
-    probes = F.explode(F.array(F.shiftrightunsigned(name, 64 - SET_BITS), F.shiftrightunsigned(name, 32 - SET_BITS).bitwiseAND((1 << SET_BITS) - 1)))
-    bits = values.select(probes.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")
-    )
+    words = values.groupBy(_slot(F.col(name)).alias("slot")).agg(F.bit_or(_mask(F.col(name))).alias("word"))
     every = values.sparkSession.range(1 << (SET_BITS - 6)).select(F.col("id").cast("int").alias("slot"))
-    filled = every.join(bits, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("all"))
+    filled = every.join(words, "slot", "left").agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("all"))
     return filled.select(F.col("all.word")).scalar()
 
 
 def may_hold(members: Column, value: Column) -> Column:
-    """Whether a bit set may hold a value."""
-    hit = lambda bit: F.getbit(F.get(members, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
-    return hit(F.shiftrightunsigned(value, 64 - SET_BITS)) & hit(F.shiftrightunsigned(value, 32 - SET_BITS).bitwiseAND((1 << SET_BITS) - 1))
+    """Whether a bit set may hold a value; the set is named once, as each mention of it goes to every task."""
+    mask = _mask(value)
+    return F.get(members, _slot(value)).bitwiseAND(mask) == mask
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

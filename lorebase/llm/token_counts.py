@@ -146,7 +146,7 @@ class Merges:
         key, rank = left << np.uint64(32) | right, np.arange(len(pairs), dtype=np.int32)
         merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.merged = merged
-        self.pairs = dict(zip(zip(left.tolist(), right.tolist(), strict=True), range(len(pairs)), strict=True))
+        self.pairs = dict(zip((left << np.uint64(24) | right).tolist(), range(len(pairs)), strict=True))
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.arange(len(key))
         while len(todo):
@@ -171,28 +171,33 @@ class Merges:
 
     def long_count(self, data: bytes) -> int:
         """Number of tokens of one phrase: pairs leave a heap by rank, then place, and tokens form a linked list."""
-        token, rank_of, merged = self.first[np.frombuffer(data, np.uint8)].tolist(), self.pairs.get, self.merged.tolist()
+        start = self.first[np.frombuffer(data, np.uint8)]
+        ranks = self.rank(start[:-1], start[1:]).astype(np.int64)
+        places = np.flatnonzero(ranks != self.NEVER)
+        # Sorted, so already a heap.
+        heap = np.sort(ranks[places] << 40 | places).tolist()
+        token, rank_of, merged = start.tolist(), self.pairs.get, self.merged.tolist()
         n = left = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 40 | i for i, r in enumerate(map(rank_of, zip(token, token[1:], strict=False))) if r is not None]
-        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            x = heapq.heappop(heap)
-            i = x & 0xFFFFFFFFFF
+            x = pop(heap)
+            i, rank = x & 0xFFFFFFFFFF, x >> 40
             j = after[i]
             # Out of date if the token is gone or has another neighbour by now.
-            if j == n or rank_of((token[i], token[j])) != x >> 40:
+            if j == n or token[i] < 0 or rank_of(token[i] << 24 | token[j]) != rank:
                 continue
-            token[i], token[j] = merged[x >> 40], -1
+            now = token[i] = merged[rank]
+            token[j] = -1
             left -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of((token[i], token[k]))) is not None:
-                    heapq.heappush(heap, r << 40 | i)
+                if (r := rank_of(now << 24 | token[k])) is not None:
+                    push(heap, r << 40 | i)
             h = before[i]
-            if h >= 0 and (r := rank_of((token[h], token[i]))) is not None:
-                heapq.heappush(heap, r << 40 | h)
+            if h >= 0 and (r := rank_of(token[h] << 24 | now)) is not None:
+                push(heap, r << 40 | h)
         return left
 
     def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -28,6 +28,8 @@ BOILERPLATE = (
     "tous droits réservés", "cliquez ici", "politique de confidentialité", "conditions générales", "sous licence",
     "todos los derechos reservados", "haga clic aquí", "política de privacidad", "términos de uso", "bajo licencia",
 )
+#: They begin where a word does, which also spares the search most places.
+FURNITURE = r"(^|\P{L})(" + "|".join(BOILERPLATE) + ")"
 #: Symbols that prose hardly uses, and marks that end a line of prose.
 SYMBOLS = "[#*$%&|<>]"
 ENDS = ".!?:;…\"'”’»)]}。！？؟।"
@@ -57,7 +59,7 @@ def line_fails(line: Column) -> Column:
     last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
     endless = ~last.isin(*ENDS) & (parts >= SENTENCE_WORDS)
     navigation = rarely(r"[|>»·]", count(r" [|>»·] ") >= 3)
-    furniture = F.lower(line).rlike("|".join(BOILERPLATE))
+    furniture = F.lower(line).rlike(FURNITURE)
     return line.rlike(WORD_CLASS) & (endless | symbols | navigation | marks | shouting | furniture)
 
 

@@ -143,7 +143,7 @@ f AS (SELECT doc_id, l, len({_bare('l')}) AS chars, len(string_split(l, ' ')) AS
  len(regexp_replace(l, '[^\p{{L}}]+', '', 'g')) AS letters, len(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) AS capitals FROM lines WHERE regexp_matches(l, '{_WORD}')),
 j AS (SELECT doc_id, l, chars, len(regexp_extract_all(l, '[!?]{{2,}}|\.{{4,}}')) * 3 > parts OR len(regexp_extract_all(l, '{quality_rules.SYMBOLS}')) * 10 > chars
  OR (letters >= 10 AND capitals * 10 > letters * 7) OR len(regexp_extract_all(l, ' [|>»·] ')) >= 3 OR (parts >= {quality_rules.SENTENCE_WORDS} AND instr('{_ENDS}', z) = 0)
- OR regexp_matches(lower(l), '{"|".join(quality_rules.BOILERPLATE)}') AS fails FROM f),
+ OR regexp_matches(lower(l), '{quality_rules.FURNITURE}') AS fails FROM f),
 g AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN 0 ELSE chars END) AS rest FROM j GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len({_bare('t')})::BIGINT AS word_chars, len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,
  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(rest, 0) AS rest FROM d LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))

@@ -24,7 +24,7 @@ def line_fails(line):
         or len(regex.findall(r"[#*$%&|<>]", line)) * 10 > chars
         or (letters >= 10 and capitals * 10 > letters * 7)
         or len(regex.findall(r" [|>»·] ", line)) >= 3
-        or any(p in line.lower() for p in Q.BOILERPLATE)
+        or any(p in " " + line.lower() and regex.search(r"(?<!\p{L})" + regex.escape(p), line.lower()) for p in Q.BOILERPLATE)
         or (parts >= 5 and line.rstrip(" \t\n\x0b\x0c\r")[-1] not in Q.ENDS)
     )
 

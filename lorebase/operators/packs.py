@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.sources.scratch import materialize
+
 #: Statuses that keep a skill from being used, and reviews that end a version.
 UNUSABLE, FINAL = ("deprecated", "archived", "stale"), ("approved", "rejected", "deprecated", "archived")
 TRUSTED = ("trusted", "high", "owner")
-DELTA_MAX_RATIO = 0.70
-INDEX_PREFIX = 120
+#: Share of the whole pack that a delta may have, and characters by which near copies are told.
+DELTA_MAX_RATIO, INDEX_PREFIX = 0.70, 120
 
 
 def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -17,8 +19,6 @@ def ranked(df: DataFrame, keys: list[Column]) -> DataFrame:
 
     Rows are dealt to ranges and numbered inside; what lies in the ranges before is one number each, added by a join.
     """
-    from lorebase.sources.scratch import materialize
-
     dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_n", F.monotonically_increasing_id())
     dealt = materialize(dealt.withColumn("_part", F.shiftright("_n", 33).cast("int")).withColumn("_n", F.col("_n").bitwiseAND((1 << 33) - 1)), "ranked")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))

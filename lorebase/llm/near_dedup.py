@@ -9,7 +9,9 @@ at a similarity of 0.85 (op8) and of 3e-6 at 0.80 (``clean``).  Representatives
 2. Then with the pivots of its other buckets, where those are in another component.
 3. Then every pair that still shares a bucket but not a component is compared, in blocks of members: block
    against block in one task, which hands on only pairs that a sketch of the sets allows.  No candidate is
-   dropped: links inside a component add nothing, and all others are looked at.
+   dropped: links inside a component add nothing, and all others are looked at.  A bucket in which m components
+   are left costs about m**2 / 2 comparisons of signatures, dealt out by pairs of blocks; after the first two steps
+   only texts that share five minima by chance are left in one.
 
 A sketch counts the shingles in 256 parts of the hash range; sets that differ by more than a link allows there
 differ by more in full, so it never loses a link.  Other pairs are compared by signature (four bits of each minimum; a pair at the threshold fails with a chance of

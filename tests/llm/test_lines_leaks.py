@@ -28,7 +28,7 @@ def test_line_dedup(spark):
     rng = random.Random(3)
     pool = [f"line {i}." for i in range(25)] + ["", "  "]
     docs = {i: "\n".join(rng.choices(pool, k=rng.randint(1, 14))) for i in range(60)}
-    docs |= {60: None, 61: "", 62: "\n\n\n", 63: "x\ny\n" * 3000, 64: "a\nb", 65: "a\nb", 66: "same\nsame\nsame\nsame"}
+    docs |= {60: None, 61: "", 62: "\n\n\n", 63: "x\ny\n" * 45, 64: "a\nb", 65: "a\nb", 66: "same\nsame\nsame\nsame"}
     rows = [(i, t, "e", i) for i, t in docs.items()]
     df = spark.createDataFrame(rows + [rows[64]], "doc_id long, text string, kept_text string, n_lines int")
     got = line_dedup.dedup(df).collect()
@@ -37,8 +37,8 @@ def test_line_dedup(spark):
     for r in got:
         assert (r.n_lines, r.n_removed, r.kept_text) == want[r.doc_id], r.doc_id
     assert line_dedup.dedup(df.limit(0)).count() == 0
-    assert line_dedup.clean(df).columns == df.columns
-    assert 65 not in {r.doc_id for r in line_dedup.clean(df).collect()}
+    left = line_dedup.clean(df)
+    assert left.columns == df.columns and 65 not in {r.doc_id for r in left.collect()}
 
 
 def test_long_single_lines(spark):

@@ -79,6 +79,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import ball_kmeans
+
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorebase.llm import kdtree
+
+    return kdtree.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +108,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -104,6 +125,27 @@ def _bare(text: str) -> str:
     return rf"regexp_replace({text}, '[\x20\x09-\x0D]+', '', 'g')"
 
 
+#: crc32 of a text's UTF-8 bytes, from the 256 entries of its table, which the polynomial gives.
+_CRC_TABLE = "crc AS (SELECT [list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for i in range(256)] AS t)"
+_crc = lambda text: (
+    f"xor(list_reduce([4294967295] || list_transform(range(1, strlen({text}) * 2, 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+)
+_whole = lambda scale: f"list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {scale})::BIGINT)"
+_FIT = "len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+
+
+def _kmeans(k: int, rounds: int) -> str:
+    """Lloyd's rounds, each vector against every centroid."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT vec_id, c, sum((x.x - m.x) * (x.x - m.x))::BIGINT AS distance FROM x JOIN m{r} m USING (i) GROUP BY vec_id, c)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, arg_min(c, distance * {k} + c) AS c, min(distance) AS distance FROM d{r} GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY c, i)")
+            steps.append(f"m{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM m{r} LEFT JOIN s{r} USING (c, i))")
+    return ", ".join(steps)
+
+
 _ENDS = quality_rules.ENDS.replace("'", "''")
 _WORDS = _words("coalesce(text, '')")
 
@@ -173,4 +215,27 @@ u AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) - n AS b
 x AS (SELECT u.source, h, before + n <= budget OR (before <= budget AND n < 2 * (budget - before)) AS more FROM u JOIN (SELECT source, target - base * source_size AS budget FROM b) q ON q.source IS NOT DISTINCT FROM u.source)
 SELECT d.doc_id, d.size, b.source_size, b.target, (d.size * (base + CASE WHEN more AND base < 2 THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN b ON b.source IS NOT DISTINCT FROM d.source JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.h = d.h""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT r, n, {_crc("concat(coalesce(doc_id::VARCHAR, ''), ':', r)")} AS h FROM runs, crc),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN concat(r[:h % length(r)], r[h % length(r) + 2:]) ELSE r END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, concat(word[:i], word[i + 2:]) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON b.word = a.rest UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON b.word = a.rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f e ON e.word = walk.root WHERE e.form IS NULL""",
+    "op12_centroid_clustering": f"""
+WITH v AS (SELECT vec_id, {_whole(256)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FIT}),
+x AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+m0 AS MATERIALIZED (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v) WHERE c < 40),
+{_kmeans(40, 5)},
+g AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m5 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a5 JOIN g USING (c)""",
+    "op13_exact_topk": f"""
+WITH v AS (SELECT vec_id, list_transform({_whole(1024)}, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_FIT}),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(q.v, e.v)::BIGINT AS score FROM v q JOIN v e ON q.vec_id <> e.vec_id AND len(q.v) = len(e.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }

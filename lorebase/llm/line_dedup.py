@@ -1,4 +1,4 @@
-"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling, and its common-prefix intervals.
 
 A document's text is a sequence of lines; a line's ID is a 128-bit hash.  A suffix is a place in such a sequence
 and runs to the end of its document.  Ranks order all suffixes by their first 2**h lines: those of h = 0 come
@@ -9,23 +9,27 @@ to partition, so no task sees the whole order.
 Suffixes with equal rank at h are an interval of the suffix array in which neighbours share a prefix of 2**h lines
 or more (a longest-common-prefix interval).  An interval of one suffix ends there: only suffixes that share
 theirs go on, so the table shrinks with every round, and doubling ends when no interval is left, however long
-the longest repeat is.  For each suffix the deepest interval of which it is not the first member says that its first
-2**h lines stand earlier too, and where.  Overlapping ones of a document are joined, which gives the maximal copied
-runs of lines at their exact length, as a maximal run is covered by the prefixes of the suffixes inside it.
+the longest repeat is.
+
+The deepest interval at a power of two of which a suffix is not the first member bounds the length of its longest earlier
+copy from both sides.  The exact length is found by halving: an interval of L lines splits into those of L + 2**k
+lines by the ranks of level k at L lines further on.  A suffix that is not the first member of its part goes on with
+the longer prefix; the first members of all parts, each for its part, go on with the shorter one.  So every suffix
+is looked for once, and the interval where it ends gives its longest copied run and one source: the
+first place of exactly these lines.  Runs of a document that lie in another of its runs are left out; what is left are its
+maximal copied runs, which may overlap.
 
 A copied run of ``min_lines`` lines or more is deleted, and so is a copied line of ``line_words`` words or more;
 shorter single lines that many documents share stay.  Earlier means: smaller doc_id (null first), then smaller
 text hash, then earlier line; so of several texts under one doc_id one is the first.
 
-Defined results: null text has no lines; blank lines count as lines, but a run without words is never deleted;
+Defined results: null text has no lines; blank lines count as lines, but a run without words is never deleted; a document may have any number of lines;
 rows that repeat both doc_id and text are one document and get the same result; extra columns pass through,
 and those that have a result's name are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +51,10 @@ def _ranked(suffixes: DataFrame, sort_key: list[str], name: str) -> DataFrame:
     return materialize(groups.repartitionByRange(*sort_key).sortWithinPartitions(*sort_key).withColumn("next", F.monotonically_increasing_id()), name)
 
 
-def later_suffixes(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
-    """doc_id, key, start, level, worded, long, source: the suffixes of each interval but its first, at every level.
+def _levels(docs: DataFrame, line_words: int) -> list[DataFrame]:
+    """For each h the suffixes in intervals of 2**h lines: place (doc_id, key, start), rank, first (place), worded, long.
 
-    ``source`` is the place (doc_id, key, start) of that first one; ``worded``: some line of the prefix has words;
-    ``long``: the prefix is a single line of ``line_words`` words or more.
+    ``worded``: some line of the prefix has words; ``long``: its first line has ``line_words`` words or more.
     """
     text = text_column(docs)
     lines = (
@@ -64,39 +67,63 @@ def later_suffixes(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     )
     # Rows that repeat doc_id and text hold the same places: an interval of one place is none.
     names = _ranked(lines, ["a", "b"], "line-ranks")
-    held = materialize(lines.join(names, ["a", "b"]).select("place", F.col("next").alias("rank"), "first", "worded", "long").distinct(), "suffixes-0")
-    levels: list[DataFrame] = []
+    levels = [materialize(lines.join(names, ["a", "b"]).select("place", F.col("next").alias("rank"), "first", "worded", "long").distinct(), "suffixes-0")]
     while True:
-        level = len(levels)
-        levels.append(held.where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", F.lit(level).alias("level"), "worded", "long", F.col("first").alias("source")))
+        level = len(levels) - 1
         # The rank of the suffix 2**level lines further on, where that is in an interval too.
         ahead = Window.partitionBy("place.doc_id", "place.key").orderBy("place.start").rangeBetween(1 << level, 1 << level)
         pairs = materialize(
-            held.select("place", "rank", F.first("rank").over(ahead).alias("then"), (F.col("worded") | F.first("worded").over(ahead)).alias("worded")).where("then is not null"),
+            levels[-1].select("place", "rank", F.first("rank").over(ahead).alias("then"), (F.col("worded") | F.first("worded").over(ahead)).alias("worded"), "long").where("then is not null"),
             f"pairs-{level}",
         )
         names = _ranked(pairs, ["rank", "then"], f"ranks-{level + 1}")
         if names.isEmpty():
-            break
-        held = materialize(pairs.join(names, ["rank", "then"]).select("place", F.col("next").alias("rank"), "first", "worded", F.lit(False).alias("long")), f"suffixes-{level + 1}")
-    return reduce(DataFrame.unionByName, levels)
+            return levels
+        levels.append(materialize(pairs.join(names, ["rank", "then"]).select("place", F.col("next").alias("rank"), "first", "worded", "long"), f"suffixes-{level + 1}"))
+
+
+def _later(level: DataFrame) -> DataFrame:
+    return level.where(~F.col("place").eqNullSafe(F.col("first")))
+
+
+def longest_copies(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    """place, first, size, worded, long: suffixes with the length and the first place of their longest earlier copy.
+
+    Of suffixes that share one line only with earlier ones, those are left out whose line is not long.
+    """
+    levels = _levels(docs, line_words)
+    open_ = None
+    for k in reversed(range(len(levels))):
+        if open_ is not None:
+            # Rank and words of the 2**k lines behind the prefix, where they are in an interval.
+            behind = F.struct("place.doc_id", "place.key", (F.col("place.start") + F.col("size")).alias("start"))
+            level = levels[k].select(F.col("place").alias("_at"), "rank", F.col("worded").alias("_worded"))
+            met = materialize(open_.withColumn("_at", behind).join(level, "_at", "left").drop("_at"), f"met-{k}")
+            parts = met.where("rank is not null").groupBy("first", "size", "rank").agg(F.min("place").alias("_first"), F.max("place").alias("_last"))
+            split = met.join(materialize(parts.where("_first < _last").drop("_last"), f"parts-{k}"), ["first", "size", "rank"], "left")
+            longer = split.where("_first is not null").select("place", F.col("_first").alias("first"), (F.col("size") + (1 << k)).alias("size"), (F.col("worded") | F.col("_worded")).alias("worded"), "long")
+            shorter = split.where(F.col("_first").isNull() | F.col("_first").eqNullSafe(F.col("place"))).select("place", "first", "size", "worded", "long")
+            open_ = longer.unionByName(shorter)
+        # Members of the intervals of 2**k lines whose longest copy is not longer, and the first of each longer interval.
+        own = levels[k] if k else _later(levels[0]).where("long")
+        if k + 1 < len(levels):
+            own = own.join(_later(levels[k + 1]).select("place"), "place", "left_anti")
+        own = own.select("place", "first", F.lit(1 << k).alias("size"), "worded", "long")
+        open_ = materialize(own if open_ is None else open_.unionByName(own), f"open-{k}")
+    return _later(open_)
 
 
 def copied_runs(docs: DataFrame, min_lines: int = MIN_LINES, line_words: int = LINE_WORDS) -> DataFrame:
-    """doc_id, key, runs: of each document the copied runs (start, length, source of the first lines), apart from one another."""
-    least = min_lines.bit_length() - 1
-    if min_lines != 1 << least:
-        raise ValueError("min_lines is a power of two")
-    counted = later_suffixes(docs, line_words).where(((F.col("level") >= least) & F.col("worded")) | F.col("long"))
-    spans = counted.select("doc_id", "key", "start", (F.col("start") + F.expr("shiftleft(1, level)")).alias("end"), "source")
-    within = Window.partitionBy("doc_id", "key").orderBy("start", F.desc("end"))
-    reached = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("opens", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("run", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = numbered.groupBy("doc_id", "key", "run").agg(
-        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.min(F.struct("start", -F.col("end"), "source")).alias("_m")
+    """doc_id, key, runs: of each document its maximal copied runs (start, length, source) in order; none lies in another."""
+    whole = (F.col("size") >= min_lines) & F.col("worded")
+    spans = (
+        longest_copies(docs, line_words).where(whole | F.col("long"))
+        .select("place.*", F.when(whole, F.col("size")).otherwise(1).alias("length"), F.col("first").alias("source"))
     )
-    return runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "length", F.col("_m.source").alias("source")))).alias("runs"))
+    before = Window.partitionBy("doc_id", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max(F.col("start") + F.col("length")).over(before)
+    runs = spans.withColumn("_reached", reached).where(F.col("_reached").isNull() | (F.col("start") + F.col("length") > F.col("_reached")))
+    return runs.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "length", "source"))).alias("runs"))
 
 
 def _deduped(docs: DataFrame, min_lines: int, line_words: int) -> DataFrame:
@@ -110,14 +137,17 @@ def _deduped(docs: DataFrame, min_lines: int, line_words: int) -> DataFrame:
     )
     begins = F.transform("runs", lambda r: r["start"])
     ends = F.transform("runs", lambda r: r["start"] + r["length"])
-    # Kept lines are the stretches between runs.
+    # Kept lines are the stretches between runs; where runs overlap there is none.
     between = F.arrays_zip(F.concat(F.array(F.lit(0)), ends).alias("f"), F.concat(begins, F.array(F.size("_lines"))).alias("t"))
     kept = F.flatten(F.transform(F.filter(between, lambda x: x["t"] > x["f"]), lambda x: F.slice("_lines", x["f"] + 1, x["t"] - x["f"])))
     lengths = F.transform("runs", lambda r: r["length"])
+    # What a run adds to the lines that the one before it reached.
+    again = F.zip_with(F.slice(ends, 1, F.greatest(F.size("runs") - 1, F.lit(0))), F.slice(begins, 2, F.greatest(F.size("runs") - 1, F.lit(0))), lambda e, b: F.greatest(e - b, F.lit(0)))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
     return rows.select(
         "_own", "_text",
         F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate(lengths, F.lit(0), lambda n, x: n + x), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(total(lengths) - total(again), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"),
         "runs",
         F.when(F.col("runs").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),

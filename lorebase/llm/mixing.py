@@ -9,7 +9,7 @@ boundary part is taken if that brings the source nearer to its target.
 Hashes are 40 bits of an MD5 digest of doc_id and text, so reruns agree, whatever the partitions.  Rows that repeat both share a
 hash and are taken together.
 
-Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own, listed
+Defined results: null or empty text has size 0 and takes 0, and a very long one is counted whole; a null source is a source of its own, listed
 last; sources without words have target 0; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import materialize, own_columns, text_column, with_own, words
+from lorebase.llm.common import materialize, own_columns, text_column, where_settled, with_own, words
 
 BITS = 10
 LEVELS = 4
@@ -62,17 +62,14 @@ def _same(a, b):
     return a.eqNullSafe(b)
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int = 2) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source, key: the text's hash)."""
+def _figures(docs: DataFrame) -> list[Column]:
+    """source, size and hash of each row."""
     text = text_column(docs)
-    slim = materialize(
-        docs.select(
-            "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("key"),
-            F.size(words(F.col("text"))).cast("long").alias("size"),
-            _hash(F.col("doc_id"), text).alias("hash"),
-        ),
-        "mix",
-    )
+    return [F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), _hash(F.col("doc_id"), text).alias("hash")]
+
+
+def thresholds(slim: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int = 2) -> DataFrame:
+    """source, source_size, target, base, threshold: one row per source, from rows (source, size, hash)."""
     per_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_percent, cap)
     plan = materialize(
         per_source.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -112,22 +109,32 @@ def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int =
         )
         if level < LEVELS - 1:
             plan = plan.drop("edge")
-    chosen = plan.withColumn("threshold", F.col("prefix") + F.when(F.col("edge") < 2 * F.col("budget"), 1).otherwise(0))
-    return slim.join(chosen.withColumnRenamed("source", "_s"), _same(F.col("source"), F.col("_s"))).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("base") + F.when((F.col("hash") < F.col("threshold")) & (F.col("base") < cap), 1).otherwise(0))).alias("taken"),
-        "source", "key",
+    return plan.withColumn("threshold", F.col("prefix") + F.when(F.col("edge") < 2 * F.col("budget"), 1).otherwise(0))
+
+
+def _taken(base: Column, size: Column, more: Column, cap: int) -> Column:
+    return (size * (base + F.when(more & (base < cap), 1).otherwise(0))).alias("taken")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int = 2) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    slim = materialize(docs.select("doc_id", *_figures(docs)), "mix")
+    chosen = thresholds(slim, weights, total_percent, cap).withColumnRenamed("source", "_s")
+    return slim.join(chosen, _same(F.col("source"), F.col("_s"))).select(
+        "doc_id", "size", "source_size", "target", _taken(F.col("base"), F.col("size"), F.col("hash") < F.col("threshold"), cap)
     )
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, cap: int = 2) -> DataFrame:
     """Pipeline stage: rows of which the mix takes words, with size, source_size, target and taken.
 
-    Columns of ``docs`` that have these names are replaced.  Figures are joined by doc_id and text hash; rows that
-    repeat both, in several sources, share the decision that takes most.
+    Columns of ``docs`` that have these names are replaced.  Texts are not shuffled: the thresholds come from sizes and
+    hashes, and a row is judged where it stands, by the one row of its source.
     """
-    own = ("size", "source_size", "target", "taken")
-    plan = mix(docs).groupBy("doc_id", "key").agg(F.max(F.struct("taken", *own[:3])).alias("m"))
-    held = own_columns(docs, F.col("doc_id").alias("_id"), F.xxhash64(text_column(docs)).alias("_key"))
-    rows = held.join(plan, _same(F.col("_id"), F.col("doc_id")) & (F.col("_key") == F.col("key"))).where("m.taken > 0")
-    return with_own(rows, docs.columns, **{c: F.col(f"m.{c}") for c in own})
+    slim = materialize(docs.select(*_figures(docs)), "mix")
+    chosen = thresholds(slim, cap=cap).select(F.struct("source", "source_size", "target", "base", "threshold").alias("_plan"))
+    held = own_columns(docs, F.struct(*_figures(docs)).alias("_row"))
+    rows = held.join(chosen, _same(F.col("_row.source"), F.col("_plan.source")))
+    taken = _taken(F.col("_plan.base"), F.col("_row.size"), F.col("_row.hash") < F.col("_plan.threshold"), cap)
+    rows = where_settled(rows.withColumn("_taken", taken), F.col("_taken") > 0)
+    return with_own(rows, docs.columns, size=F.col("_row.size"), source_size=F.col("_plan.source_size"), target=F.col("_plan.target"), taken=F.col("_taken"))

@@ -162,19 +162,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_remove
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op5_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-one AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
-two AS (SELECT doc_id, i, md5(concat(x, chr(10), y)) AS r FROM (SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM one) WHERE y IS NOT NULL AND regexp_matches(concat(x, y), '{_WORD}')),
-late AS (SELECT doc_id, i, i + 2 AS e FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM two) WHERE k > 1),
-lines AS (SELECT doc_id, i, i + 1 AS e FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(x) ORDER BY doc_id, i) AS k FROM one WHERE len({_words('x')}) >= 20) WHERE k > 1),
-spans AS (SELECT * FROM late UNION ALL SELECT * FROM lines),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, e)) AS i FROM spans),
+one AS MATERIALIZED (SELECT doc_id, x, md5(x) AS m, i, len({_words('x')}) AS w, sum(CASE WHEN regexp_matches(x, '{_WORD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS worded FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d)),
+met AS (SELECT a.doc_id, a.i, b.doc_id AS other, a.i - b.i AS slope FROM one a JOIN one b ON a.m = b.m AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, slope ORDER BY i) AS g FROM met),
+copy AS (SELECT doc_id, i, max(e) AS e FROM (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id, other, slope, g) + 1 AS e FROM island) GROUP BY doc_id, i),
+span AS (SELECT doc_id, i, CASE WHEN e - i >= 2 AND z.worded - s.worded + CASE WHEN regexp_matches(s.x, '{_WORD}') THEN 1 ELSE 0 END > 0 THEN e WHEN s.w >= 20 THEN i + 1 END AS e
+ FROM copy JOIN one s USING (doc_id, i) JOIN (SELECT doc_id, i + 1 AS e, worded FROM one) z USING (doc_id, e)),
+runs AS (SELECT doc_id, i, e FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM span WHERE e IS NOT NULL) WHERE before IS NULL OR e > before),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e)) AS i FROM runs),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
-opened AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY i, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
-numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR i >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, e DESC ROWS UNBOUNDED PRECEDING) AS run FROM opened),
-runs AS (SELECT doc_id, count(*) AS runs, max(length) AS longest FROM (SELECT doc_id, run, max(e) - min(i) AS length FROM numbered GROUP BY doc_id, run) GROUP BY doc_id)
+r AS (SELECT doc_id, count(*) AS runs, max(e - i) AS longest FROM runs GROUP BY doc_id)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs, 0)::INT AS n_runs, coalesce(longest, 0)::INT AS longest
-FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)""",
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN r USING (doc_id)""",
     "op6_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),

@@ -7,11 +7,11 @@ identifier completes a bare key; an access identifier, an assignment, a hex run
 endpoint.
 
 Positions are code points and come from the gaps between matches, so the scan is one row-local expression
-per kind; only rows with parts reach the join.  The join groups the anchors of a bucket first, so its size
+per kind, and its time grows with the text, however many matches it has; only rows with parts reach the join.  The join groups the anchors of a bucket first, so its size
 is linear in the parts.
 
 Defined results: null and empty texts have no spans and the digest of an empty string; rows that repeat a
-doc_id and text get the same result each; extra columns are ignored; empty tables give empty tables.
+doc_id and text get the same result each; a very long text is scanned whole; extra columns are ignored; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -33,38 +33,42 @@ KINDS = ("assign", "access", "hex", "key", "endpoint")
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
+#: Matches summed up at a time.
+CHUNK = 256
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often a lambda in it reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans of the leftmost, non-overlapping matches for which ``keep(match)`` holds.
 
-    ``split`` and ``regexp_extract_all`` walk the same matches: gap k precedes match k.
+    ``split`` and ``regexp_extract_all`` walk the same matches: gap k precedes match k.  Places are running sums of the
+    lengths of both, taken in two steps, within chunks and over the chunks: one array that grows by a match at a time
+    would be copied for each.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.coalesce(m, F.lit("")).alias("m"), g.alias("g"), m.isNull().alias("end")))
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: ~p["end"]),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("at"),
-            F.when(
-                keep(p["m"]),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            F.lit(kind).alias("kind"),
-                            (acc["at"] + F.length(p["g"])).alias("start"),
-                            (acc["at"] + F.length(p["g"]) + F.length(p["m"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(SPAN))
+    sizes = _with(found, lambda m: F.zip_with(m, F.slice(F.split(text, pattern, -1), 1, F.size(m)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), keep(m).alias("keep"))))
+    span = lambda at, p: F.struct(F.lit(kind).alias("kind"), (at + p["g"]).alias("start"), (at + p["g"] + p["m"]).alias("end"))
+
+    def of_chunk(chunk: Column, at: Column) -> Column:
+        step = lambda acc, p: F.struct(
+            (acc["at"] + p["g"] + p["m"]).alias("at"), F.when(p["keep"], F.concat(acc["out"], F.array(span(acc["at"], p)))).otherwise(acc["out"]).alias("out")
+        )
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def placed(chunks: Column) -> Column:
+        total = lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + p["g"] + p["m"])
+        begins = F.aggregate(
+            chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, c: F.struct((acc["at"] + total(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"],
+        )
+        return F.flatten(F.zip_with(chunks, begins, of_chunk))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(text.rlike(pattern), _with(_with(sizes, cut), placed)).otherwise(F.array().cast(SPAN))
 
 
 def _listed(spans: Column) -> Column:

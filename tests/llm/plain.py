@@ -41,22 +41,37 @@ def judged(t):
     return kept, "\n".join(good)
 
 
+def copied_runs(docs):
+    """{(doc_id, text): [(start, length)]}: maximal runs of lines that stand earlier too; of two lines with words, or one line of 20 words."""
+    order = sorted({(d, t) for d, t in docs if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, text_key(r[1])))
+    lines = [t.split("\n") for _, t in order]
+    at = {}
+    out = {}
+    for n, own in enumerate(lines):
+        runs = []
+        for i, x in enumerate(own):
+            best = 0
+            for m, j in at.get(x, ()):
+                k = 0
+                while i + k < len(own) and j + k < len(lines[m]) and own[i + k] == lines[m][j + k]:
+                    k += 1
+                best = max(best, k)
+            if best < 2 or not any(words(y) for y in own[i : i + best]):
+                best = int(best > 0 and len(words(x)) >= 20)
+            if best and (not runs or i + best > sum(runs[-1])):
+                runs.append((i, best))
+            at.setdefault(x, []).append((n, i))
+        out[order[n]] = runs
+    return out
+
+
 def without_copied_lines(docs):
     """docs: (doc_id, text) in any order; {(doc_id, text): (n_lines, n_removed, kept text)}."""
-    seen, out = set(), {}
-    place = lambda r: (r[0] is not None, r[0] or 0, text_key(r[1]))
-    for d, t in sorted(set(docs), key=place):
-        lines = [] if t is None else t.split("\n")
-        gone = set()
-        for i in range(len(lines)):
-            runs = [(tuple(lines[i : i + 2]), 2)] if i + 1 < len(lines) else []
-            runs += [((lines[i],), 1)] if len(words(lines[i])) >= 20 else []
-            for run, n in runs:
-                if any(words(x) for x in run):
-                    if run in seen:
-                        gone |= set(range(i, i + n))
-                    seen.add(run)
-        out[d, t] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t or "")
+    out = {(d, t): (0, 0, "") for d, t in docs if t is None}
+    for (d, t), runs in copied_runs(docs).items():
+        lines = t.split("\n")
+        gone = {i for start, length in runs for i in range(start, start + length)}
+        out[d, t] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
     return out
 
 

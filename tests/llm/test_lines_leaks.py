@@ -1,46 +1,69 @@
 """Brute-force versions of line dedup and decontamination."""
 
 import random
-import re
 
 from lorebase.llm import decontam, line_dedup
+from tests.llm import plain
 
-WORD = re.compile(r"[^\x20\x09-\x0D]")
 
-
-def dedup_by_hand(docs, width=2):
-    """docs: {doc_id: text}; kept lines of each."""
-    seen, out = {}, {}
-    for d in sorted(docs):
-        lines = (docs[d] or "").split("\n") if docs[d] is not None else []
-        gone = set()
-        for i in range(len(lines) - width + 1):
-            run = tuple(lines[i : i + width])
-            if any(WORD.search(x) for x in run):
-                if run in seen:
-                    gone |= set(range(i, i + width))
-                seen.setdefault(run, (d, i))
-        out[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
-    return out
+def _same(got, docs):
+    """Counts, kept text and runs of each row; each run stands line for line at its source, an earlier place."""
+    want, runs = plain.without_copied_lines(docs), plain.copied_runs(docs)
+    texts = {(d, plain.text_key(t)): t.split("\n") for d, t in docs if t is not None}
+    for r in got:
+        d, t = r.doc_id, r.text
+        assert (r.n_lines, r.n_removed, r.kept_text) == want[d, t], d
+        found = [(x.start, x.length) for x in r.runs or ()]
+        assert found == runs.get((d, t), []) and r.longest == max((n for _, n in found), default=0), d
+        for x in r.runs or ():
+            at = x.source
+            assert texts[at.doc_id, at.key][at.start : at.start + x.length] == t.split("\n")[x.start : x.start + x.length]
+            assert (at.doc_id if at.doc_id is not None else -1, at.key, at.start) < (d if d is not None else -1, plain.text_key(t), x.start)
 
 
 def test_line_dedup(spark):
     rng = random.Random(3)
     pool = [f"line {i}." for i in range(25)] + ["", "  "]
     docs = {i: "\n".join(rng.choices(pool, k=rng.randint(1, 14))) for i in range(60)}
-    docs |= {60: None, 61: "", 62: "\n\n\n", 63: "x\ny\n" * 45, 64: "a\nb", 65: "a\nb", 66: "same\nsame\nsame\nsame"}
+    docs |= {60: None, 61: "", 62: "\n\n\n", 63: "x\ny\n" * 45, 64: "a\nb", 65: "a\nb", 66: "same\nsame\nsame\nsame", 67: "q\n\n\n\n\nr", 68: "p\nq\n\n\n\n\nr\ns"}
+    # Runs of many lengths, cut out of one text at many places.
+    whole = [f"part {i}" for i in range(300)]
+    for i in range(69, 110):
+        at = rng.randrange(280)
+        docs[i] = "\n".join([f"own {i}", *whole[at : at + rng.randint(1, 130)], f"end {i}", *whole[:5]])
     rows = [(i, t, "e", i) for i, t in docs.items()]
-    df = spark.createDataFrame(rows + [rows[64]], "doc_id long, text string, kept_text string, n_lines int")
+    df = spark.createDataFrame([(i, i, t, k, n) for i, t, k, n in rows + [rows[64]]], "other long, doc_id long, text string, kept_text string, n_lines int")
     got = line_dedup.dedup(df).collect()
-    want = dedup_by_hand(docs)
-    assert len(got) == len(rows) + 1
-    for r in got:
-        assert (r.n_lines, r.n_removed, r.kept_text) == want[r.doc_id], r.doc_id
+    assert len(got) == len(rows) + 1 and max(r.longest for r in got) > 64
+    _same(got, list(docs.items()))
     assert line_dedup.dedup(df.limit(0)).count() == 0
     left = line_dedup.clean(df)
     assert left.columns == df.columns and 65 not in {r.doc_id for r in left.collect()}
 
 
+def test_runs_have_one_source(spark):
+    """Windows of different sources are runs of their own; null ids and texts under one id are told apart."""
+    docs = [(1, "A\nB"), (2, "B\nC"), (3, "A\nB\nC"), (4, "A\nB\nC"), (None, "B\nC\nD"), (5, "C\nD\nE"), (5, "D\nE\nF"), (6, "A\nB\nC\nD\nE\nF")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = line_dedup.dedup(df).collect()
+    _same(got, docs)
+    three, four = ([r for r in got if r.doc_id == i][0] for i in (3, 4))
+    assert three.longest == 2 and len(three.runs) == 2 and three.n_removed == 3
+    assert four.longest == 3 and [(x.start, x.length, x.source.doc_id) for x in four.runs] == [(0, 3, 3)]
+
+
+def test_very_many_lines(spark):
+    """A document of 50,000 lines, copied with a line changed, and one line very often."""
+    text = [f"line {i % 30_011} of many" for i in range(50_000)]
+    other = [*text[:20_000], "changed", *text[20_001:]]
+    df = spark.createDataFrame([(1, "\n".join(text)), (2, "\n".join(other)), (3, "same\n" * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
+    # The first 30,011 lines are new; what follows repeats them.
+    assert got[1].n_removed == 19_989 and [(x.start, x.length) for x in got[1].runs] == [(30_011, 19_989)]
+    assert [(x.start, x.length) for x in got[2].runs] == [(0, 20_000), (20_001, 29_999)] and got[2].kept_text == "changed"
+    assert [(x.start, x.length) for x in got[3].runs] == [(1, 19_999)]
+
+
 def test_long_single_lines(spark):
     """A copied line of 20 words or more goes wherever it stands; a shorter one stays."""
     rng = random.Random(9)
@@ -48,9 +71,7 @@ def test_long_single_lines(spark):
     docs = {0: "head\n" + pool[5] + "\ntail", 1: pool[5] + "\nother", 2: pool[7], 3: pool[7], 4: None, 5: "a\n" + pool[4] + "\nb\n" + pool[4] + "\nc"}
     docs |= {i: "\n".join(x for k in range(rng.randint(1, 9)) for x in (rng.choice(pool), f"own {i} {k}")) for i in range(6, 80)}
     want, seen = {}, set()
-    runs = dedup_by_hand(docs)
     for d in sorted(docs):
-        assert runs[d][1] == 0 or d < 6
         lines = (docs[d] or "").split("\n") if docs[d] is not None else []
         gone = set()
         for i, x in enumerate(lines):

@@ -27,19 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept.
+    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept.  ``by`` names a column whose
+    values become folders, so a reader that wants some of them reads no others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
     if _open and not keep:
         _open[-1].append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store its path names."""
+    place, store = _place(spark, path)
+    return bool(store.exists(place))
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Delete what ``materialize`` writes inside the block when it ends.
@@ -51,5 +63,5 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _open.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            place, store = _place(spark, path)
+            store.delete(place, True)

@@ -40,14 +40,14 @@ ENTITY_BOOK = (
 _category = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CATEGORIES)) + " END"
 VIEWS = {
     "memories": f"""
-SELECT id, content, summary, tier, category, project, agent, created_at, accessed_at, expires_at, lifecycle FROM (
+SELECT id, content, summary, tier, category, project, agent, workspace_id, created_at, accessed_at, expires_at, lifecycle FROM (
  SELECT t.*, created_at + (id % 97) * 60 AS accessed_at,
   CASE tier WHEN 'cold' THEN created_at + {TTL['cold']} WHEN 'active' THEN created_at + {TTL['active']} END AS expires_at,
   CASE WHEN id % 19 = 0 THEN 'pinned' WHEN id % 17 = 0 THEN 'archived' WHEN id % 13 = 0 THEN 'cold'
    WHEN tier = 'cold' THEN 'ephemeral' WHEN tier = 'persist' THEN 'stable' ELSE 'active' END AS lifecycle
  FROM (SELECT doc_id AS id, text AS content, substr(text, 1, 200) AS summary,
   CASE doc_id % 4 WHEN 0 THEN 'persist' WHEN 3 THEN 'cold' ELSE 'active' END AS tier, {_category} AS category,
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('p', CAST(doc_id % 3 AS VARCHAR(9))) END AS project, source AS agent,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('p', CAST(doc_id % 3 AS VARCHAR(9))) END AS project, source AS agent, concat('w', CAST(doc_id % 2 AS VARCHAR(9))) AS workspace_id,
   {EPOCH} + (doc_id % 800) * 3600 AS created_at FROM documents) t) u""",
     "facts": "SELECT o_orderkey AS fact_id, o_custkey AS entity_id, o_orderpriority AS claim_key, o_orderstatus AS claim_value, CAST((o_orderkey % 10) / 10.0 AS DOUBLE) AS confidence, CAST(o_orderdate AS DATE) AS observed_at FROM orders",
     "edges": "SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst, concat('t', CAST(l_linenumber % 5 AS VARCHAR(2))) AS kind FROM lineitem",
@@ -93,7 +93,11 @@ SELECT id, content, summary, tier, category, project, agent, created_at, accesse
     # Searches, the entities that they name, and links between topics
     "searches": " UNION ALL ".join(f"SELECT {i} AS query_id, '{n}' AS text" for i, n in enumerate(NOTES)),
     "hard_searches": "SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 900001, '. ' UNION ALL SELECT 900002, 'qzxv' UNION ALL SELECT 900003, ', '",
-    "entity_book": " UNION ALL ".join(f"SELECT '{n}' AS name, '{t}' AS title, '{a}' AS aliases, '{x}' AS truth" for n, t, a, x in ENTITY_BOOK),
+    # Requests with a scope of their own; searches for words that stand one after another; words that requests begin with, as entities
+    "requests": "SELECT item_id AS query_id, text, CASE WHEN item_id % 3 > 0 THEN concat('p', CAST(item_id % 3 AS VARCHAR(9))) END AS project, CASE WHEN item_id % 7 = 1 THEN concat('src', CAST(item_id % 20 AS VARCHAR(9))) END AS agent, CASE item_id % 4 WHEN 1 THEN 'w0' WHEN 2 THEN 'w1' END AS workspace_id, item_id % 5 = 0 AS include_cold FROM benchmark",
+    "phrase_searches": "SELECT item_id AS query_id, replace(replace(text, ' th', '-th'), ' o', '_o.') AS text FROM benchmark",
+    "entity_book": " UNION ALL ".join(f"SELECT '{n}' AS name, '{t}' AS title, '{a}' AS aliases, '{x}' AS truth" for n, t, a, x in ENTITY_BOOK)
+    + " UNION ALL SELECT lower(word), min(word), min(concat(replace(substr(text, 40, 30), ' ', '|'), '|')), min(substr(text, 90, 120)) FROM (SELECT text, regexp_extract(text, '^[A-Za-z]+', 0) AS word FROM benchmark) b WHERE length(word) > 2 AND lower(word) NOT IN ('nora', 'harbor', 'lantern', 'kiln') GROUP BY lower(word)",
     "topic_edges": f"SELECT DISTINCT concat('src', CAST(l_suppkey % 20 AS VARCHAR(9)), ':', {_category.replace('doc_id', 'l_partkey')}) AS src, concat('src', CAST(l_orderkey % 20 AS VARCHAR(9)), ':', {_category.replace('doc_id', 'l_orderkey')}) AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1",
     # Texts to be judged: what was said, and its opening alone; what models answered; what extractors gave
     "utterances": "SELECT conv_id * 1000 + turn AS id, 'said' AS part, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id * 1000 + turn, 'opening', CASE (conv_id + turn) % "

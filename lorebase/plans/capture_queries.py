@@ -110,15 +110,16 @@ def dream_report(spark, d):
 def stream_ingest(spark, d):
     """Conversation turns as a stream of JSON lines, all sent twice; events accepted once, and a dead letter for each bad line.
 
-    The lines, the sink and the checkpoint lie in the shared folder; a repeated run takes new ones.
+    Times run against the order of the files, over days, and a batch takes two files: late events must stay, and a line
+    that comes again batches later must go.  The lines, the sink and the checkpoint lie in the shared folder; a repeated run takes new ones.
     """
     turns = spark.read.parquet(f"{d}/conversations.parquet")
-    line = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("agent"), F.col("conv_id").cast("string").alias("session"), "turn", F.lit("2024-01-01T00:00:00").alias("ts")))
+    line = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("agent"), F.col("conv_id").cast("string").alias("session"), "turn", F.date_format(F.timestamp_seconds(NOW - F.pmod(F.hash("conv_id", "turn"), F.lit(40)) * 3600), "yyyy-MM-dd'T'HH:mm:ss").alias("ts")))
     sent = materialize(turns.select(line.alias("value")).unionByName(turns.select(line.alias("value"))).unionByName(spark.range(1).select(F.lit("not json").alias("value"))), "stream-lines")
     folder = f"{shared_dir(spark)}/lorebase-stream-{uuid.uuid4().hex}"
-    sent.write.text(f"{folder}/in")
+    sent.repartition(4, F.rand(1)).write.text(f"{folder}/in")
     for start, state in ((ingest.ingest, "state"), (ingest.dead_letters, "dead-state")):
-        start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/{state}").awaitTermination()
+        start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/{state}", files=2).awaitTermination()
     good = spark.read.parquet(f"{folder}/out/events").select("session", "turn", F.col("gate.decision").alias("decision"), F.lit(None).cast("string").alias("reason"))
     dead = spark.read.parquet(f"{folder}/out/dead").select(F.lit(None).cast("string").alias("session"), F.lit(None).cast("long").alias("turn"), F.lit("DEAD").alias("decision"), "reason")
     return good.unionByName(dead)

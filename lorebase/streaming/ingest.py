@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lorebase.functions.gates import rules
 
@@ -34,10 +38,11 @@ def _lines(spark: SparkSession, source: str, files: int) -> DataFrame:
 def ingest(spark: SparkSession, source: str, sink: str, checkpoint: str, files: int = BATCH_FILES):
     """Read JSON lines and write the accepted events with their gate decision, exactly once per batch id.
 
-    Each batch writes to a folder named after it and overwrites it when it is run again; events that come again
-    within an hour of event time are dropped by id.
+    Each batch writes to a folder named after it and overwrites it when it is run again.  An event whose id was
+    accepted before is dropped, however long ago that was; none is dropped for its time, however late it comes.  The ids seen
+    are the ledger: keyed state without a watermark, which grows with the ids and stays on disk (RocksDB in ``session``).
     """
-    events = _lines(spark, source, files).where("reason IS NULL").withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    events = _lines(spark, source, files).where("reason IS NULL").dropDuplicates(["event_id"])
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("gate", rules(F.col("content"))).drop("reason").write.mode("overwrite").parquet(f"{sink}/events/batch={number}")
@@ -62,6 +67,68 @@ def redelivery(delivered: Column, at: Column) -> list[Column]:
     return [F.when(~dead, at + wait).alias("next_try"), dead.alias("dead")]
 
 
+OUTCOME = "event_id string, outcome string, delivered int, next_try long, value string, error string"
+LEDGER = "status string, delivered int, due long, value string"
+
+
+def _delivery(handler: Callable[[str], None], unit_ms: int):
+    """One event's ledger entry: waiting with a timer, accepted, or dead."""
+
+    def attempt(key, value: str, delivered: int, state) -> pd.DataFrame:
+        delivered += 1
+        now = state.getCurrentProcessingTimeMs()
+        try:
+            handler(value)
+            outcome, due, error = "accepted", None, None
+        except Exception as e:  # noqa: BLE001  whatever the handler raises is a failed delivery
+            wait = min(LONGEST_WAIT, 2 ** min(delivered, 8)) * unit_ms
+            outcome, due, error = ("dead", None, str(e)[:1000]) if delivered >= MOST_DELIVERIES else ("retry", now + wait, str(e)[:1000])
+        # What waits keeps its line; what is settled keeps its id alone.
+        state.update((outcome, delivered, due, value if due else None))
+        if due:
+            state.setTimeoutDuration(due - now)
+        return pd.DataFrame({"event_id": [key[0]], "outcome": [outcome], "delivered": [delivered], "next_try": pd.array([due], "Int64"), "value": [value], "error": [error]})
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            yield attempt(key, held[3], held[1], state)
+            return
+        value = next((v for pdf in batches for v in pdf["value"]), None)
+        if held is None:
+            yield attempt(key, value, 0, state)
+        elif held[2]:
+            # It came again while it waits: the timer goes on.
+            state.setTimeoutDuration(max(1, held[2] - state.getCurrentProcessingTimeMs()))
+
+    return run
+
+
+def deliver(
+    spark: SparkSession, source: str, sink: str, checkpoint: str, handler: Callable[[str], None], subject: str = "memory.capture", unit_ms: int = 1000,
+    files: int = BATCH_FILES, every: str = "250 milliseconds",
+):
+    """Hand each event to ``handler`` until it takes it: accepted events and dead letters under ``sink``, each once.
+
+    An event (by id) is a key of the stream's state.  A delivery that fails sets a timer, twice as long each time up to
+    ``LONGEST_WAIT``, and the event is delivered again when it runs out; the tenth failure writes a dead letter with
+    the last error.  The state is the ledger: an event that comes again, at any time, is not delivered again
+    when it is settled, nor before its timer when it waits.  A batch that is run again after a loss delivers again, so a
+    handler with effects of its own must be idempotent by event id.
+    """
+    events = _lines(spark, source, files).where("reason IS NULL").select("event_id", "value")
+    settled = events.groupBy("event_id").applyInPandasWithState(_delivery(handler, unit_ms), OUTCOME, LEDGER, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        held.where("outcome = 'accepted'").select("event_id", "delivered", "value").write.mode("overwrite").parquet(f"{sink}/accepted/batch={number}")
+        held.where("outcome = 'dead'").select("event_id", "delivered", F.col("error").alias("reason"), F.lit(subject).alias("subject"), F.col("value").alias("payload")).write.mode("overwrite").parquet(f"{sink}/dead/batch={number}")
+        held.where("outcome = 'retry'").select("event_id", "delivered", "next_try", "error").write.mode("overwrite").parquet(f"{sink}/retries/batch={number}")
+        held.unpersist()
+
+    return settled.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Session windows per user: works on a stream (with its watermark) and on a table alike."""
     return events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), gap)).agg(F.count("*").alias("n"))

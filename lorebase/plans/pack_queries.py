@@ -88,7 +88,7 @@ def client_skill_state(spark, d):
     versions = P.skill_versions(view(spark, d, "skill_drafts")).groupBy("skill_id").agg(F.max("version").alias("version"))
     offered = P.usable(skills, status, stale, REPOSITORY).select("skill_id").join(versions, "skill_id")
     known = view(spark, d, "client_skills")
-    clients = known.select("client_id", "skill_id").where("skill_id < 500").join(offered, "skill_id")
+    clients = view(spark, d, "client_offers").join(offered, "skill_id")
     in_use = skills.where(~F.col("status").isin(*P.UNUSABLE)).select("skill_id")
     return P.client_copies(clients.select("client_id", "skill_id", "version"), known, in_use)
 
@@ -357,7 +357,7 @@ SELECT round(avg(hits / {K}e0), 6) AS precision, round(avg(hits / greatest(relev
     "skill_rank": "SELECT skill_id, here, overlap, uses, row_number() OVER (ORDER BY here DESC, overlap DESC, uses DESC, skill_id DESC) AS place FROM (SELECT skill_id, CASE WHEN repository IS NULL THEN 0 ELSE 1 END AS here, "
     + " + ".join(f"(lower(concat(name, ' ', kind)) LIKE '%{t}%')::INT" for t in _terms)
     + f" AS overlap, (SELECT count(*) FROM skill_uses u WHERE u.skill_id = s.skill_id AND usage = 'used') AS uses FROM skills s WHERE repository IS NULL OR repository = '{REPOSITORY}') r",
-    "client_skill_state": f"""WITH {_USABLE}, {_VERSIONS}, latest AS (SELECT skill_id, max(version) AS version FROM numbered GROUP BY skill_id), due AS (SELECT k.client_id, k.skill_id, l.version FROM client_skills k JOIN usables u ON u.skill_id = k.skill_id JOIN latest l ON l.skill_id = k.skill_id WHERE k.skill_id < 500)
+    "client_skill_state": f"""WITH {_USABLE}, {_VERSIONS}, latest AS (SELECT skill_id, max(version) AS version FROM numbered GROUP BY skill_id), due AS (SELECT k.client_id, k.skill_id, l.version FROM client_offers k JOIN usables u ON u.skill_id = k.skill_id JOIN latest l ON l.skill_id = k.skill_id)
 SELECT coalesce(d.client_id, k.client_id) AS client_id, coalesce(d.skill_id, k.skill_id) AS skill_id, CASE WHEN k.version IS NULL THEN 'missing' WHEN d.version IS NULL THEN CASE WHEN s.status = 'active' THEN 'removed' ELSE 'stale_client' END WHEN k.version > d.version THEN 'stale_client' WHEN k.version < d.version THEN 'updated' ELSE 'unchanged' END AS state
 FROM due d FULL JOIN client_skills k ON k.client_id = d.client_id AND k.skill_id = d.skill_id JOIN skills s ON s.skill_id = coalesce(d.skill_id, k.skill_id)""",
     "cache_key": """SELECT pack_id, concat('sha256:', sha256(concat('{"max_tokens":4000,"objective":"', objective, '","policy":"', policy, '","repository":"', repository, '","session":"', coalesce(session_id::VARCHAR, 'none'), '","task":', p.task_id, '}'))) AS cache_key FROM packs p JOIN tasks t ON t.task_id = p.task_id""",

@@ -20,7 +20,6 @@ BOOK: dict[str, str] = {
     "eligible_default": f"SELECT id, {ELIGIBLE} AS eligible FROM memories",
     "eligible_cold": f"SELECT id, (expires_at IS NULL OR expires_at > {NOW}) OR lifecycle = 'cold' AS eligible FROM memories",
     "like_fallback": "SELECT id, 0.5E0 AS score FROM memories WHERE translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%tion the%'",
-    "like_v1": "SELECT id FROM memories WHERE content LIKE '%with%' OR summary LIKE '%with%'",
     "entity_search": "SELECT id, name, kind FROM entities WHERE lower(name) LIKE '%red%' AND kind = 'part'",
     "cache_scope": "SELECT id FROM memories WHERE nullif(project, '') IS NOT DISTINCT FROM NULL AND agent IS NOT DISTINCT FROM 'src5'",
     "outbox_due": f"SELECT job_id, status FROM jobs WHERE (status IN ('pending', 'retry') AND available_at <= {NOW}) OR (status = 'processing' AND lease_until <= {NOW})",
@@ -31,41 +30,24 @@ BOOK: dict[str, str] = {
     "stale_chunks": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM chunk_vectors v WHERE v.memory_id = m.id AND v.model = 'model-b')",
     "orphan_chunks": "SELECT v.chunk_id FROM chunk_vectors v LEFT JOIN (SELECT id FROM memories WHERE lifecycle <> 'archived') m ON v.memory_id = m.id WHERE m.id IS NULL",
     "integrity_orphans": "SELECT 'usage' AS relation, count(*) AS orphans FROM usage_log u WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.id = u.memory_id) UNION ALL SELECT 'edge', count(*) FROM edges x WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = x.dst)",
-    "feedback_pending": "SELECT m.id FROM memories m WHERE NOT EXISTS (SELECT 1 FROM usage_log u WHERE u.memory_id = m.id AND u.usage_type IN ('used', 'rejected'))",
     "session_participants": "SELECT DISTINCT u.session_id, u.agent_id, n.n_name FROM usage_log u JOIN nation n ON n.n_nationkey = u.agent_id",
     "comention_edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_partkey <> b.l_partkey",
     "typed_edges": "SELECT DISTINCT a.l_suppkey AS src, b.l_partkey AS dst, a.l_linenumber % 5 AS kind FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_linenumber % 5 <> 0 AND a.l_linenumber = 1",
     "fk_repair": "SELECT count(*) AS purged FROM usage_log u LEFT JOIN memories m ON m.id = u.memory_id WHERE m.id IS NULL",
     # Aggregates
-    
     "operational_stats": "SELECT s.status, coalesce(n, 0) AS n FROM (SELECT 'pending' AS status UNION ALL SELECT 'retry' UNION ALL SELECT 'processing' UNION ALL SELECT 'completed' UNION ALL SELECT 'dead') s LEFT JOIN (SELECT status, count(*) AS n FROM jobs GROUP BY status) j ON j.status = s.status",
-    "outbox_oldest_due": f"SELECT greatest(0, {NOW} - min(CASE WHEN status IN ('pending', 'retry') THEN available_at END)) AS age FROM jobs",
-    "pattern_detect": "SELECT category, project, count(*) AS n FROM memories GROUP BY category, project HAVING count(*) >= 3 ORDER BY n DESC, category, project LIMIT 10",
-    "telemetry_stats": "SELECT usage_type, count(*) AS n, count(DISTINCT session_id) AS sessions FROM usage_log GROUP BY usage_type",
-    "graph_stats": "SELECT kind, count(*) AS n FROM entities GROUP BY kind UNION ALL SELECT kind, count(*) FROM edges GROUP BY kind",
-    "v2_stats": "SELECT count(*) AS total, count(expires_at) AS expiring, count(CASE WHEN lifecycle = 'pinned' THEN 1 END) AS pinned FROM memories",
     "pack_items": "SELECT l_orderkey AS pack_id, l_returnflag AS disposition, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag",
-    "skill_stats": "SELECT p_type AS status, count(*) AS n, CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM part GROUP BY p_type",
-    "handoff_stats": f"SELECT status, count(*) AS n, {NOW} - min(created_at) AS oldest_age FROM jobs GROUP BY status",
-    "cag_stats": "SELECT l_linestatus AS mode, l_returnflag AS cache_status, count(*) AS n FROM lineitem GROUP BY l_linestatus, l_returnflag",
     "embedding_models": "SELECT count(DISTINCT model) AS models, min(model) AS first_model, max(model) AS last_model FROM chunk_vectors",
     # Windows and ordering
     "event_sequence": "SELECT session_id, usage_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS seq FROM usage_log",
-    "fact_resolve": "SELECT fact_id, entity_id, claim_key, row_number() OVER (PARTITION BY entity_id, claim_key ORDER BY confidence DESC, observed_at DESC, fact_id DESC) = 1 AS wins FROM facts",
-    "entity_facts": "SELECT claim_key, observed_at, claim_value, fact_id FROM facts WHERE entity_id = 42",
+    "entity_facts": "SELECT claim_key, observed_at, claim_value, fact_id FROM facts WHERE entity_id = 42 ORDER BY claim_key, observed_at DESC",
     "recent_topk": "SELECT id, accessed_at FROM memories ORDER BY accessed_at DESC, id LIMIT 20",
     # Sets and graph
     "edges_both": "SELECT src, dst, kind FROM edges WHERE src = 's3' UNION SELECT src, dst, kind FROM edges WHERE dst = 'p10'",
     # Maintenance
     "consolidate": f"SELECT id, CASE WHEN lifecycle NOT IN ('pinned', 'cold', 'archived') AND expires_at < {NOW} THEN 'cold' ELSE lifecycle END AS lifecycle FROM memories",
-    "purge": f"SELECT id FROM memories WHERE expires_at IS NULL OR NOT expires_at < {NOW} - 72 * 3600",
-    "retention_expiry": f"SELECT m.id, CASE WHEN m.lifecycle = 'pinned' THEN NULL ELSE greatest(m.expires_at, max({NOW} + CASE u.usage_type WHEN 'selected' THEN 3 WHEN 'expanded' THEN 14 WHEN 'used' THEN 30 ELSE 1 END * 86400)) END AS expires_at FROM memories m JOIN usage_log u ON u.memory_id = m.id GROUP BY m.id, m.lifecycle, m.expires_at",
-    "outbox_transition": f"SELECT job_id, CASE WHEN attempts + 1 >= 10 THEN 'dead' ELSE 'retry' END AS status, CASE WHEN attempts + 1 >= 10 THEN NULL ELSE {NOW} + least(300, CAST(power(2, attempts) AS BIGINT)) END AS available_at FROM jobs WHERE status = 'processing'",
     "dead_letters": "SELECT job_id, 'pending' AS status, 0 AS attempts FROM jobs WHERE status = 'dead'",
     "retry_delay": "SELECT job_id, least(300, CAST(power(2, least(attempts, 8)) AS BIGINT)) AS delay FROM jobs",
-    "truth_rewrite": "SELECT id FROM memories WHERE tier = 'persist' AND length(content) > length(summary) + 50",
     "scope_mismatch": "SELECT t.task_id, t.owner_id FROM tasks t JOIN agents a ON a.agent_id = t.owner_id JOIN customer c ON c.c_custkey = t.task_id WHERE a.workspace_id <> CASE c.c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'HOUSEHOLD' THEN 2 ELSE 3 END",
-    "handoff_version_status": "SELECT fact_id, CASE WHEN k > 1 THEN 'superseded' ELSE claim_value END AS status FROM (SELECT fact_id, claim_value, row_number() OVER (PARTITION BY entity_id ORDER BY observed_at DESC, fact_id DESC) AS k FROM facts) t",
     "import_captures": "SELECT c.conv_id, c.turn, m.id AS memory_id FROM conversations c LEFT JOIN memories m ON m.id = c.conv_id * 3",
-    "stale_embeddings": "SELECT m.id FROM memories m LEFT JOIN stored_embeddings e ON e.memory_id = m.id WHERE e.memory_id IS NULL OR e.status <> 'ready' OR e.model <> 'model-b'",
 }

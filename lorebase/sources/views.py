@@ -76,15 +76,21 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
     "skill_sources": "SELECT l_partkey AS skill_id, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.09 AND l_tax > 0.07 THEN concat(s_name, ' before') ELSE s_name END)) AS recorded_hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey, l_suppkey",
     "source_now": "SELECT s_suppkey AS source_id, CASE WHEN s_acctbal < -900 THEN NULL ELSE md5(s_name) END AS hash FROM supplier",
     "client_skills": "SELECT c_custkey % 50 AS client_id, p_partkey AS skill_id, c_nationkey % 4 + 1 AS version FROM customer JOIN part ON p_partkey = c_custkey",
+    "client_offers": "SELECT DISTINCT c_custkey % 50 AS client_id, c_custkey + k AS skill_id FROM customer, (SELECT 0 AS k UNION ALL SELECT 1) n",
     # Delivery: cached packs with what they depend on, and what clients ask with
     "cache_entries": f"SELECT o_orderkey AS entry_id, CASE o_orderstatus WHEN 'P' THEN 'fresh' WHEN 'F' THEN 'fresh' ELSE 'invalid' END AS status, CASE WHEN o_totalprice > 450000 THEN {NOW} - 60 WHEN o_totalprice > 100000 THEN {NOW} + 3600 END AS expires_at, CASE o_orderpriority WHEN '5-LOW' THEN 'context-v1' ELSE 'context-v2' END AS policy_version FROM orders",
     "cache_dependencies": "SELECT l_orderkey AS entry_id, 'supplier' AS kind, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.09 THEN concat(s_name, ' before') ELSE s_name END)) AS hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey, l_suppkey",
     "client_states": "SELECT o_orderkey AS request_id, o_custkey AS client_id, o_orderstatus <> 'F' AS has_state, o_orderpriority NOT IN ('4-NOT SPECIFIED') AS delta_capable, CASE o_orderpriority WHEN '2-HIGH' THEN 9 ELSE 3 END AS known_checkpoint, 5 AS checkpoint, CASE WHEN o_totalprice > 50000 THEN o_orderkey END AS known_pack, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice < 100000 THEN 'cache_lookup_failed:timeout' END AS cache_fallback FROM orders",
     # Hand-offs
-    "handoffs": "SELECT o_orderkey AS handoff_id, o_custkey AS task_id, CAST(o_custkey % 25 AS BIGINT) AS source_agent, CAST(floor(o_totalprice) % 25 AS BIGINT) AS target_agent, CASE o_orderstatus WHEN 'P' THEN CAST(o_orderkey % 25 AS BIGINT) END AS requester, CASE o_orderstatus WHEN 'P' THEN 'ready' WHEN 'F' THEN 'completed' ELSE 'claimed' END AS status FROM orders",
+    "handoffs": f"SELECT o_orderkey AS handoff_id, o_custkey AS task_id, CAST(o_custkey % 25 AS BIGINT) AS source_agent, CAST(floor(o_totalprice) % 25 AS BIGINT) AS target_agent, CASE o_orderstatus WHEN 'P' THEN CAST(o_orderkey % 25 AS BIGINT) END AS requester, CASE o_orderstatus WHEN 'P' THEN 'ready' WHEN 'F' THEN 'completed' ELSE 'claimed' END AS status, {EPOCH} + o_orderkey * 60 AS created_at FROM orders",
+    "handoff_versions": "SELECT DISTINCT l_orderkey AS handoff_id, l_linenumber AS version FROM lineitem",
     # Stored chunks and vectors of memories
     "chunk_vectors": "SELECT vec_id AS chunk_id, vec_id % 200 AS memory_id, embedding, CASE WHEN label < 7 THEN 'model-b' ELSE 'model-a' END AS model FROM embeddings",
     "stored_embeddings": "SELECT doc_id AS memory_id, CASE WHEN quality = 1 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'model-a' ELSE 'model-b' END AS model FROM labels",
+    "embedding_state": "SELECT l.doc_id AS memory_id, CASE WHEN quality = 1 THEN 'ready' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'model-a' ELSE 'model-b' END AS model, CASE WHEN l.doc_id % 11 = 0 THEN concat(coalesce(text, ''), ' before') ELSE text END AS text_then FROM labels l JOIN documents t ON t.doc_id = l.doc_id",
+    "memory_links": "SELECT DISTINCT doc_id AS memory_id, concat(source, ':', lang) AS entity_id FROM documents",
+    "memory_book": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 80) ELSE '' END AS compiled_truth, CASE WHEN n_chars > 900 THEN substr(text, 81, 200) ELSE '' END AS timeline, doc_id % 4 AS dream_count FROM documents",
+    "entity_state": "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS id, s_name AS name, CASE WHEN s_acctbal > 4000 THEN 'persist' WHEN s_acctbal > 0 THEN 'active' ELSE 'cold' END AS tier, CASE WHEN s_nationkey > 6 THEN concat('- began', chr(10), repeat(concat('- shipped an order on time', chr(10)), CAST(s_nationkey % 5 + 1 AS INTEGER))) ELSE '' END AS timeline, concat('supplier ', s_name, CASE WHEN s_acctbal > 8000 THEN repeat(' trusted', 9) ELSE '' END) AS compiled_truth FROM supplier",
     # Life of memories: what agents did to them
     "lifecycle_log": f"SELECT l_partkey AS memory_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS step, {EPOCH} + l_orderkey * 60 + l_linenumber AS at, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pin' WHEN l_returnflag = 'A' THEN 'unpin' WHEN l_returnflag = 'R' THEN 'demote' ELSE 'restore' END AS action FROM lineitem WHERE l_quantity > 40",
     # Ingestion: events that arrive, and the ledger of those seen

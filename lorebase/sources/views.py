@@ -115,7 +115,12 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
     "arrivals": "SELECT doc_id AS id, CASE WHEN n_chars > 3000 THEN concat(text, ' more') ELSE text END AS content, source AS agent FROM documents UNION ALL SELECT page_id + 100000000000, url, 'src0' FROM pages",
     "edge_attempts": "SELECT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst, concat('t', CAST(l_linenumber % 5 AS VARCHAR(2))) AS kind FROM lineitem",
     "strong_edges": "SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS src, concat('p', CAST(l_partkey AS VARCHAR(20))) AS dst FROM lineitem WHERE l_quantity >= 45",
-    "handoff_steps": "SELECT l_orderkey AS handoff_id, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS seq, CASE WHEN l_linenumber = 1 THEN 'ready' WHEN l_linenumber = 2 THEN 'claimed' WHEN l_returnflag = 'A' THEN 'in_progress' WHEN l_quantity > 45 THEN 'cancelled' WHEN l_returnflag = 'R' THEN 'blocked' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'expired' END AS wanted FROM lineitem",
+    "handoff_steps": f"SELECT l_orderkey AS handoff_id, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey AS seq, CASE WHEN l_linenumber = 1 THEN 'ready' WHEN l_linenumber = 2 THEN 'claimed' WHEN l_returnflag = 'A' THEN 'in_progress' WHEN l_quantity > 45 THEN 'cancelled' WHEN l_returnflag = 'R' THEN 'blocked' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'expired' END AS wanted, {EPOCH} + l_orderkey * 60 + l_linenumber * 21600 AS at FROM lineitem",
+    "task_checkpoints": f"SELECT o_custkey AS task_id, {EPOCH} + o_orderkey * 60 AS at, o_orderkey AS version FROM orders",
+    "handoff_terms": f"SELECT o_orderkey AS handoff_id, o_custkey AS task_id, o_orderkey AS checkpoint, CASE o_orderpriority WHEN '1-URGENT' THEN {EPOCH} + o_orderkey * 60 + 43200 WHEN '5-LOW' THEN NULL ELSE {EPOCH} + o_orderkey * 60 + 86400 END AS expires_at FROM orders",
+    # Context packs to be made: what each request must hold, and the skills and memories that it may
+    "pack_requests": "SELECT o_orderkey AS request, 300 + o_orderkey % 7 * 150 AS budget, 60 + o_custkey % 300 AS mandatory_tokens, o_custkey % 190 AS continuity_tokens, CASE WHEN o_custkey % 190 < 40 THEN o_custkey % 190 ELSE 40 END AS continuity_brief_tokens, o_orderpriority <> '4-NOT SPECIFIED' AS references_taken FROM orders",
+    "pack_entries": "SELECT l_orderkey AS request, CASE WHEN l_linenumber = 1 THEN 'skill' ELSE 'memory' END AS kind, ((l_linenumber * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS place, l_returnflag AS category, CAST(floor(l_quantity) AS BIGINT) * 6 AS content_tokens, CASE WHEN l_discount > 0.02 THEN CAST(floor(l_quantity) AS BIGINT) * 2 END AS summary_tokens, 15 + l_linenumber * 3 AS reference_tokens, concat('text ', CAST(l_partkey % 9 AS VARCHAR(9))) AS text_key, l_tax > 0.06 AS needs_check FROM lineitem",
     "entity_pages": f"SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS id, concat('supplier ', s_name) AS known, {EPOCH} AS updated_at, {EPOCH} + CAST(floor(s_acctbal) AS BIGINT) AS edited_at, concat('# ', s_name, chr(10), chr(10), '## Executive Summary', chr(10), chr(10), CASE WHEN s_acctbal > 5000 THEN 'A trusted ' ELSE '' END, 'supplier ', s_name, chr(10), CASE WHEN s_nationkey > 12 THEN concat(chr(10), '## Timeline', chr(10), '- began', chr(10)) ELSE '' END, '---', chr(10)) AS page FROM supplier",
     "outcomes": "SELECT doc_id AS memory_id, quality AS successful, toxic AS corrections FROM labels",
 }

@@ -117,11 +117,11 @@ def _taken(base: Column, size: Column, more: Column, cap: int) -> Column:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), total_percent: int = 150, cap: int = 2) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, source."""
     slim = materialize(docs.select("doc_id", *_figures(docs)), "mix")
     chosen = thresholds(slim, weights, total_percent, cap).withColumnRenamed("source", "_s")
     return slim.join(chosen, _same(F.col("source"), F.col("_s"))).select(
-        "doc_id", "size", "source_size", "target", _taken(F.col("base"), F.col("size"), F.col("hash") < F.col("threshold"), cap)
+        "doc_id", "size", "source_size", "target", _taken(F.col("base"), F.col("size"), F.col("hash") < F.col("threshold"), cap), "source"
     )
 
 

@@ -1,7 +1,8 @@
 """Quality rules, line first: failing lines go, then documents that lost too much text.
 
 Each line is judged by itself: runs of marks, symbol and capital shares and sentences without an end
-(punctuation), separator chains (navigation) and fixed phrases in four languages (boilerplate).  A document is rejected if it has too few words or too many
+(punctuation), separator chains (navigation) and fixed phrases in four languages (boilerplate).  Lines that go on with a small
+letter are one paragraph, wrapped at some width: of such lines none needs an end mark if the paragraph has one.  A document is rejected if it has too few words or too many
 repeated words (base rules), or if its failing lines held more than ``max_lost`` of its word characters.
 
 Everything is computed inside the row of a document: no shuffle, no Python.
@@ -42,9 +43,20 @@ def _without_space(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
-def line_fails(line: Column) -> Column:
+#: Where a paragraph ends: a line break, unless the next line begins with a small letter.
+PARAGRAPH = r"\n(?!\p{Ll})"
+
+
+def ended(text: Column) -> Column:
+    """Whether the last mark of a text is one that ends a sentence."""
+    return F.right(F.rtrim(text, F.lit(SPACES)), F.lit(1)).isin(*ENDS)
+
+
+def line_fails(line: Column, paragraph_ended: Column | None = None) -> Column:
     """True for a line with words that any line rule rejects; a line without words passes.
 
+    ``paragraph_ended``: whether the paragraph ends as a sentence does, of which the line is a part.
+
     Rare signs are looked for first, and counted only where they stand: ``&`` and ``when`` end early.
     """
     parts = F.size(F.split(line, " "))
@@ -56,8 +68,9 @@ def line_fails(line: Column) -> Column:
     marks = rarely(r"[!?]{2}|\.{4}", count(r"[!?]{2,}|\.{4,}") * 3 > parts)
     symbols = rarely(SYMBOLS, count(SYMBOLS) * 10 > F.length(_without_space(line)))
     shouting = rarely(r"\p{Lu}\P{L}*\p{Lu}", (letters >= 10) & (capitals * 10 > letters * 7))
-    last = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1))
-    endless = ~last.isin(*ENDS) & (parts >= SENTENCE_WORDS)
+    endless = ~ended(line) & (parts >= SENTENCE_WORDS)
+    if paragraph_ended is not None:
+        endless = ~paragraph_ended & endless
     navigation = rarely(r"[|>»·]", count(r" [|>»·] ") >= 3)
     furniture = F.lower(line).rlike(FURNITURE)
     return line.rlike(WORD_CLASS) & (endless | symbols | navigation | marks | shouting | furniture)
@@ -131,7 +144,8 @@ def _judged(docs: DataFrame, max_lost_percent: int, min_words: int, max_repeat_p
         .withColumn("_lines", F.split("_text", "\n"))
         .withColumn("_with_words", F.filter("_lines", lambda s: s.rlike(WORD_CLASS)))
         .withColumn("n_dup_lines", (F.size("_with_words") - F.size(F.array_distinct("_with_words"))).cast("long"))
-        .withColumn("_good", F.filter("_lines", lambda s: ~line_fails(s)))
+        .withColumn("_paragraphs", F.transform(F.split("_text", PARAGRAPH), lambda p: F.struct(F.split(p, "\n").alias("lines"), ended(p).alias("ended"))))
+        .withColumn("_good", F.flatten(F.transform("_paragraphs", lambda p: F.filter(p["lines"], lambda s: ~line_fails(s, p["ended"])))))
         .withColumn("clean_text", F.array_join("_good", "\n"))
         .withColumn("_left", F.length(_without_space(F.col("clean_text"))))
         .withColumn(
@@ -143,7 +157,6 @@ def _judged(docs: DataFrame, max_lost_percent: int, min_words: int, max_repeat_p
             ~F.col("base_failed") & ((F.col("word_chars") - F.col("_left")) * 100 <= max_lost_percent * F.col("word_chars")),
         )
     )
-    return rows.select("_own", *RESULTS)
 
 
 def judge(docs: DataFrame, max_lost_percent: int = 50, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:

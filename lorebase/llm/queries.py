@@ -180,11 +180,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents)
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-f AS (SELECT doc_id, l, len({_bare('l')}) AS chars, len(string_split(l, ' ')) AS parts, right(rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z,
+paragraphs AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '\n(\p{{Ll}})', chr(57344) || '\1', 'g'), chr(10))) AS p FROM d),
+lines AS (SELECT doc_id, unnest(string_split(p, chr(57344))) AS l, instr('{_ENDS}', right(rtrim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)) > 0 AS ended FROM paragraphs),
+f AS (SELECT doc_id, l, ended, len({_bare('l')}) AS chars, len(string_split(l, ' ')) AS parts, right(rtrim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z,
  len(regexp_replace(l, '[^\p{{L}}]+', '', 'g')) AS letters, len(regexp_replace(l, '[^\p{{Lu}}]+', '', 'g')) AS capitals FROM lines WHERE regexp_matches(l, '{_WORD}')),
 j AS (SELECT doc_id, l, chars, len(regexp_extract_all(l, '[!?]{{2,}}|\.{{4,}}')) * 3 > parts OR len(regexp_extract_all(l, '{quality_rules.SYMBOLS}')) * 10 > chars
- OR (letters >= 10 AND capitals * 10 > letters * 7) OR len(regexp_extract_all(l, ' [|>»·] ')) >= 3 OR (parts >= {quality_rules.SENTENCE_WORDS} AND instr('{_ENDS}', z) = 0)
+ OR (letters >= 10 AND capitals * 10 > letters * 7) OR len(regexp_extract_all(l, ' [|>»·] ')) >= 3 OR (parts >= {quality_rules.SENTENCE_WORDS} AND instr('{_ENDS}', z) = 0 AND NOT ended)
  OR regexp_matches(lower(l), '{quality_rules.FURNITURE}') AS fails FROM f),
 g AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, sum(CASE WHEN fails THEN 0 ELSE chars END) AS rest FROM j GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, len({_bare('t')})::BIGINT AS word_chars, len(regexp_extract_all(t, '{quality_rules.SYMBOLS}'))::BIGINT AS n_symbols,

@@ -5,7 +5,6 @@ import hashlib
 import regex
 import xxhash
 
-from lorebase.llm import quality_rules as Q
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -14,7 +13,22 @@ def words(t):
     return WORD.findall(t or "")
 
 
-def line_fails(line):
+#: Written out here, apart from the operator's own.
+FURNITURE = (
+    "all rights reserved", "click here", "cookie policy", "enable javascript", "licensed under", "privacy policy", "released under the", "subscribe to our", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "hier klicken", "cookie-richtlinie", "datenschutzerklärung", "lizenziert unter", "nutzungsbedingungen",
+    "tous droits réservés", "cliquez ici", "politique de confidentialité", "conditions générales", "sous licence",
+    "todos los derechos reservados", "haga clic aquí", "política de privacidad", "términos de uso", "bajo licencia",
+)
+END_MARKS = ".!?:;…\"'”’»)]}。！？؟।"
+
+
+def has_end(text):
+    text = text.rstrip(" \t\n\x0b\x0c\r")
+    return bool(text) and text[-1] in END_MARKS
+
+
+def line_fails(line, paragraph):
     if not words(line):
         return False
     parts, chars = len(line.split(" ")), sum(map(len, words(line)))
@@ -24,8 +38,8 @@ def line_fails(line):
         or len(regex.findall(r"[#*$%&|<>]", line)) * 10 > chars
         or (letters >= 10 and capitals * 10 > letters * 7)
         or len(regex.findall(r" [|>»·] ", line)) >= 3
-        or any(p in " " + line.lower() and regex.search(r"(?<!\p{L})" + regex.escape(p), line.lower()) for p in Q.BOILERPLATE)
-        or (parts >= 5 and line.rstrip(" \t\n\x0b\x0c\r")[-1] not in Q.ENDS)
+        or any(p in " " + line.lower() and regex.search(r"(?<!\p{L})" + regex.escape(p), line.lower()) for p in FURNITURE)
+        or (parts >= 5 and not has_end(line) and not has_end(paragraph))
     )
 
 
@@ -35,7 +49,7 @@ def judged(t):
     w = words(t)
     windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
     covered = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(5)}
-    good = [x for x in t.split("\n") if not line_fails(x)]
+    good = [x for p in regex.split(r"\n(?!\p{Ll})", t) for x in p.split("\n") if not line_fails(x, p)]
     size = lambda lines: sum(len(x) for s in lines for x in words(s))
     kept = len(w) >= 10 and 100 * len(covered) <= 20 * len(w) and (size([t]) - size(good)) * 100 <= 50 * size([t])
     return kept, "\n".join(good)

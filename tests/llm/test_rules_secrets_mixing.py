@@ -1,6 +1,7 @@
 """Brute-force versions of the quality rules' base counts, the secret scan and the mix."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,35 @@ def spans(t):
     return sorted(out)
 
 
+def test_wrapped_prose_is_judged_by_paragraph(spark):
+    """Lines that go on in small letters need no end mark of their own if their paragraph has one; lists and menus are judged line by line."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    prose, other, third = ("\n".join(" ".join(word() for _ in range(11)) for _ in range(30)) for _ in range(3))
+    menu = "\n".join(" ".join(word().capitalize() for _ in range(6)) for _ in range(30))
+    texts = {
+        1: prose + ".", 2: prose, 3: menu, 4: menu + "\n" + prose + ".", 5: "\n".join(word() for _ in range(40)), 6: prose + ".\n\n" + other.capitalize() + "!\n" + third.capitalize(),
+        7: (prose + "\n") * 400 + "end.", 8: "Kurz und gut.\nélan vital\n\n" + prose + "\nclick here now.",
+    }
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d for d, r in got.items() if r.kept} == {1, 4, 5, 6, 8}
+    for d, t in texts.items():
+        if d != 7:
+            kept, text = plain.judged(t)
+            assert (got[d].kept, got[d].clean_text) == (kept, text), d
+    assert got[1].clean_text == texts[1] and got[7].base_failed and got[7].clean_text == texts[7]
+    assert got[6].clean_text.endswith("!") and "click" not in got[8].clean_text
+
+
+def test_very_many_matches(spark):
+    """A text of 1.3 MB that is assignments only: every one is found, and the last lies where it should."""
+    text = " ".join(f"password=abcdef{i:06d}" for i in range(60_000))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = r.spans.split(",")
+    assert r.n_assign == len(spans) == 60_000 and spans[0] == "assign:0:21" and spans[-1] == f"assign:{len(text) - 21}:{len(text)}"
+    assert spans[12_345] == f"assign:{12_345 * 22}:{12_345 * 22 + 21}"
+
+
 def test_secrets(docs):
     rows = secrets.scan(docs).collect()
     assert len(rows) == len(TEXTS) + 1

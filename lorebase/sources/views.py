@@ -25,6 +25,12 @@ NOTES = (
 )
 REGISTRY = (("nora", "nora", "person", 0), ("nora", "eleonora", "person", 1), ("tomas", "tomas", "person", 0), ("harbor", "harbor", "project", 0), ("lantern", "lantern", "project", 0), ("kiln", "kiln", "tool", 0))
 
+#: Names of any number of words: (entity, name, type, 1 for an alias, 1 for an entity that was registered, place).
+NAMES = (
+    ("nora", "nora", "person", 0, 0, 0), ("nora", "eleonora", "person", 1, 0, 1), ("harbor", "harbor", "project", 0, 0, 2), ("weather", "weather is nice", "concept", 1, 0, 3),
+    ("lantern", "Lantern search", "project", 0, 1, 4), ("lantern", "lantern", "project", 1, 1, 5), ("kiln", "Kiln storage", "tool", 0, 1, 6), ("kiln", "the kiln service", "tool", 1, 1, 7), ("quarry-works", "Quarry works", "project", 0, 1, 8),
+)
+
 #: One text for each branch of a gate's rules.
 OPENINGS = (
     "ok", "We decided to keep the old rule", "please fix the release-less thing now", "what is the plan for today then", "is this it?", "a short line", "Got it ", "I prefer tea",
@@ -57,6 +63,7 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
     "notes": "SELECT conv_id * 1000 + turn AS id, concat(CASE (conv_id + turn) % "
     + f"{len(NOTES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOTES)) + " END, ' ', coalesce(text, '')) AS note FROM conversations",
     "registry": " UNION ALL ".join(f"SELECT '{e}' AS entity_id, '{n}' AS name, '{k}' AS kind, {a} AS is_alias" for e, n, k, a in REGISTRY),
+    "entity_names": " UNION ALL ".join(f"SELECT '{e}' AS entity_id, '{n}' AS name, '{k}' AS kind, {a} AS alias, {r} AS registered, {p} AS rank" for e, n, k, a, r, p in NAMES),
     # Agents, tasks and repositories
     "agents": "SELECT n_nationkey AS agent_id, concat('src', CAST(n_nationkey AS VARCHAR(9))) AS name, CASE n_regionkey WHEN 0 THEN 'trusted' WHEN 1 THEN 'low' ELSE 'standard' END AS trust_level, n_regionkey AS workspace_id FROM nation",
     "tasks": "SELECT c_custkey AS task_id, c_nationkey AS owner_id, c_mktsegment AS repository, CASE WHEN c_acctbal < 0 THEN 'cancelled' WHEN c_acctbal > 9000 THEN 'completed' ELSE 'open' END AS status, concat(c_mktsegment, ' red large steel work') AS objective FROM customer",

@@ -98,6 +98,13 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
     "memory_links": "SELECT DISTINCT doc_id AS memory_id, concat(source, ':', lang) AS entity_id FROM documents",
     "memory_book": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 80) ELSE '' END AS compiled_truth, CASE WHEN n_chars > 900 THEN substr(text, 81, 200) ELSE '' END AS timeline, doc_id % 4 AS dream_count FROM documents",
     "entity_state": "SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))) AS id, s_name AS name, CASE WHEN s_acctbal > 4000 THEN 'persist' WHEN s_acctbal > 0 THEN 'active' ELSE 'cold' END AS tier, CASE WHEN s_nationkey > 6 THEN concat('- began', chr(10), repeat(concat('- shipped an order on time', chr(10)), CAST(s_nationkey % 5 + 1 AS INTEGER))) ELSE '' END AS timeline, concat('supplier ', s_name, CASE WHEN s_acctbal > 8000 THEN repeat(' trusted', 9) ELSE '' END) AS compiled_truth FROM supplier",
+    # Sessions: their log, the checkpoints that are kept of it, and clients that ask for what they missed
+    "session_log": "SELECT session_id, usage_id AS event_id, row_number() OVER (PARTITION BY session_id ORDER BY used_at, usage_id) AS seq FROM usage_log",
+    "session_heads": "SELECT session_id, CAST(floor(max(seq) / 8) AS BIGINT) AS version FROM session_log GROUP BY session_id",
+    "session_saves": "SELECT l.session_id, CAST(floor(seq / 8) AS BIGINT) AS version, CAST(seq AS BIGINT) AS source_sequence, concat('set up|task ', CAST(CAST(floor(seq / 8) AS BIGINT) AS VARCHAR(9)), '|task ', CAST(CAST(floor(seq / 16) AS BIGINT) AS VARCHAR(9)), '|task ', CAST(event_id % 4 AS VARCHAR(9))) AS completed, CASE WHEN event_id % 3 = 0 THEN 'tests|docs' ELSE 'docs' END AS remaining FROM session_log l JOIN session_heads h ON h.session_id = l.session_id WHERE seq % 8 = 0 AND (seq % 32 > 0 OR floor(seq / 8) > h.version - 3)",
+    "delta_requests": "SELECT c_custkey AS request_id, c_custkey % 60 AS session_id, CAST(floor(c_custkey / 60) AS BIGINT) % 12 AS known_version FROM customer",
+    "conversation_lines": "SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS line, role, text FROM conversations",
+    "transcript_cursors": "SELECT conv_id AS session_id, CAST(conv_id % 9 AS BIGINT) AS lines FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id UNION ALL SELECT -1, 4",
     # Life of memories: what agents did to them
     "lifecycle_log": f"SELECT l_partkey AS memory_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(floor(l_quantity) AS BIGINT) AS step, {EPOCH} + l_orderkey * 60 + l_linenumber AS at, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'pin' WHEN l_returnflag = 'A' THEN 'unpin' WHEN l_returnflag = 'R' THEN 'demote' ELSE 'restore' END AS action FROM lineitem WHERE l_quantity > 40",
     # Ingestion: events that arrive, and the ledger of those seen
@@ -133,11 +140,24 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
 }
 
 
+def _depth(name: str) -> tuple[int, int]:
+    """How many views deep a view stands, and its place in the list."""
+    below = [v for v in VIEWS if v != name and re.search(rf"\b{v}\b", VIEWS[name])]
+    return 1 + max((_depth(v)[0] for v in below), default=0), list(VIEWS).index(name)
+
+
 def with_views(sql: str) -> str:
     """Put the definitions of the views that ``sql`` names in front of it."""
-    named = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    named = {v for v in VIEWS if re.search(rf"\b{v}\b", sql)}
+    while True:
+        inside = {v for v in VIEWS if any(v != n and re.search(rf"\b{v}\b", VIEWS[n]) for n in named)} - named
+        if not inside:
+            break
+        named |= inside
     if not named:
         return sql
+    # A view stands behind those that it reads.
+    named = sorted(named, key=_depth)
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in named)
     body = sql.lstrip()
     if body.upper().startswith("WITH RECURSIVE"):

@@ -5,11 +5,6 @@ from __future__ import annotations
 _latest = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders"
 _current = f"SELECT o.o_custkey AS task_id, l.l_linenumber AS place, l.l_partkey AS item FROM ({_latest}) o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.k = 1"
 _before = f"SELECT o.o_custkey AS task_id, l.l_linenumber AS place, l.l_partkey AS item FROM ({_latest}) o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.k = 2"
-_uses = "SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS uses FROM lineitem GROUP BY l_partkey"
-_ranked = "SELECT project, id, category, row_number() OVER (PARTITION BY project ORDER BY id % 101 DESC, id) AS prod FROM memories"
-
-#: Objective whose terms rank skills; terms of three characters and more count, each once.
-OBJECTIVE = ("red", "large", "steel", "economy")
 
 BOOK: dict[str, str] = {
     # Context packs

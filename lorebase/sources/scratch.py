@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -23,6 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that no block deletes: they last as long as the program that reads them.
+_left: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _leave() -> None:
+    """Delete what is left when the program ends; a program that is killed leaves its tables, which are named ``lorebase-*``."""
+    for spark, path in _left:
+        try:
+            place, store = _place(spark, path)
+            store.delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone, and with it the way to the store
+            return
+
+
 #: Tables written so far inside each open ``scratch`` block, innermost last.
 _open: list[list[str]] = []
 
@@ -30,13 +46,16 @@ _open: list[list[str]] = []
 def materialize(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept.  ``by`` names a column whose
+    Inside a ``scratch`` block the table is deleted with the block, unless it is to be kept; what is left goes when the
+    program ends.  ``by`` names a column whose
     values become folders, so a reader that wants some of them reads no others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase-{name}-{uuid.uuid4().hex}"
     if _open and not keep:
         _open[-1].append(path)
+    else:
+        _left.append((spark, path))
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

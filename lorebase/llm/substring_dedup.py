@@ -14,8 +14,10 @@ and word.  Where one anchor has several classes, a match may end inside an entry
 member of each class are looked up one by one, and each later one gets the place where it starts first.
 
 Factors.  A document is parsed from left to right.  Matches that go on in the reference where they go on in the
-document are one; at each word the match is taken that reaches furthest, and the factor (start, length, reference
-document, reference start) ends where that match ends.  A factor is a duplicate span if its whole match has
+document are one; at each word the match is taken that reaches furthest among those places, and the factor (start, length, reference
+document, reference start) ends where that match ends.  As each entry refers to its first place alone, a stretch that stands whole in
+a later document only is covered by several factors, one for each first place (X, Y and X Y before X Y: three factors); which words
+are covered, and so what is deleted, does not depend on it.  A factor is a duplicate span if its whole match has
 ``WINDOW`` words or more; at a boundary that match may begin before the factor, in words that the factor before it
 has taken, so what a cut leaves short is still judged in full.  Words between factors are literals.  Duplicate
 spans are deleted: they hold just the words covered by a window that starts earlier.

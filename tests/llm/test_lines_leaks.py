@@ -111,6 +111,12 @@ def test_leaks(spark):
     got = decontam.leaks(df, bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert got.count() == len(want)
+    # Place and count against every diagonal of the item over the document.
+    texts, names = dict(docs), dict(items)
+    for r in got.collect():
+        d, t = plain.tokens(texts[r.doc_id]), plain.tokens(names[r.item_id])
+        best = max((sum(x == y for x, y in zip(d[max(k, 0) :], t[max(-k, 0) :])), -max(k, 0), max(k, 0), min(k + len(t), len(d))) for k in range(1 - len(t), len(d)))
+        assert (r.matched, r.start, r.end) == (best[0], *best[2:]), (r, best)
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
     left = decontam.clean(df, bench)
     assert left.columns == df.columns and left.count() == len(docs) - len(want) - 1

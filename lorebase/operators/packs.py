@@ -123,6 +123,31 @@ def cache_validity(entries: DataFrame, dependencies: DataFrame, now_hash: DataFr
     return entries.join(deps, "entry_id", "left").select("entry_id", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
+def dependency_print(dependencies: DataFrame) -> DataFrame:
+    """entry_id, print: one digest over all that an entry depends on (kind, dep_id, hash), in order of kind and id."""
+    line = F.struct("kind", "dep_id", "hash")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: F.concat_ws(":", x["kind"], x["dep_id"], x["hash"])), ",")
+    return dependencies.groupBy("entry_id").agg(F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("print"))
+
+
+def typed_validity(entries: DataFrame, recorded: DataFrame, current: DataFrame, policy: str, now: int) -> DataFrame:
+    """entry_id, valid, reason, changed (kinds, joined): status, age, policy, then sources of every kind against what they are now.
+
+    entries: entry_id, status, expires_at, policy_version, print; recorded: entry_id, kind, dep_id, hash; current: kind, dep_id,
+    hash, one row for each source, whatever hangs on it, so a source that changes or goes takes all its entries
+    along.  An entry whose recorded rows are no longer those of its digest is ``dependency_mismatch``.
+    """
+    met = recorded.join(current.select("kind", "dep_id", F.col("hash").alias("_now")), ["kind", "dep_id"], "left")
+    bad = F.when(~F.col("hash").eqNullSafe(F.col("_now")), F.col("kind"))
+    found = met.groupBy("entry_id").agg(F.array_join(F.array_sort(F.collect_set(bad)), ",").alias("changed"))
+    rows = entries.join(found, "entry_id", "left").join(dependency_print(recorded).withColumnRenamed("print", "_print"), "entry_id", "left")
+    reason = (
+        F.when(F.col("status") != "fresh", F.col("status")).when(F.col("expires_at") <= now, "ttl_expired").when(F.col("policy_version") != policy, "policy_changed")
+        .when(F.col("changed").isNull(), "missing_dependencies").when(F.col("changed") != "", "source_changed").when(F.col("_print") != F.col("print"), "dependency_mismatch")
+    )
+    return rows.select("entry_id", reason.isNull().alias("valid"), reason.alias("reason"), F.coalesce("changed", F.lit("")).alias("changed"))
+
+
 def section_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """client_id, request_id, added, removed, changed: places of items (.., place, item) between two packs of a client."""
     keys = ["request_id", "place"]

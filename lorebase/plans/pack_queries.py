@@ -105,6 +105,13 @@ def cache_validity(spark, d):
     return P.cache_validity(view(spark, d, "cache_entries"), view(spark, d, "cache_dependencies"), view(spark, d, "source_now"), POLICY, NOW)
 
 
+def cache_typed_validity(spark, d):
+    """Whether cached packs still hold, over all kinds of sources that they depend on."""
+    log = view(spark, d, "dependency_log")
+    entries = view(spark, d, "cache_entries").join(P.dependency_print(log), "entry_id", "left")
+    return P.typed_validity(entries, log.where("NOT lost").drop("lost"), view(spark, d, "dependency_now"), POLICY, NOW)
+
+
 def _packs_before(spark, d):
     """request_id, place, item of each pack, and the same of the pack that its task had before."""
     order = Window.partitionBy("task_id").orderBy("pack_id")
@@ -305,7 +312,7 @@ def as_text(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     shadow_rank, shadow_report, utility_rerank, retrieval_log, ir_metrics, pack_consistency, review_status, skill_stale, skill_eligible, skill_versions, skill_rank, client_skill_state,
-    cache_key, cache_validity, context_delta, delivery_mode, render_delivery, delivery_pending, resolve_event_source, handoff_build, handoff_visible, trust_provenance, validation_requests,
+    cache_key, cache_validity, cache_typed_validity, context_delta, delivery_mode, render_delivery, delivery_pending, resolve_event_source, handoff_build, handoff_visible, trust_provenance, validation_requests,
     import_plan, dedup_exact, legacy_source, upsert_conflicts, idempotency_classify, apply_enrichment, delete_cascade, eligible_degraded, scope_formal, orphan_entities, claim_jobs,
     edge_upsert, entity_delete, unknown_sections, as_text,
 )}
@@ -362,6 +369,10 @@ SELECT coalesce(d.client_id, k.client_id) AS client_id, coalesce(d.skill_id, k.s
 FROM due d FULL JOIN client_skills k ON k.client_id = d.client_id AND k.skill_id = d.skill_id JOIN skills s ON s.skill_id = coalesce(d.skill_id, k.skill_id)""",
     "cache_key": """SELECT pack_id, concat('sha256:', sha256(concat('{"max_tokens":4000,"objective":"', objective, '","policy":"', policy, '","repository":"', repository, '","session":"', coalesce(session_id::VARCHAR, 'none'), '","task":', p.task_id, '}'))) AS cache_key FROM packs p JOIN tasks t ON t.task_id = p.task_id""",
     "cache_validity": f"WITH {_VALID} SELECT entry_id, reason IS NULL AS valid, reason FROM checked",
+    "cache_typed_validity": f"""WITH prints AS (SELECT entry_id, string_agg(concat(kind, ':', dep_id, ':', hash), ',' ORDER BY kind, dep_id, hash) AS whole, string_agg(concat(kind, ':', dep_id, ':', hash), ',' ORDER BY kind, dep_id, hash) FILTER (NOT lost) AS rest FROM dependency_log GROUP BY entry_id),
+bad AS (SELECT l.entry_id, string_agg(DISTINCT l.kind, ',' ORDER BY l.kind) AS changed FROM dependency_log l LEFT JOIN dependency_now n ON n.kind = l.kind AND n.dep_id = l.dep_id WHERE NOT lost AND n.hash IS DISTINCT FROM l.hash GROUP BY l.entry_id),
+checked AS (SELECT e.entry_id, coalesce(b.changed, '') AS changed, CASE WHEN status <> 'fresh' THEN status WHEN expires_at <= {NOW} THEN 'ttl_expired' WHEN policy_version <> '{POLICY}' THEN 'policy_changed' WHEN rest IS NULL THEN 'missing_dependencies' WHEN b.entry_id IS NOT NULL THEN 'source_changed' WHEN whole <> rest THEN 'dependency_mismatch' END AS reason
+ FROM cache_entries e LEFT JOIN prints p ON p.entry_id = e.entry_id LEFT JOIN bad b ON b.entry_id = e.entry_id) SELECT entry_id, reason IS NULL AS valid, reason, changed FROM checked""",
     "context_delta": f"WITH {_SECTIONS} SELECT request_id, added, removed, changed, same FROM deltas",
     "delivery_mode": f"WITH {_MODES} SELECT request_id, mode, delivered, greatest(0, full_tokens - delivered) AS avoided, round(greatest(0, full_tokens - delivered) / full_tokens, 6) AS ratio FROM given",
     "render_delivery": f"""WITH {_MODES}, texts AS (SELECT request_id, count(now_item) AS n, string_agg(concat('- ', place, ': ', now_item), chr(10) ORDER BY place) FILTER (now_item IS NOT NULL) AS whole,

@@ -88,6 +88,21 @@ SELECT id, content, summary, tier, category, project, agent, workspace_id, creat
     "cache_entries": f"SELECT o_orderkey AS entry_id, CASE o_orderstatus WHEN 'P' THEN 'fresh' WHEN 'F' THEN 'fresh' ELSE 'invalid' END AS status, CASE WHEN o_totalprice > 450000 THEN {NOW} - 60 WHEN o_totalprice > 100000 THEN {NOW} + 3600 END AS expires_at, CASE o_orderpriority WHEN '5-LOW' THEN 'context-v1' ELSE 'context-v2' END AS policy_version FROM orders",
     "cache_dependencies": "SELECT l_orderkey AS entry_id, 'supplier' AS kind, l_suppkey AS source_id, md5(max(CASE WHEN l_discount > 0.09 THEN concat(s_name, ' before') ELSE s_name END)) AS hash FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey, l_suppkey",
     "client_states": "SELECT o_orderkey AS request_id, o_custkey AS client_id, o_orderstatus <> 'F' AS has_state, o_orderpriority NOT IN ('4-NOT SPECIFIED') AS delta_capable, CASE o_orderpriority WHEN '2-HIGH' THEN 9 ELSE 3 END AS known_checkpoint, 5 AS checkpoint, CASE WHEN o_totalprice > 50000 THEN o_orderkey END AS known_pack, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice < 100000 THEN 'cache_lookup_failed:timeout' END AS cache_fallback FROM orders",
+    # What cached packs depend on: sources of each kind as they are, and as they were when a pack was cached
+    "dependency_now": f"""SELECT 'task' AS kind, CAST(task_id AS VARCHAR(20)) AS dep_id, md5(concat(status, '|', objective)) AS hash FROM tasks
+ UNION ALL SELECT 'session_checkpoint', CAST(session_id AS VARCHAR(20)), md5(CAST(version AS VARCHAR(20))) FROM session_heads
+ UNION ALL SELECT 'decision', CAST(session_id AS VARCHAR(20)), md5(max(completed)) FROM session_saves GROUP BY session_id
+ UNION ALL SELECT 'constraint', CAST(session_id AS VARCHAR(20)), md5(max(remaining)) FROM session_saves GROUP BY session_id
+ UNION ALL SELECT 'validation_state', CAST(pack_id AS VARCHAR(20)), md5(CAST(count(CASE WHEN mandatory THEN 1 END) AS VARCHAR(20))) FROM pack_items GROUP BY pack_id
+ UNION ALL SELECT 'repository_commit', repository, md5(repository) FROM tasks GROUP BY repository
+ UNION ALL SELECT 'policy', policy, md5(policy) FROM packs GROUP BY policy UNION ALL SELECT 'token_estimator', 'context', md5('bytes/4')
+ UNION ALL SELECT 'memory', project, md5(concat(CAST(count(*) AS VARCHAR(20)), ':', CAST(max(accessed_at) AS VARCHAR(20)))) FROM memories GROUP BY project
+ UNION ALL SELECT 'skill', CAST(skill_id AS VARCHAR(20)), md5(concat(status, '|', kind)) FROM skills
+ UNION ALL SELECT 'handoff', CAST(handoff_id AS VARCHAR(20)), md5(status) FROM handoffs""",
+    "dependency_ids": """SELECT pack_id AS entry_id, 'task' AS kind, CAST(task_id AS VARCHAR(20)) AS dep_id FROM packs UNION ALL SELECT pack_id, k, CAST(session_id AS VARCHAR(20)) FROM packs, (SELECT 'session_checkpoint' AS k UNION ALL SELECT 'decision' UNION ALL SELECT 'constraint') ks WHERE session_id < 45
+ UNION ALL SELECT pack_id, 'validation_state', CAST(pack_id AS VARCHAR(20)) FROM packs UNION ALL SELECT pack_id, 'repository_commit', repository FROM packs p JOIN tasks t ON t.task_id = p.task_id UNION ALL SELECT pack_id, 'policy', policy FROM packs
+ UNION ALL SELECT pack_id, 'token_estimator', 'context' FROM packs UNION ALL SELECT pack_id, 'memory', concat('p', CAST(pack_id % 3 AS VARCHAR(9))) FROM packs UNION ALL SELECT pack_id, 'skill', CAST(task_id AS VARCHAR(20)) FROM packs UNION ALL SELECT pack_id, 'handoff', CAST(pack_id AS VARCHAR(20)) FROM packs""",
+    "dependency_log": "SELECT i.entry_id, i.kind, i.dep_id, CASE WHEN (i.entry_id * 31 + length(i.kind) * 7) % 97 = 0 THEN md5('as it was') ELSE hash END AS hash, i.entry_id % 41 = 0 AND i.kind = 'memory' AS lost FROM dependency_ids i JOIN dependency_now n ON n.kind = i.kind AND n.dep_id = i.dep_id",
     # Hand-offs
     "handoffs": f"SELECT o_orderkey AS handoff_id, o_custkey AS task_id, CAST(o_custkey % 25 AS BIGINT) AS source_agent, CAST(floor(o_totalprice) % 25 AS BIGINT) AS target_agent, CASE o_orderstatus WHEN 'P' THEN CAST(o_orderkey % 25 AS BIGINT) END AS requester, CASE o_orderstatus WHEN 'P' THEN 'ready' WHEN 'F' THEN 'completed' ELSE 'claimed' END AS status, {EPOCH} + o_orderkey * 60 AS created_at FROM orders",
     "handoff_versions": "SELECT DISTINCT l_orderkey AS handoff_id, l_linenumber AS version FROM lineitem",

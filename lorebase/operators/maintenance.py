@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.operators.lifecycle import supersession
+from lorebase.sources.scratch import materialize
 from lorebase.sources.snapshots import Snapshots
 
 DAY = 86400
@@ -69,17 +70,23 @@ def stale(memories: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
 
     embeddings: memory_id, status, model, content_hash.
     """
-    joined = memories.select("id", "content").join(embeddings, F.col("id") == F.col("memory_id"), "left")
+    # Digests are taken before the join, so texts travel only for those who read them.
+    today = memories.select("id", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("_today"))
+    joined = today.join(embeddings, F.col("id") == F.col("memory_id"), "left")
     why = (
         F.when(F.col("memory_id").isNull(), "missing").when(~F.col("status").eqNullSafe("ready"), "not ready").when(~F.col("model").eqNullSafe(model), "model")
-        .when(~F.col("content_hash").eqNullSafe(F.sha2(F.coalesce("content", F.lit("")), 256)), "content")
+        .when(~F.col("content_hash").eqNullSafe(F.col("_today")), "content")
     )
     return joined.select("id", "content", why.alias("why")).where("why is not null")
 
 
+def _past(now: int) -> Column:
+    return F.coalesce(F.col("expires_at") < now - RECOVERY, F.lit(False))
+
+
 def run_out(memories: DataFrame, now: int) -> DataFrame:
     """Memories past the time in which they can be had back."""
-    return memories.where(F.col("expires_at") < now - RECOVERY)
+    return memories.where(_past(now))
 
 
 #: A phase reads the tables of a version and gives the new rows of some, and an audit (table_name, id, change) of what it changes.
@@ -111,10 +118,11 @@ def embed_stale(model: str, embed: Callable[[DataFrame], DataFrame]) -> Phase:
     """New vectors, by ``embed`` from (id, content) to (id, vec), for every memory that needs one."""
 
     def run(table):
-        todo = stale(table("memories"), table("embeddings"), model)
-        fresh = embed(todo.select("id", "content")).join(todo.select("id", "content"), "id").where("vec is not null").select(
-            F.col("id").alias("memory_id"), F.lit("ready").alias("status"), F.lit(model).alias("model"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), "vec"
-        )
+        # Only ids and digests are kept of what is stale: texts travel once, to those that are embedded, and vectors are made once.
+        hashed = table("memories").select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
+        todo = materialize(stale(table("memories"), table("embeddings"), model).select("id").distinct(), "stale")
+        vectors = embed(table("memories").select("id", "content").join(todo, "id", "left_semi")).where("vec is not null")
+        fresh = materialize(vectors.join(hashed, "id").select(F.col("id").alias("memory_id"), F.lit("ready").alias("status"), F.lit(model).alias("model"), "content_hash", "vec"), "fresh")
         kept = table("embeddings").join(fresh.select("memory_id"), "memory_id", "left_anti")
         return {"embeddings": kept.select(*fresh.columns).unionByName(fresh)}, _audit(fresh, "embeddings", "memory_id", "embedded")
 
@@ -127,7 +135,8 @@ def purge(now: int, dependents: tuple[str, ...]) -> Phase:
     def run(table):
         gone = run_out(table("memories"), now).select("id")
         ids = gone.select(F.col("id").alias("memory_id"))
-        new = {"memories": table("memories").join(gone, "id", "left_anti")}
+        # Who goes is seen from the memory itself, so the texts of those that stay are not dealt.
+        new = {"memories": table("memories").where(~_past(now))}
         audit = [_audit(gone, "memories", "id", "deleted")]
         for name in dependents:
             new[name] = table(name).join(ids, "memory_id", "left_anti").select(*table(name).columns)

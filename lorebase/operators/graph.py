@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.sources.scratch import materialize
+from lorebase.sources.scratch import materialize, tasks_for
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -25,14 +25,25 @@ def _either_way(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+#: Edges of a task that takes a step.
+STEPPED = 1 << 16
+
+
 def around(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """start, id, distance: the vertices within ``depth`` undirected hops of each start (src), itself included at 0."""
+    """start, id, distance: the vertices within ``depth`` undirected hops of each start (src), itself included at 0.
+
+    A step joins the front with the edges and keeps the least distance of each pair.  Pairs grow with edges, so both are
+    dealt to as many tasks as these need, whatever Spark would put together.
+    """
     both = materialize(_either_way(edges), "either-way")
+    tasks = tasks_for(both, STEPPED)
     reached = starts.select(F.col("src").alias("start"), F.col("src").alias("id"), F.lit(0).alias("distance"))
     front = reached
     for step in range(1, depth + 1):
-        new = front.join(both, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct().join(reached, ["start", "id"], "left_anti")
-        front = materialize(new.withColumn("distance", F.lit(step)), f"hop-{step}")
+        met = front.select("start", "id").repartition(tasks, "id").join(both.repartition(tasks, "src"), F.col("id") == F.col("src"))
+        laid = met.select("start", F.col("dst").alias("id"), F.lit(step).alias("distance")).unionByName(reached)
+        least = laid.repartition(tasks, "start", "id").groupBy("start", "id").agg(F.min("distance").alias("distance"))
+        front = materialize(least.where(F.col("distance") == step), f"hop-{step}")
         reached = reached.unionByName(front)
     return reached
 

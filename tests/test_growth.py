@@ -23,3 +23,10 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert maintenance.run(store, {"embed": maintenance.embed_stale("m", embed)}).first()["found"] == 2
     assert {(r.memory_id, r.vec[0]) for r in store.table("embeddings").collect()} == {(1, 1.0), (2, 1.0), (3, 2.0)}
     assert seen.value == 2
+
+
+def test_steps_are_dealt_by_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STEPPED", 2)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e")], "src string, dst string")
+    got = {(r.id, r.distance) for r in graph.around(edges, spark.createDataFrame([("a",)], "src string"), 2).collect()}
+    assert got == {("a", 0), ("b", 1), ("e", 1), ("c", 2)}

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.sources.scratch import tasks_for
+
 #: Statuses that a hand-off may take from each status; all others end it.
 TRANSITIONS = {
     "draft": ("ready", "cancelled"),
@@ -26,8 +28,12 @@ TRANSITIONS = {
 RETRIEVAL_SHARE, REFERENCE_SHARE, INLINE_TOKENS = 0.45, 0.15, 180
 
 
-def fold(df: DataFrame, key: list[str], order: list[str], start: Callable, step: Callable, out: str, kind: str) -> DataFrame:
-    """df and a column ``out``: step(state, row) -> (state, value) over each key's rows in order."""
+#: Rows of a task that packs.
+PACKED = 1 << 17
+
+
+def fold(df: DataFrame, key: list[str], order: list[str], start: Callable, step: Callable, out: str, kind: str, tasks: int | None = None) -> DataFrame:
+    """df and a column ``out``: step(state, row) -> (state, value) over each key's rows in order, in as many tasks as Spark or the caller sees fit."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +49,7 @@ def fold(df: DataFrame, key: list[str], order: list[str], start: Callable, step:
             pdf[out] = values
             yield pdf
 
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return df.repartition(*([tasks] if tasks else []), *key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
 def rate_limited(calls: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -194,7 +200,9 @@ def pack(requests: DataFrame, items: DataFrame) -> DataFrame:
     budget bounds.
     """
     columns = items.columns
-    rows = items.join(limits(requests).select("request", "reference_limit", "skill_limit", "retrieval_limit", "references"), "request")
+    # Items are dealt once, to tasks of about ``PACKED`` rows, for the join and for the fold.
+    tasks = tasks_for(items, PACKED)
+    rows = items.repartition(tasks, "request").join(limits(requests).select("request", "reference_limit", "skill_limit", "retrieval_limit", "references"), "request")
     rows = rows.withColumn("x_turn", (F.col("kind") != "skill").cast("int"))
 
     def step(state, row):
@@ -223,7 +231,7 @@ def pack(requests: DataFrame, items: DataFrame) -> DataFrame:
             per_category[row.category] = per_category.get(row.category, 0) + 1
         return (skills, retrieved, referred, seen, per_category), {"disposition": out, "tokens": int(tokens)}
 
-    folded = fold(rows, ["request"], ["x_turn", "place"], lambda: (0, 0, 0, set(), {}), step, "x_out", "struct<disposition:string,tokens:bigint>")
+    folded = fold(rows, ["request"], ["x_turn", "place"], lambda: (0, 0, 0, set(), {}), step, "x_out", "struct<disposition:string,tokens:bigint>", tasks)
     return folded.select(*columns, "x_out.disposition", "x_out.tokens")
 
 

@@ -25,6 +25,17 @@ def test_texts_are_embedded_once(spark, tmp_path):
     assert seen.value == 2
 
 
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scratch.tasks_for(spark.range(10), 100) == least and scratch.tasks_for(spark.range(100), 10) == 11
+    monkeypatch.setattr(sequence, "PACKED", 2)
+    items = spark.range(40).select(F.col("id").alias("request"), F.lit("memory").alias("kind"), F.lit(1).alias("place"), F.lit("c").alias("category"), F.lit(10).alias("content_tokens"), F.lit(5).alias("summary_tokens"), F.lit(3).alias("reference_tokens"), F.lit("t").alias("text_key"), F.lit(False).alias("needs_check"))
+    asked = spark.range(40).select(F.col("id").alias("request"), F.lit(1000).alias("budget"), F.lit(0).alias("mandatory_tokens"), F.lit(0).alias("continuity_tokens"), F.lit(0).alias("continuity_brief_tokens"), F.lit(True).alias("references"))
+    packed = sequence.pack(asked, items)
+    assert packed.rdd.getNumPartitions() == 21 and packed.where("disposition = 'inline'").count() == 40
+    assert search.SCORED * 400 < 1 << 20
+
+
 def test_steps_are_dealt_by_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "STEPPED", 2)
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e")], "src string, dst string")

@@ -41,3 +41,11 @@ def test_steps_are_dealt_by_edges(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e")], "src string, dst string")
     got = {(r.id, r.distance) for r in graph.around(edges, spark.createDataFrame([("a",)], "src string"), 2).collect()}
     assert got == {("a", 0), ("b", 1), ("e", 1), ("c", 2)}
+
+
+def test_lost_rows_are_told_in_one_pass(spark):
+    entries = spark.createDataFrame([(i, "fresh", 500, "v2") for i in (1, 2, 3, 4)], "entry_id long, status string, expires_at long, policy_version string")
+    log = spark.createDataFrame([(1, "task", "t", "h", False), (1, "skill", "s", "h", True), (2, "task", "t", "h", False), (3, "task", "t", "old", False), (4, "task", "t", "h", True)], "entry_id long, kind string, dep_id string, hash string, lost boolean")
+    now = spark.createDataFrame([("task", "t", "h")], "kind string, dep_id string, hash string")
+    got = {r.entry_id: (r.reason, r.changed) for r in packs.typed_validity(entries, log, now, "v2", 100).collect()}
+    assert got == {1: ("dependency_mismatch", ""), 2: (None, ""), 3: ("source_changed", "task"), 4: ("missing_dependencies", "")}

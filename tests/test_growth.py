@@ -49,3 +49,9 @@ def test_lost_rows_are_told_in_one_pass(spark):
     now = spark.createDataFrame([("task", "t", "h")], "kind string, dep_id string, hash string")
     got = {r.entry_id: (r.reason, r.changed) for r in packs.typed_validity(entries, log, now, "v2", 100).collect()}
     assert got == {1: ("dependency_mismatch", ""), 2: (None, ""), 3: ("source_changed", "task"), 4: ("missing_dependencies", "")}
+
+
+def test_two_sides_differ(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5)], "k long, v long")
+    b = spark.createDataFrame([(1, 1), (1, 3), (3, 9), (2, 5)], "k long, v long")
+    assert {(r.k, r.differing) for r in packs.differing(a, b, "k", "v").collect()} == {(1, 2), (3, 1)}

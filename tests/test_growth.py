@@ -51,6 +51,13 @@ def test_lost_rows_are_told_in_one_pass(spark):
     assert got == {1: ("dependency_mismatch", ""), 2: (None, ""), 3: ("source_changed", "task"), 4: ("missing_dependencies", "")}
 
 
+def test_packs_are_laid_beside_the_one_before(spark):
+    order = spark.createDataFrame([(1, 2), (2, None)], "pack_id long, next_id long")
+    items = spark.createDataFrame([(1, 1, 7, 5), (1, 2, 8, 5), (2, 1, 7, 5), (2, 3, 9, 5)], "pack_id long, place int, memory_id long, tokens long")
+    got = {(r.request_id, r.place): (r.item, r.tokens, r.here, r.old) for r in packs.sections(order, items).collect()}
+    assert got == {(1, 1): (7, 5, True, None), (1, 2): (8, 5, True, None), (2, 1): (7, 5, True, 7), (2, 2): (None, None, False, 8), (2, 3): (9, 5, True, None)}
+
+
 def test_two_sides_differ(spark):
     a = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5)], "k long, v long")
     b = spark.createDataFrame([(1, 1), (1, 3), (3, 9), (2, 5)], "k long, v long")

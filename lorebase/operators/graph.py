@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.sources.scratch import materialize, tasks_for
+from lorebase.sources.scratch import materialize
 
 
 def hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -36,7 +36,7 @@ def around(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     dealt to as many tasks as these need, whatever Spark would put together.
     """
     both = materialize(_either_way(edges), "either-way")
-    tasks = tasks_for(both, STEPPED)
+    tasks = both.count() // STEPPED + 1
     reached = starts.select(F.col("src").alias("start"), F.col("src").alias("id"), F.lit(0).alias("distance"))
     front = reached
     for step in range(1, depth + 1):

@@ -115,7 +115,10 @@ def fact_resolve(now: int) -> Phase:
 
 
 def embed_stale(model: str, embed: Callable[[DataFrame], DataFrame]) -> Phase:
-    """New vectors, by ``embed`` from (id, content) to (id, vec), for every memory that needs one."""
+    """New vectors, by ``embed`` from (id, content) to (id, vec), for every memory that needs one.
+
+    A memory for which ``embed`` has no vector stays as it is; the audit says so, as nothing else would.
+    """
 
     def run(table):
         # Only ids and digests are kept of what is stale: texts travel once, to those that are embedded, and vectors are made once.
@@ -124,7 +127,9 @@ def embed_stale(model: str, embed: Callable[[DataFrame], DataFrame]) -> Phase:
         vectors = embed(table("memories").select("id", "content").join(todo, "id", "left_semi")).where("vec is not null")
         fresh = materialize(vectors.join(hashed, "id").select(F.col("id").alias("memory_id"), F.lit("ready").alias("status"), F.lit(model).alias("model"), "content_hash", "vec"), "fresh")
         kept = table("embeddings").join(fresh.select("memory_id"), "memory_id", "left_anti")
-        return {"embeddings": kept.select(*fresh.columns).unionByName(fresh)}, _audit(fresh, "embeddings", "memory_id", "embedded")
+        without = todo.join(fresh.select(F.col("memory_id").alias("id")), "id", "left_anti")
+        audit = _audit(fresh, "embeddings", "memory_id", "embedded").unionByName(_audit(without, "embeddings", "id", "not embedded"))
+        return {"embeddings": kept.select(*fresh.columns).unionByName(fresh)}, audit
 
     return run
 
@@ -170,10 +175,21 @@ def run(store: Snapshots, phases: dict[str, Phase], dry_run: bool = False) -> Da
             made = store.commit({**new, "audit": before.unionByName(rows)}, base)
             report.append((place, name, "ok", store.table("audit", made).where(F.col("version") == made).count(), made))
         except Exception as e:  # noqa: BLE001  a phase is kept apart from the others
-            report.append((place, name, f"failed: {type(e).__name__}", 0, base))
+            report.append((place, name, f"failed: {type(e).__name__}: {e}", 0, base))
     return spark.createDataFrame(report, REPORT)
 
 
+class PhaseFailed(RuntimeError):
+    """A run went on without a phase, so its tables are not those that the whole run makes."""
+
+
+def whole(report: DataFrame) -> None:
+    """``PhaseFailed``, with the phases and their errors, if a run's report has any that failed."""
+    failed = [f"{r.phase} {r.status}" for r in report.where(F.col("status").startswith("failed")).orderBy("place").collect()]
+    if failed:
+        raise PhaseFailed("; ".join(failed))
+
+
 def opened(spark, root: str, tables: dict[str, DataFrame]) -> Snapshots:
     """A store whose first version holds these tables."""
     store = Snapshots(spark, root)

@@ -161,13 +161,15 @@ def maintenance_run(spark, d):
     """The tables after each phase: rows that it changed, by table and change, and the rows that are left.
 
     The tables are copied to versioned snapshots in the shared folder, which the phases change one after another.
+    A phase that fails ends the query, after the phases behind it, with an error: counts without it are no result.
     """
     tables = _tables(spark, d)
     store = M.opened(spark, f"{shared_dir(spark)}/lorebase-snapshots-{uuid.uuid4().hex}", tables)
-    M.run(store, {
+    report = M.run(store, {
         "truth_rewrite": M.truth_rewrite, "fact_resolve": M.fact_resolve(NOW), "embed_stale": M.embed_stale(MODEL, search.hash_embedded),
         "purge": M.purge(NOW, ("embeddings", "chunks", "links", "usage")),
     })
+    M.whole(report)
     changed = store.table("audit").groupBy("phase", "table_name", "change").agg(F.count("*").alias("n"))
     left = [store.table(t).agg(F.lit("after").alias("phase"), F.lit(t).alias("table_name"), F.lit("rows").alias("change"), F.count("*").alias("n")) for t in tables]
     open_facts = M.disputes(store.table("facts")).agg(F.lit("after").alias("phase"), F.lit("facts").alias("table_name"), F.lit("disputed").alias("change"), F.count("*").alias("n"))

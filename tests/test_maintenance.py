@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators import maintenance as M
 from lorebase.operators import search
+from lorebase.plans import maintenance_queries
 from lorebase.sources.snapshots import Conflict, Snapshots
 
 NOW = 1_000_000
@@ -75,6 +76,26 @@ def test_a_phase_that_fails_changes_nothing(spark, tmp_path):
     assert {r.status for r in dry} == {"dry run"} and store.version() == 3
 
 
+def _query(spark, monkeypatch, embed):
+    """Rows of the query over the small tables, with another embedder."""
+    hung = spark.createDataFrame([(1,), (2,)], "memory_id long")
+    monkeypatch.setattr(maintenance_queries, "_tables", lambda s, d: {**_tables(s), "chunks": hung, "usage": hung})
+    monkeypatch.setattr(search, "hash_embedded", embed)
+    return {(r.phase, r.table_name, r.change): r.n for r in maintenance_queries.maintenance_run(spark, "").collect()}
+
+
+def test_the_query_ends_with_an_error_if_a_phase_fails(spark, monkeypatch):
+    down = lambda texts: texts.select("id", F.raise_error(F.lit("no such model")).cast("array<double>").alias("vec"))
+    with pytest.raises(RuntimeError, match="^embed_stale failed: .*no such model"):
+        _query(spark, monkeypatch, down)
+
+
+def test_the_query_tells_who_got_no_vector(spark, monkeypatch):
+    some = lambda texts: texts.select("id", F.when(F.col("content") != "two", F.array(F.lit(1.0))).alias("vec"))
+    got = _query(spark, monkeypatch, some)
+    assert {change: n for (phase, _, change), n in got.items() if phase == "embed_stale"} == {"embedded": 2, "not embedded": 2}
+
+
 def test_retention_rules(spark):
     """1, 3, 14 and 30 days by kind, 90 for a success, nothing for other kinds; never shorter, and pinned for ever."""
     day = 86400
